@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, packing, token_store
+from . import common, jaccard_groups, packing, token_store
 from .encoding import default_vocabulary
 
 
@@ -21,9 +21,16 @@ def op3_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(common.table(spark, sf_dir, "documents"), default_vocabulary())
 
 
+def op8_jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose sets of 3-word shingles have a similarity of 0.9 or more, as classes."""
+    found = jaccard_groups.jaccard_classes(common.table(spark, sf_dir, "documents"), width=3, percent=90)
+    return found.select("doc_id", "n_shingles", "component_id", "n_links", "row_hash")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op3_pattern_packing": op3_pattern_packing,
+    "op8_jaccard_groups": op8_jaccard_groups,
 }
 
 SQL: dict[str, str] = {}
