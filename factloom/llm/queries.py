@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import common, jaccard_groups, packing, token_store
+from . import common, jaccard_groups, ngram_quality, packing, token_store
 from .encoding import default_vocabulary
 
 
@@ -27,10 +28,18 @@ def op8_jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "n_links", "row_hash")
 
 
+def op10_ngram_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents judged by a model of those labelled as of good quality."""
+    trusted = common.table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    found = ngram_quality.judged(common.table(spark, sf_dir, "documents"), trusted)
+    return found.select("doc_id", "lang", F.col("_perplexity").alias("perplexity"), F.col("_limit").alias("limit"), F.col("_kept").alias("kept"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op3_pattern_packing": op3_pattern_packing,
     "op8_jaccard_groups": op8_jaccard_groups,
+    "op10_ngram_quality": op10_ngram_quality,
 }
 
 SQL: dict[str, str] = {}
