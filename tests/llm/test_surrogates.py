@@ -1,0 +1,65 @@
+"""Surrogates: nothing real left, same entity same surrogate, distinct stay distinct, shapes kept."""
+
+import re
+
+from factloom.llm import surrogates
+
+
+def luhn(number):
+    return sum(sum(divmod(2 * int(c), 10)) if i % 2 else int(c) for i, c in enumerate(reversed(number))) % 10 == 0
+
+
+def run(spark, rows):
+    table = spark.createDataFrame([(i, t, "k") for i, t in rows], "doc_id long, text string, kind string")
+    out = surrogates.pseudonymised(table)
+    assert out.columns == ["doc_id", "text", "kind", "n_replaced"]
+    return out
+
+
+def test_shapes_coreference_and_distinctness(spark):
+    rows = [
+        (1, "Mail ann.72@mail3.example.com or ANN.72@MAIL3.EXAMPLE.COM!! now"),
+        (2, "call +1 (017) 555-7713, (017) 555-7713 and +10175557713."),
+        (3, "card 4111111111111111 4111 1111 1111 1111 and 4952935900253052"),
+        (4, 'token = "2abc3ff2ca8fb1e4c565a0eb63815530a948bdde" at 169.122.221.182!!'),
+        (5, "Mrs. Anna Smith met Mr Smith, MRS no; Frau Müller; Госпожа Иванова; Κύριος Παππάς"),
+        (6, None),
+        (7, ""),
+        (8, "Version 4.0. nothing 12 here; 3.5 or 100 things"),
+        (9, "see 078-05-1120 and DE89370400440532013000"),
+        (None, "ann.72@mail3.example.com"),
+        (1, "bob.1@x.org"),
+        (1, "bob.1@x.org"),
+    ]
+    got = {}
+    for r in run(spark, rows).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    text = {k: v[0].text for k, v in got.items()}
+    assert text[6] is None and text[7] == "" and text[8] == rows[7][1]
+    first = next(r.text for r in got[1] if r.text.startswith("Mail"))
+    low, high = re.findall(r"\S+@[A-Za-z0-9.]+", first)
+    assert low.upper() == high and low != "ann.72@mail3.example.com" and re.fullmatch(r"[a-z]{3}\.\d\d@[a-z]{4}\d\.[a-z]{7}\.com", low)
+    assert text[None] == low
+    assert len({r.text for r in got[1] if not r.text.startswith("Mail")}) == 1
+    phone = re.fullmatch(r"call \+1 \((\d{3})\) (\d{3})-(\d{4}), \((\d{3})\) (\d{3})-(\d{4}) and \+1(\d{10})\.", text[2])
+    assert phone and phone[7] == phone[1] + phone[2] + phone[3] and "555-7713" not in text[2]
+    cards = re.fullmatch(r"card (\d{16}) (\d{4} \d{4} \d{4} \d{4}) and (\d{16})", text[3])
+    assert cards and cards[1] == cards[2].replace(" ", "") and luhn(cards[1]) and cards[1][0] == "4" and cards[1] != "4111111111111111"
+    assert luhn(cards[3]) == luhn("4952935900253052")
+    secret = re.fullmatch(r'token = "([0-9a-f]{40})" at (\d+)\.(\d+)\.(\d+)\.(\d+)!!', text[4])
+    assert secret and "2abc3ff" not in text[4] and all(1 <= int(secret[i]) <= 254 for i in (2, 3, 4, 5))
+    assert "Smith" not in text[5] and "Иванова" not in text[5] and "Παππάς" not in text[5] and "MRS no" in text[5]
+    assert re.search(r"Mrs\. [A-Z][a-z]+ [A-Z][a-z]+ met Mr [A-Z][a-z]+,.*Frau [A-Z][a-z]+; Госпожа [А-Я][а-я]+; Κύριος [Α-Ω][α-ωάέίόύώή]+$", text[5])
+    assert re.fullmatch(r"see \d{3}-\d{2}-\d{4} and DE\d{20}", text[9]) and "078-05-1120" not in text[9]
+    assert {r.doc_id: r.n_replaced for r in run(spark, rows).collect() if r.doc_id in (2, 3, 5, 8)} == {2: 3, 3: 3, 5: 5, 8: 0}
+
+
+def test_collisions_are_drawn_again(spark):
+    entities = spark.createDataFrame([("ssn", f"{i:01d}") for i in range(5)], "kind string, canon string")
+    found = surrogates.resolve(entities, "k").collect()  # ten values in all, five of them real
+    assert {r.canon for r in found} == {str(i) for i in range(5)}
+    assert sorted(r.surrogate for r in found) == ["5", "6", "7", "8", "9"]
+
+
+def test_no_rows(spark):
+    assert run(spark, []).collect() == []
