@@ -189,7 +189,7 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
     rows = slot_rows(plan_patterns(counts, capacity))
     slots = F.broadcast(spark.createDataFrame(rows, SLOTS))  # a few thousand rows, bounded by capacity
-    numbered = common.number_within(pieces, ["length"], ["doc_id", "row_hash", "piece"], "_number", bucket_rows=5_000 * 64)
+    numbered = common.number_within(pieces, ["length"], ["doc_id", "row_hash", "piece"], "_number")
     inside = (numbered["length"] == slots["length"]) & (numbered["_number"] >= slots["first"]) & (numbered["_number"] < slots["last"])
     out = numbered.join(slots, inside, "inner")
     return out.select(*[numbered[c] for c in pieces.columns], (F.col("sequence_base") + F.col("_number")).alias("sequence_id"), F.col("offset").cast("long").alias("offset"))
