@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, jaccard_groups, ngram_quality, packing, token_store
+from . import common, decontaminate, jaccard_groups, ngram_quality, packing, surrogates, token_store
 from .encoding import default_vocabulary
 
 
@@ -22,6 +22,17 @@ def op3_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(common.table(spark, sf_dir, "documents"), default_vocabulary())
 
 
+def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with personal data replaced."""
+    return surrogates.pseudonymised(common.table(spark, sf_dir, "documents")).select("doc_id", "text", "n_replaced")
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold a benchmark item, with the item and the window."""
+    found = decontaminate.contaminated(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "start", "n_words", "similarity")
+
+
 def op8_jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose sets of 3-word shingles have a similarity of 0.9 or more, as classes."""
     found = jaccard_groups.jaccard_classes(common.table(spark, sf_dir, "documents"), width=3, percent=90)
@@ -38,6 +49,8 @@ def op10_ngram_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op3_pattern_packing": op3_pattern_packing,
+    "op4_surrogates": op4_surrogates,
+    "op7_decontaminate": op7_decontaminate,
     "op8_jaccard_groups": op8_jaccard_groups,
     "op10_ngram_quality": op10_ngram_quality,
 }
