@@ -4,19 +4,22 @@
 2. Signatures say which sets can be similar at all, without loss. Sets of similar size have a bound k on the size of
    their difference if their similarity reaches the threshold; if the space of shingles is cut into k + 1 parts, they
    agree in one part at least. A signature is what a set holds of one part. Only signatures that two different sets
-   share matter; texts without any go no further.
+   share matter; texts without any go no further. A few parts more than k + 1 let a set leave out parts that say
+   little, those that hold next to nothing or the same in many sets: as long as it leaves out fewer than the parts
+   in which similar sets must agree, and what is left out depends on what a part holds alone, a shared one remains.
 3. Sets that share signatures are partitioned into groups of similar sets, about `GROUP` each; a large class becomes
    several groups by hash, so that no group grows with the data.
-4. The token-group matrix holds for each group its sets and the union of their tokens. A group is compared with
-   itself and with the groups that it shares a signature with. There, a query set whose overlap with the other
-   group's union is under the threshold's share of its own size can match none of its sets; only for the others is
-   the group opened, and similarity computed exactly.
+4. The token-group matrix holds for each group its sets and the union of their tokens. Sets are compared within their
+   group, and ask the groups with which they share a signature. A query set whose overlap with a group's union is
+   under the threshold's share of its own size can match none of its sets. That is bounded first on a sample of both,
+   then on the whole; only for the sets that pass is the group opened, and similarity computed exactly.
 5. A comparison returns how many links each set has, and links enough to connect what is linked, instead of all
    pairs. Components come from joins over those.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +32,8 @@ from .components import components
 
 #: Sets in a group of the matrix, about.
 GROUP = 96
+#: A signature of more sets than this is common: a set that may leave out as many parts leaves out its common ones.
+COMMON = 32
 BAND_GROWTH = 1.4
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 MIX_1, MIX_2, MIX_3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -78,6 +83,7 @@ class Signatures:
     def __init__(self, percent: int):
         self.percent = percent
         self.starts = [1]
+        self.plans: dict[int, tuple[int, int, int]] = {}
         self._grow(1024)
 
     def _grow(self, size: int) -> None:
@@ -85,24 +91,54 @@ class Signatures:
         while self.starts[-1] <= size * rate * rate:
             self.starts.append(max(self.starts[-1] + 1, int(np.ceil(self.starts[-1] * rate))))
 
-    def of(self, tokens: np.ndarray) -> np.ndarray:
+    def of(self, tokens: np.ndarray) -> tuple[np.ndarray, int, int, int]:
+        """Signatures, how many of them are of its own size band, and how many more parts it may leave out, there and
+        in the next band."""
         n = len(tokens)
         self._grow(n)
         band = int(np.searchsorted(self.starts, n, "right")) - 1
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tokens, dtype=np.uint64)])
-        out = [self._band(tokens, sums, band)]
-        if 100 * n // self.percent >= self.starts[band + 1]:  # its largest partners are in the next band
-            out.append(self._band(tokens, sums, band + 1))
-        return np.concatenate(out)
-
-    def _band(self, tokens: np.ndarray, sums: np.ndarray, band: int) -> np.ndarray:
-        largest = self.starts[band + 1] - 1
-        parts = (100 - self.percent) * 2 * largest // (100 + self.percent) + 1
+        own, room = self._band(tokens, sums, band)
+        if 100 * n // self.percent < self.starts[band + 1]:
+            return own, len(own), room, 0
+        up, up_room = self._band(tokens, sums, band + 1)  # its largest partners are in the next band
+        return np.concatenate([own, up]), len(own), room, up_room
+
+    def _plan(self, band: int) -> tuple[int, int, int]:
+        """Parts, tokens that a part must hold to count, and parts that a set may leave out for holding fewer.
+
+        Similar sets agree in parts - k parts. A set that leaves out fewer than that for holding too little still
+        shows one of them, and the other set shows it too, as it holds the same there. So nothing is lost if there
+        are 1 + spare parts more than k; the sparser the parts, the more spare ones that takes.
+        """
+        if band not in self.plans:
+            largest, smallest = self.starts[band + 1] - 1, max(1.0, self.starts[band] * min(1.0, BAND_GROWTH * self.percent / 100) * 0.9)
+            k = (100 - self.percent) * 2 * largest // (100 + self.percent)
+            found = (k + 1, 0, 0)
+            for least in (3, 2, 1) if k else ():
+                parts = k + 1
+                for _ in range(20):
+                    mean = smallest / parts
+                    few = sum(math.exp(-mean) * mean**i / math.factorial(i) for i in range(least))
+                    spare = math.ceil(parts * few + 3 * math.sqrt(parts * few))
+                    parts = k + 1 + spare
+                if spare <= max(2, 0.25 * parts):
+                    found = (parts + parts // 20, least, spare + parts // 20)
+                    break
+            self.plans[band] = found
+        return self.plans[band]
+
+    def _band(self, tokens: np.ndarray, sums: np.ndarray, band: int) -> tuple[np.ndarray, int]:
+        parts, least, spare = self._plan(band)
         edges = (np.arange(1, parts, dtype=np.float64) * (2.0**64 / parts)).astype(np.uint64)
         at = np.concatenate([[0], np.searchsorted(tokens, edges), [len(tokens)]])
+        count = at[1:] - at[:-1]
         held = sums[at[1:]] - sums[at[:-1]]
         place = np.arange(parts, dtype=np.uint64) + np.uint64(band << 40)
-        return mixed(mixed(held + MIX_1 * (at[1:] - at[:-1]).astype(np.uint64)) + mixed(place * MIX_1 + MIX_2))
+        keys = mixed(mixed(held + MIX_1 * count.astype(np.uint64)) + mixed(place * MIX_1 + MIX_2))
+        full = count >= least
+        few = parts - int(full.sum())
+        return (keys[full], spare - few) if few <= spare else (keys, 0)
 
 
 def set_hash(tokens: np.ndarray) -> int:
@@ -117,30 +153,41 @@ def _keyed(documents: DataFrame) -> DataFrame:
 
 def describe_sets(documents: DataFrame, width: int, percent: int) -> DataFrame:
     """doc_id, row_hash, set_hash, n (size of the set), keys (signatures; null for an empty set and for a set that
-    the same task has met before)."""
+    the same task has met before), own, room, up_room (as Signatures.of says)."""
     common.ship(documents.sparkSession)
-    names = ["doc_id", "row_hash", "set_hash", "n", "keys"]
+    names = ["doc_id", "row_hash", "set_hash", "n", "keys", "own", "room", "up_room"]
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, signatures, met = Shingler(width), Signatures(percent), set()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                hashes, sizes, keys = [], [], []
+                hashes, sizes, keys, more = [], [], [], []
                 for text in part.column(2):
                     tokens = shingler.shingles(text.as_py())
                     h = set_hash(tokens)
                     hashes.append(h)
                     sizes.append(len(tokens))
-                    keys.append(None if h in met or not len(tokens) else signatures.of(tokens).view(np.int64))
+                    found = None if h in met or not len(tokens) else signatures.of(tokens)
+                    keys.append(None if found is None else found[0].view(np.int64))
+                    more.append((0, 0, 0) if found is None else found[1:])
                     met.add(h)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(hashes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(hashes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), *(pa.array([m[k] for m in more], pa.int32()) for k in range(3))], names)
 
-    return _keyed(documents).mapInArrow(describe, "doc_id long, row_hash long, set_hash long, n long, keys array<long>")
+    return _keyed(documents).mapInArrow(describe, "doc_id long, row_hash long, set_hash long, n long, keys array<long>, own int, room int, up_room int")
 
 
-def fetch_tokens(documents: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """set_hash, tokens (sorted unsigned 64-bit) of the documents in wanted(doc_id, row_hash), each set once a task."""
+def sampled(tokens: np.ndarray, percent: int) -> np.ndarray:
+    """Short forms (32 bits) of the tokens whose hash falls in a fixed share of the space, wide enough that a set
+    with nothing in common with a group is known not to belong there by these alone."""
+    share = min(1.0, 2 * (100 - percent) / 100)
+    upto = len(tokens) if share >= 1 else int(np.searchsorted(tokens, np.uint64(int(share * 2.0**63) * 2)))
+    return np.unique((tokens[:upto] & np.uint64(0xFFFFFFFF)).astype(np.uint32))
+
+
+def fetch_tokens(documents: DataFrame, wanted: DataFrame, width: int, percent: int) -> DataFrame:
+    """set_hash, tokens (sorted unsigned 64-bit), size, sample of the documents in wanted(doc_id, row_hash), each set
+    once a task."""
     keyed, few = _keyed(documents), common.broadcast_if_small(wanted.select("doc_id", "row_hash"))
     chosen = keyed.join(few, keyed["doc_id"].eqNullSafe(few["doc_id"]) & (keyed["row_hash"] == few["row_hash"]), "left_semi").select("text")
 
@@ -153,32 +200,35 @@ def fetch_tokens(documents: DataFrame, wanted: DataFrame, width: int) -> DataFra
                     tokens = shingler.shingles(text.as_py())
                     if (h := set_hash(tokens)) not in met:
                         met.add(h)
-                        rows.append((h, tokens.tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["set_hash", "tokens"])
+                        rows.append((h, tokens.tobytes(), len(tokens), sampled(tokens, percent).tobytes()))
+                kinds = pa.int64(), pa.binary(), pa.int64(), pa.binary()
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(4)], ["set_hash", "tokens", "size", "sample"])
 
-    return chosen.mapInArrow(fetch, "set_hash long, tokens binary")
+    return chosen.mapInArrow(fetch, "set_hash long, tokens binary, size long, sample binary")
 
 
-def matrix(tokens: DataFrame, groups: DataFrame) -> DataFrame:
-    """The token-group matrix: gid, sets, copies, tokens (one array of bytes a set), token_union (sorted)."""
-    held = tokens.join(groups, "set_hash").groupBy("gid").agg(F.collect_list(F.struct("set_hash", "copies", "tokens")).alias("rows"))
+def matrix(tokens: DataFrame, percent: int) -> DataFrame:
+    """The token-group matrix of tokens(gid, set_hash, copies, tokens): gid, sets, copies, tokens (one array of bytes
+    a set), token_union (sorted), union_sample."""
+    held = tokens.groupBy("gid").agg(F.collect_list(F.struct("set_hash", "copies", "tokens")).alias("rows"))
 
     def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for gid, rows in zip(batch.column(0), batch.column(1), strict=True):
                 own = {r["set_hash"]: r for r in rows.as_py()}  # a set may come from several tasks
                 sets = sorted(own)
-                union = np.unique(np.concatenate([np.frombuffer(own[s]["tokens"], np.uint64) for s in sets])).tobytes()
+                union = np.unique(np.concatenate([np.frombuffer(own[s]["tokens"], np.uint64) for s in sets]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([gid.as_py()], pa.int64()), pa.array([sets], pa.list_(pa.int64())), pa.array([[own[s]["copies"] for s in sets]], pa.list_(pa.int64())), pa.array([[own[s]["tokens"] for s in sets]], pa.list_(pa.binary())), pa.array([union], pa.binary())],
-                    ["gid", "sets", "copies", "tokens", "token_union"],
+                    [pa.array([gid.as_py()], pa.int64()), pa.array([sets], pa.list_(pa.int64())), pa.array([[own[s]["copies"] for s in sets]], pa.list_(pa.int64())), pa.array([[own[s]["tokens"] for s in sets]], pa.list_(pa.binary())), pa.array([union.tobytes()], pa.binary()), pa.array([sampled(union, percent).tobytes()], pa.binary())],
+                    ["gid", "sets", "copies", "tokens", "token_union", "union_sample"],
                 )
 
-    return held.select("gid", "rows").mapInArrow(unite, "gid long, sets array<long>, copies array<long>, tokens array<binary>, token_union binary")
+    return held.select("gid", "rows").mapInArrow(unite, "gid long, sets array<long>, copies array<long>, tokens array<binary>, token_union binary, union_sample binary")
 
 
 def compare(queries: dict, group: dict | None, percent: int) -> tuple[list[tuple[int, int]], dict[int, int]]:
-    """Links that connect, and the number of links of each set, between the sets of two groups (or within one)."""
+    """Links that connect, and the number of links of each set, between query sets and the sets of a group, or (group
+    None) within the queries' own group."""
     other = queries if group is None else group
     union = np.frombuffer(other["token_union"], np.uint64)
     members = [np.frombuffer(t, np.uint64) for t in other["tokens"]]
@@ -215,43 +265,93 @@ def compare(queries: dict, group: dict | None, percent: int) -> tuple[list[tuple
     return links, counts
 
 
-def compare_groups(pairs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """pairs(ga, gb) of groups (equal: within) and the matrix -> a, b, links: rows with b are links that connect, rows
-    without b say how many links a has there."""
-    left = groups.select(F.col("gid").alias("ga"), F.struct("sets", "copies", "tokens", "token_union").alias("queries"))
-    right = groups.select(F.col("gid").alias("gb"), F.struct("sets", "copies", "tokens", "token_union").alias("other"))
-    within = left.select("queries", F.lit(None).cast(right.schema["other"].dataType).alias("other"))
-    between = pairs.join(left, "ga").join(right, "gb").select("queries", "other")
+FOUND = "a long, b long, links long"
+
+
+def _found(links: list[tuple[int, int]], counts: dict[int, int]) -> list[pa.Array]:
+    rows = [(a, b, 0) for a, b in links] + [(a, None, n) for a, n in counts.items()]
+    return [pa.array([r[k] for r in rows], pa.int64()) for k in range(3)]
+
+
+def compare_within(groups: DataFrame, percent: int) -> DataFrame:
+    """a, b, links: rows with b are links that connect, rows without b say how many links a has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                links, counts = compare(batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), percent)
-                rows = [(a, b, 0) for a, b in links] + [(a, None, n) for a, n in counts.items()]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], ["a", "b", "links"])
+                own = {name: batch.column(k)[i].as_py() for k, name in enumerate(batch.schema.names)}
+                yield pa.RecordBatch.from_arrays(_found(*compare(own, None, percent)), ["a", "b", "links"])
+
+    return groups.select("sets", "copies", "tokens", "token_union").mapInArrow(run, FOUND)
+
+
+def _meet(asked: DataFrame, groups: DataFrame, function, schema: str) -> DataFrame:
+    """function(queries, group) on all queries of a group; where a group has many, they come in several parts, and
+    the group with each."""
+    parts = asked.groupBy("gid").agg(F.ceil(F.count(F.lit(1)) / 2_000).cast("int").alias("parts"))
+    left = asked.join(parts, "gid").withColumn("part", F.pmod(F.xxhash64("set_hash"), "parts").cast("int")).drop("parts")
+    right = groups.join(parts, "gid").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    return left.groupBy("gid", "part").cogroup(right.groupBy("gid", "part")).applyInArrow(function, schema)
+
+
+def qualify(asked: DataFrame, tokens: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """Of asked(set_hash, gid), those whose overlap with the group's union may reach the threshold's share of the set,
+    by the samples: tokens that are in the set's and not in the union's are missing for certain."""
+
+    def bound(queries: pa.Table, group: pa.Table) -> pa.Table:
+        union = np.frombuffer(group.column("union_sample")[0].as_py(), np.uint32) if group.num_rows else np.empty(0, np.uint32)
+        open_to = []
+        for size, raw in zip(queries.column("size").to_pylist(), queries.column("sample").to_pylist(), strict=True):
+            missing = int(np.isin(np.frombuffer(raw, np.uint32), union, assume_unique=True, invert=True).sum())
+            open_to.append(100 * (size - missing) >= percent * size)
+        return queries.select(["set_hash", "gid"]).filter(pa.array(open_to, pa.bool_()))
+
+    left = asked.join(tokens.select("set_hash", "size", "sample"), "set_hash").select("set_hash", "gid", "size", "sample")
+    return _meet(left, groups.select("gid", "union_sample"), bound, "set_hash long, gid long")
+
+
+def compare_between(asked: DataFrame, tokens: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """Groups opened to the query sets in asked(set_hash, gid); result as compare_within."""
+
+    def run(queries: pa.Table, group: pa.Table) -> pa.Table:
+        sets = {"sets": queries.column("set_hash").to_pylist(), "copies": queries.column("copies").to_pylist(), "tokens": queries.column("tokens").to_pylist()}
+        opened = {name: group.column(name)[0].as_py() for name in ("sets", "copies", "tokens", "token_union")}
+        return pa.Table.from_arrays(_found(*compare(sets, opened, percent)), ["a", "b", "links"])
 
-    kinds = "a long, b long, links long"
-    return within.mapInArrow(run, kinds).union(between.mapInArrow(run, kinds))
+    left = asked.join(tokens.select("set_hash", "copies", "tokens"), "set_hash").select("set_hash", "gid", "copies", "tokens")
+    return _meet(left, groups.select("gid", "sets", "copies", "tokens", "token_union"), run, FOUND)
 
 
 def similar_sets(documents: DataFrame, described: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """links(a, b) that connect similar different sets, and counts(set_hash, links)."""
     by_key = Window.partitionBy("key")
-    entries = described.filter("keys IS NOT NULL").select("set_hash", F.explode("keys").alias("key"))
-    spread = entries.select("key", "set_hash", F.min("set_hash").over(by_key).alias("low"), F.max("set_hash").over(by_key).alias("high"))
-    shared = common.saved(spread.filter("low < high").select("key", "set_hash", "low").distinct(), "shared-signatures")
+    entries = described.filter("keys IS NOT NULL").select("set_hash", "own", "room", "up_room", F.posexplode("keys").alias("at", "key"))
+    entries = entries.select("key", "set_hash", F.when(F.col("at") < F.col("own"), 2 * F.col("room")).otherwise(2 * F.col("up_room") + 1).alias("room"))
+    spread = entries.select("*", F.min("set_hash").over(by_key).alias("low"), F.max("set_hash").over(by_key).alias("high"), F.count(F.lit(1)).over(by_key).alias("sets"))
+    alike = common.saved(spread.filter("low < high").select("key", "set_hash", "room", "low", "sets").distinct(), "alike-signatures")
+    often = alike.groupBy("set_hash", "room").agg(F.count_if(F.col("sets") > COMMON).alias("often"))
+    left_out = (F.col("sets") > COMMON) & (F.col("often") <= F.floor(F.col("room") / 2))
+    shared = alike.join(often, ["set_hash", "room"]).filter(~left_out).select("key", "set_hash", "low").distinct()
+    shared = common.saved(shared, "shared-signatures")
     labels = shared.groupBy("set_hash").agg(F.min("low").alias("label"))
     chunks = labels.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("chunks"))
     placed = labels.join(chunks, "label").select("set_hash", F.xxhash64("label", F.pmod(F.xxhash64("set_hash"), "chunks")).alias("gid"))
     placed = common.saved(placed, "group-members")
     first = described.join(placed.select("set_hash"), "set_hash", "left_semi").groupBy("set_hash").agg(F.min(F.struct("doc_id", "row_hash")).alias("d"), F.count(F.lit(1)).alias("copies"))
     first = common.saved(first.select("set_hash", "copies", "d.doc_id", "d.row_hash"), "group-documents")
-    tokens = fetch_tokens(documents, first, width)
-    groups = common.saved(matrix(tokens, placed.join(first.select("set_hash", "copies"), "set_hash")), "token-group-matrix")
-    key_groups = shared.join(placed, "set_hash").select("key", "gid").distinct()
-    a, b = key_groups.select("key", F.col("gid").alias("ga")), key_groups.select("key", F.col("gid").alias("gb"))
-    pairs = a.join(b, "key").filter("ga < gb").select("ga", "gb").distinct()
-    found = common.saved(compare_groups(pairs, groups, percent), "set-links")
+    tokens = fetch_tokens(documents, first, width, percent).join(placed, "set_hash").join(first.select("set_hash", "copies"), "set_hash")
+    tokens = common.saved(tokens.dropDuplicates(["set_hash"]), "group-tokens")
+    groups = common.saved(matrix(tokens, percent), "token-group-matrix")
+    members = groups.select("gid", F.size("sets").alias("sets"))
+    keyed = shared.join(placed, "set_hash")
+    a = keyed.select("key", F.col("gid").alias("ga")).distinct().join(members.select(F.col("gid").alias("ga"), F.col("sets").alias("na")), "ga")
+    b = keyed.select("key", "gid").distinct().join(members.select("gid", F.col("sets").alias("nb")), "gid")
+    # of two groups, the sets of the smaller one ask the larger one
+    smaller = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("ga") < F.col("gid")))
+    meeting = a.join(b, "key").filter(smaller).select("key", "ga", "gid").distinct()
+    asked = keyed.select("key", F.col("gid").alias("ga"), "set_hash").join(meeting, ["key", "ga"]).select("set_hash", "gid").distinct()
+    asked = common.saved(qualify(common.saved(asked, "asked-groups"), tokens, groups, percent), "qualifying-groups")
+    found = common.saved(compare_within(groups, percent).union(compare_between(asked, tokens, groups, percent)), "set-links")
     return found.filter("b IS NOT NULL").select("a", "b"), found.filter("b IS NULL").groupBy(F.col("a").alias("set_hash")).agg(F.sum("links").alias("links"))
 
 
