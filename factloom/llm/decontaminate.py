@@ -69,8 +69,9 @@ def windows(documents: DataFrame, items: DataFrame) -> DataFrame:
     for width in widths:
         own = items.filter(F.col("width") == width).select("item_words", F.posexplode("item_shingles").alias("at", "shingle")).distinct()
         own = common.broadcast_if_small(common.saved(own, "item-places"))
-        met = _documents(documents).filter(F.size("h") >= width).withColumn("s", _shingles("h", width))
-        places = met.select("doc_id", "row_hash", F.size("h").alias("n"), F.posexplode("s").alias("place", "shingle")).join(own, "shingle")
+        met = _documents(documents).withColumn("s", _shingles("h", width))
+        # outer: else a filter on the size of s goes below the projections, where it computes h anew for each word
+        places = met.select("doc_id", "row_hash", F.size("h").alias("n"), F.posexplode_outer("s").alias("place", "shingle")).join(own, "shingle")
         start = F.greatest(F.lit(0), F.least(F.col("place") - F.col("at"), F.col("n") - F.col("item_words")))
         laid = common.saved(places.select("doc_id", "row_hash", "item_words", start.alias("start")).distinct(), "windows")
         keys = common.broadcast_if_small(common.saved(laid.select("doc_id", "row_hash").distinct(), "window-documents"))
