@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, jaccard_groups, ngram_quality, packing, surrogates, token_store
+from . import common, decontaminate, jaccard_groups, ngram_quality, packing, piece_counts, quality_rules, surrogates, token_store
 from .encoding import default_vocabulary
 
 
@@ -27,6 +27,12 @@ def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.pseudonymised(common.table(spark, sf_dir, "documents")).select("doc_id", "text", "n_replaced")
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents measured and judged by the threshold table."""
+    found = quality_rules.judged(common.table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that hold a benchmark item, with the item and the window."""
     found = decontaminate.contaminated(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
@@ -39,6 +45,11 @@ def op8_jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "n_links", "row_hash")
 
 
+def op9_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word pieces of all documents."""
+    return piece_counts.piece_counts(common.table(spark, sf_dir, "documents"), default_vocabulary())
+
+
 def op10_ngram_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents judged by a model of those labelled as of good quality."""
     trusted = common.table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
@@ -50,9 +61,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op3_pattern_packing": op3_pattern_packing,
     "op4_surrogates": op4_surrogates,
+    "op5_quality_rules": op5_quality_rules,
     "op7_decontaminate": op7_decontaminate,
     "op8_jaccard_groups": op8_jaccard_groups,
+    "op9_piece_counts": op9_piece_counts,
     "op10_ngram_quality": op10_ngram_quality,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op5_quality_rules": quality_rules.sql()}
