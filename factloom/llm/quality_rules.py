@@ -15,6 +15,9 @@ STOP_WORDS = (
     "el los las del y a un una por con para se lo su al es no como más"
 ).split()
 
+#: A stop word counts in small letters, with a capital first, and in capitals.
+STOP_FORMS = sorted({form for w in STOP_WORDS for form in (w, w.capitalize(), w.upper())})
+
 #: name, amount, unit, least and most amount for 100 units (None: no limit). Counts are compared as whole numbers.
 RULES: list[tuple[str, str, str, int | None, int | None]] = [
     ("characters a word", "word_chars", "n_words", 200, 1500),
@@ -42,12 +45,12 @@ def measured(documents: DataFrame) -> DataFrame:
         .withColumn("n_symbols", F.regexp_count("_text", F.lit(r"[#*$%&|<>]")).cast("long"))
         .withColumn("n_capitals", F.regexp_count("_text", F.lit(r"\p{Lu}")).cast("long"))
         .withColumn("n_exclamations", F.regexp_count("_text", F.lit("!")).cast("long"))
-        .withColumn("n_stop_words", F.size(F.filter("_words", lambda w: F.lower(w).isin(STOP_WORDS))).cast("long"))
         .withColumn("n_lines", F.size("_lines").cast("long"))
         .withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
         .withColumn("n_bullet_lines", F.size(F.filter("_lines", lambda x: x.rlike(r"\A[\x20\x09-\x0D]*[-*•]"))).cast("long"))
         .withColumn("n_ellipsis_lines", F.size(F.filter("_lines", lambda x: x.rlike(r"(?:\.\.\.|…)[\x20\x09-\x0D]*\z"))).cast("long"))
         .withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
+        .withColumn("n_stop_words", F.size(F.filter("_hashes", lambda h: h.isin([F.xxhash64(F.lit(w)) for w in STOP_FORMS]))).cast("long"))
     )
     windows = "if(size(_hashes) >= 3, transform(sequence(0, size(_hashes) - 3), i -> xxhash64(_hashes[i], _hashes[i + 1], _hashes[i + 2])), cast(array() as array<bigint>))"
     counted = counted.withColumn("_windows", F.expr(windows))
@@ -83,7 +86,7 @@ def judged(documents: DataFrame, rules: list[tuple[str, str, str, int | None, in
 
 def sql(rules: list[tuple[str, str, str, int | None, int | None]] = RULES) -> str:
     """The same in DuckDB's SQL."""
-    stop = ", ".join(f"'{w}'" for w in STOP_WORDS)
+    stop = ", ".join(f"'{w}'" for w in STOP_FORMS)
     tests = [f"100 * {a} < {x} * {u}" for _, a, u, x, _ in rules if x is not None] + [f"100 * {a} > {x} * {u}" for _, a, u, _, x in rules if x is not None]
     return rf"""
         WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
@@ -95,7 +98,7 @@ def sql(rules: list[tuple[str, str, str, int | None, int | None]] = RULES) -> st
         m AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
                      CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
                      CAST(length(regexp_replace(t, '\P{{Lu}}', '', 'g')) AS BIGINT) AS n_capitals, CAST(length(t) - length(replace(t, '!', '')) AS BIGINT) AS n_exclamations,
-                     CAST(len(list_filter(ws, lambda x: lower(x) IN ({stop}))) AS BIGINT) AS n_stop_words,
+                     CAST(len(list_filter(ws, lambda x: x IN ({stop}))) AS BIGINT) AS n_stop_words,
                      CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
                      len(list_filter(ls, lambda x: regexp_matches(x, '\A[\x20\x09-\x0D]*[-*•]'))) AS n_bullet_lines,
                      len(list_filter(ls, lambda x: regexp_matches(x, '(?:\.\.\.|…)[\x20\x09-\x0D]*\z'))) AS n_ellipsis_lines,

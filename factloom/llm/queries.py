@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, jaccard_groups, ngram_quality, packing, piece_counts, quality_rules, surrogates, token_store
+from . import balanced_shards, common, decontaminate, jaccard_groups, ngram_quality, packing, piece_counts, quality_rules, surrogates, token_store
 from .encoding import default_vocabulary
 
 
@@ -33,6 +33,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in eight shards, equal texts together as far as the sizes allow."""
+    return balanced_shards.shard_documents(common.table(spark, sf_dir, "documents"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that hold a benchmark item, with the item and the window."""
     found = decontaminate.contaminated(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pattern_packing": op3_pattern_packing,
     "op4_surrogates": op4_surrogates,
     "op5_quality_rules": op5_quality_rules,
+    "op6_balanced_shards": op6_balanced_shards,
     "op7_decontaminate": op7_decontaminate,
     "op8_jaccard_groups": op8_jaccard_groups,
     "op9_piece_counts": op9_piece_counts,
