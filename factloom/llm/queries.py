@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import balanced_shards, common, decontaminate, jaccard_groups, ngram_quality, packing, piece_counts, quality_rules, surrogates, token_store
+from . import balanced_shards, common, decontaminate, jaccard_groups, ngram_quality, packing, piece_counts, quality_rules, surrogates, token_store, toxicity
 from .encoding import default_vocabulary
 
 
@@ -17,6 +17,11 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_digest(common.table(spark, sf_dir, "documents"), default_vocabulary(), folder)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored for toxicity."""
+    return toxicity.scored(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+
+
 def op3_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 ids."""
     return packing.pack_documents(common.table(spark, sf_dir, "documents"), default_vocabulary())
@@ -64,6 +69,7 @@ def op10_ngram_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
+    "op2_toxicity": op2_toxicity,
     "op3_pattern_packing": op3_pattern_packing,
     "op4_surrogates": op4_surrogates,
     "op5_quality_rules": op5_quality_rules,
