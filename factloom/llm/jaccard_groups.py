@@ -348,8 +348,8 @@ def similar_sets(documents: DataFrame, described: DataFrame, width: int, percent
     b = keyed.select("key", "gid").distinct().join(members.select("gid", F.col("sets").alias("nb")), "gid")
     # of two groups, the sets of the smaller one ask the larger one
     smaller = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("ga") < F.col("gid")))
-    meeting = a.join(b, "key").filter(smaller).select("key", "ga", "gid").distinct()
-    asked = keyed.select("key", F.col("gid").alias("ga"), "set_hash").join(meeting, ["key", "ga"]).select("set_hash", "gid").distinct()
+    meeting = a.join(b, "key").filter(smaller).select("ga", "gid").distinct()
+    asked = placed.select("set_hash", F.col("gid").alias("ga")).join(meeting, "ga").select("set_hash", "gid")
     asked = common.saved(qualify(common.saved(asked, "asked-groups"), tokens, groups, percent), "qualifying-groups")
     found = common.saved(compare_within(groups, percent).union(compare_between(asked, tokens, groups, percent)), "set-links")
     return found.filter("b IS NOT NULL").select("a", "b"), found.filter("b IS NULL").groupBy(F.col("a").alias("set_hash")).agg(F.sum("links").alias("links"))
