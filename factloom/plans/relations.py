@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.kleene import kleene_any
 from factloom.functions.versions import version_key
-from factloom.operators import graph, joins, merge
+from factloom.operators import graph, joins, merge, status
 from factloom.sources.tables import table
 
 
@@ -158,11 +158,26 @@ def coming_next(spark: SparkSession, sf_dir: str) -> DataFrame:
     return now.join(then, "o_orderpriority").filter("now < then")
 
 
+def dependency_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers reached from customer 1 over orders' neighbours; every thirteenth edge is ambiguous."""
+    keys = table(spark, sf_dir, "customer").select("c_custkey")
+    edges = keys.filter("c_custkey > 1").select(F.floor(F.col("c_custkey") / 3).cast("long").alias("src"), F.col("c_custkey").alias("dst"), F.when(F.col("c_custkey") % 13 == 0, 2).otherwise(1).alias("matches"))
+    roots = keys.filter("c_custkey = 1").select(F.col("c_custkey").alias("node"))
+    return status.reachable(edges.filter("src > 0"), roots, graph.closure)
+
+
+def cap_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sums = table(spark, sf_dir, "part").groupBy("p_brand", "p_size").agg(F.count(F.lit(1)).alias("n"))
+    cells = sums.groupBy(F.col("p_brand").alias("place"), F.least(F.floor(F.col("p_size") / 10), F.lit(4)).cast("int").alias("entity")).agg((F.sum("n") % 9).cast("int").alias("rank"))
+    needs = cells.select("entity").distinct().filter("entity > 0").withColumn("needed", F.col("entity") - 1)
+    return status.cap(cells, needs, 4).select("entity", "place", "rank")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         asof_carrier, notes_issue_join, semi_anti_refs, latest_in_line, grid_fill, range_exposure, version_sort, closure, canonical_root, duplicate_marks, work_groups,
-        conditional_counts, build_matrix, kleene_status, monotone_bounds, deciding_evidence, cohort_shares, trial_applicability, cadence, snapshot_diff, known_issues, coming_next,
+        conditional_counts, build_matrix, kleene_status, monotone_bounds, deciding_evidence, cohort_shares, trial_applicability, cadence, snapshot_diff, known_issues, coming_next, dependency_reach, cap_propagation,
     )
 }
 
@@ -231,4 +246,13 @@ SQL = {
         WITH c AS (SELECT o_orderpriority, year(o_orderdate) - (SELECT max(year(o_orderdate)) FROM orders) AS back, count(*) AS n FROM orders GROUP BY 1, 2),
              r AS (SELECT *, CAST(rank() OVER (PARTITION BY back ORDER BY n DESC, o_orderpriority) AS INTEGER) AS rank FROM c WHERE back >= -1)
         SELECT a.o_orderpriority, a.rank AS now, b.rank AS then FROM r a JOIN r b USING (o_orderpriority) WHERE a.back = 0 AND b.back = -1 AND a.rank < b.rank""",
+    "dependency_reach": """
+        WITH RECURSIVE e AS (SELECT c_custkey // 3 AS src, c_custkey AS dst, CASE WHEN c_custkey % 13 = 0 THEN 2 ELSE 1 END AS m FROM customer WHERE c_custkey >= 3),
+             r AS (SELECT CAST(1 AS BIGINT) AS node UNION SELECT e.dst FROM r JOIN e ON e.src = r.node WHERE e.m = 1),
+             n AS (SELECT src AS node FROM e UNION SELECT dst FROM e UNION SELECT 1)
+        SELECT node, CASE WHEN node IN (SELECT node FROM r) THEN true WHEN (SELECT count(*) FROM e WHERE m <> 1) > 0 THEN NULL ELSE false END AS reachable FROM n""",
+    "cap_propagation": """
+        WITH RECURSIVE c AS (SELECT p_brand AS place, CAST(least(p_size // 10, 4) AS INTEGER) AS entity, CAST(count(*) % 9 AS INTEGER) AS rank FROM part GROUP BY 1, 2),
+             t AS (SELECT c.place, c.entity, c.entity AS upto, c.rank FROM c UNION SELECT t.place, t.entity, u.entity, least(t.rank, u.rank) FROM t JOIN c u ON u.place = t.place AND u.entity = t.upto - 1)
+        SELECT entity, place, min(rank) AS rank FROM t GROUP BY 1, 2""",
 }

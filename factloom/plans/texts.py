@@ -107,6 +107,22 @@ def ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.select("kind", "id", (F.col("kind") * 10 + F.when(in_title, 0).otherwise(5)).alias("score")).orderBy("score", "kind", "id").limit(40)
 
 
+def filtered_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The change feed for one text and two kinds since a date: counts and how many are new."""
+    since = F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")
+    feed = change_events(spark, sf_dir).filter(F.col("kind").isin("finished", "error") & F.contains("key", F.lit("7")))
+    return feed.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("source_at") > since).alias("n_new"))
+
+
+def search_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def of(name: str, kind: str, key: str, title, hay) -> DataFrame:
+        return table(spark, sf_dir, name).select(F.lit(kind).alias("kind"), F.col(key).cast("long").alias("id"), title.alias("title"), F.md5(F.lower(hay).cast("binary")).alias("hay_md5"))
+
+    first = F.substring_index("text", "\n", 1)
+    every = of("documents", "document", "doc_id", first, F.col("text")).unionByName(of("benchmark", "item", "item_id", first, F.col("text")))
+    return every.unionByName(of("part", "part", "p_partkey", F.col("p_name"), F.concat_ws(" ", "p_name", "p_type"))).unionByName(of("pages", "page", "page_id", F.col("url"), F.col("url")))
+
+
 def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.deduplicated(spark, f"{sf_dir}/events.parquet")
 
@@ -115,7 +131,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         extract_links, html_to_text, plain_excerpt, redacted_text, classify_topic, topical_sentences, note_lines, probe_first_match, relevance, title_overlap,
-        freshness, change_events, history_merge, ranked_search, stream_dedupe,
+        freshness, change_events, history_merge, ranked_search, stream_dedupe, filtered_feed, search_index,
     )
 }
 
@@ -163,6 +179,13 @@ SQL = {
     "title_overlap": f"""
         WITH d AS ({_tokens("documents", "doc_id")}), i AS ({_tokens("benchmark", "item_id")}), r AS (SELECT token FROM d GROUP BY 1 HAVING count(*) <= 1000)
         SELECT doc_id, item_id, count(*) AS shared FROM d JOIN r USING (token) JOIN i USING (token) GROUP BY 1, 2 HAVING count(*) >= 3""",
+    "filtered_feed": """
+        WITH e AS (SELECT 'finished' AS kind, CAST(o_orderkey AS VARCHAR) AS key, o_orderdate AS t FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT 'error', CAST(event_id AS VARCHAR), ts FROM events WHERE event_type = 'error')
+        SELECT kind, count(*) AS n, count(*) FILTER (t > TIMESTAMP '2024-01-15') AS n_new FROM e WHERE contains(key, '7') GROUP BY 1""",
+    "search_index": """
+        SELECT 'document' AS kind, doc_id AS id, split_part(text, chr(10), 1) AS title, md5(lower(text)) AS hay_md5 FROM documents
+        UNION ALL SELECT 'item', item_id, split_part(text, chr(10), 1), md5(lower(text)) FROM benchmark
+        UNION ALL SELECT 'part', p_partkey, p_name, md5(lower(p_name || ' ' || p_type)) FROM part UNION ALL SELECT 'page', page_id, url, md5(lower(url)) FROM pages""",
     "freshness": "SELECT user_id, event_type, max(ts) AS last, max(ts) < TIMESTAMP '2024-01-30' - INTERVAL 6 HOURS AS stale FROM events GROUP BY 1, 2",
     "change_events": """
         WITH e AS (SELECT 'finished' AS kind, CAST(o_orderkey AS VARCHAR) AS key, o_orderdate AS source_at FROM orders WHERE o_orderstatus = 'F'
