@@ -11,8 +11,9 @@
    several groups by hash, so that no group grows with the data.
 4. The token-group matrix holds for each group its sets and the union of their tokens. Sets are compared within their
    group, and ask the groups with which they share a signature. A query set whose overlap with a group's union is
-   under the threshold's share of its own size can match none of its sets. That is bounded first on a sample of both,
-   then on the whole; only for the sets that pass is the group opened, and similarity computed exactly.
+   under the threshold's share of its own size can match none of its sets. That is bounded first on samples of both
+   (of tokens, not of documents: what a sample lacks is lacking for certain), so that whole sets are fetched for what
+   passes only; then on the whole, and only for the sets that pass is the group opened and similarity computed exactly.
 5. A comparison returns how many links each set has, and links enough to connect what is linked, instead of all
    pairs. Components come from joins over those.
 """
@@ -185,13 +186,13 @@ def sampled(tokens: np.ndarray, percent: int) -> np.ndarray:
     return np.unique((tokens[:upto] & np.uint64(0xFFFFFFFF)).astype(np.uint32))
 
 
-def fetch_tokens(documents: DataFrame, wanted: DataFrame, width: int, percent: int) -> DataFrame:
-    """set_hash, tokens (sorted unsigned 64-bit), size, sample of the documents in wanted(doc_id, row_hash), each set
-    once a task."""
+def fetch(documents: DataFrame, wanted: DataFrame, width: int, percent: int, whole: bool) -> DataFrame:
+    """set_hash, size, tokens of the documents in wanted(doc_id, row_hash), each set once a task; tokens are sorted and
+    unsigned, all (64-bit) if whole, else the sample (32-bit)."""
     keyed, few = _keyed(documents), common.broadcast_if_small(wanted.select("doc_id", "row_hash"))
     chosen = keyed.join(few, keyed["doc_id"].eqNullSafe(few["doc_id"]) & (keyed["row_hash"] == few["row_hash"]), "left_semi").select("text")
 
-    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, met = Shingler(width), set()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
@@ -200,16 +201,46 @@ def fetch_tokens(documents: DataFrame, wanted: DataFrame, width: int, percent: i
                     tokens = shingler.shingles(text.as_py())
                     if (h := set_hash(tokens)) not in met:
                         met.add(h)
-                        rows.append((h, tokens.tobytes(), len(tokens), sampled(tokens, percent).tobytes()))
-                kinds = pa.int64(), pa.binary(), pa.int64(), pa.binary()
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(4)], ["set_hash", "tokens", "size", "sample"])
+                        rows.append((h, len(tokens), (tokens if whole else sampled(tokens, percent)).tobytes()))
+                kinds = pa.int64(), pa.int64(), pa.binary()
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(3)], ["set_hash", "size", "tokens"])
 
-    return chosen.mapInArrow(fetch, "set_hash long, tokens binary, size long, sample binary")
+    return chosen.mapInArrow(read, "set_hash long, size long, tokens binary")
 
 
-def matrix(tokens: DataFrame, percent: int) -> DataFrame:
+def sample_matrix(samples: DataFrame, percent: int) -> DataFrame:
+    """The matrix of the samples alone, of samples(gid, set_hash, size, tokens): gid, union_sample, alive (the sets that
+    may be similar to another set of the group: neither's sample lacks too much of the other's)."""
+    held = samples.groupBy("gid").agg(F.collect_list(F.struct("set_hash", "size", "tokens")).alias("rows"))
+
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for gid, rows in zip(batch.column(0), batch.column(1), strict=True):
+                own = {r["set_hash"]: r for r in rows.as_py()}
+                sets = sorted(own)
+                parts = [np.frombuffer(own[s]["tokens"], np.uint32) for s in sets]
+                sizes = np.array([own[s]["size"] for s in sets])
+                union = np.unique(np.concatenate(parts))
+                places = np.concatenate([np.searchsorted(union, p) for p in parts])
+                lengths = np.array([len(p) for p in parts])
+                owner = np.repeat(np.arange(len(sets)), lengths)
+                alive = []
+                for i, p in enumerate(parts if len(sets) > 1 else []):
+                    mark = np.zeros(len(union), bool)
+                    mark[np.searchsorted(union, p)] = True
+                    both = np.bincount(owner, mark[places], minlength=len(sets))
+                    possible = (100 * (sizes[i] - (lengths[i] - both)) >= percent * sizes[i]) & (100 * (sizes - (lengths - both)) >= percent * sizes)
+                    possible[i] = False
+                    if possible.any():
+                        alive.append(sets[i])
+                yield pa.RecordBatch.from_arrays([pa.array([gid.as_py()], pa.int64()), pa.array([union.tobytes()], pa.binary()), pa.array([alive], pa.list_(pa.int64()))], ["gid", "union_sample", "alive"])
+
+    return held.select("gid", "rows").mapInArrow(unite, "gid long, union_sample binary, alive array<long>")
+
+
+def matrix(tokens: DataFrame) -> DataFrame:
     """The token-group matrix of tokens(gid, set_hash, copies, tokens): gid, sets, copies, tokens (one array of bytes
-    a set), token_union (sorted), union_sample."""
+    a set), token_union (sorted)."""
     held = tokens.groupBy("gid").agg(F.collect_list(F.struct("set_hash", "copies", "tokens")).alias("rows"))
 
     def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,11 +250,11 @@ def matrix(tokens: DataFrame, percent: int) -> DataFrame:
                 sets = sorted(own)
                 union = np.unique(np.concatenate([np.frombuffer(own[s]["tokens"], np.uint64) for s in sets]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([gid.as_py()], pa.int64()), pa.array([sets], pa.list_(pa.int64())), pa.array([[own[s]["copies"] for s in sets]], pa.list_(pa.int64())), pa.array([[own[s]["tokens"] for s in sets]], pa.list_(pa.binary())), pa.array([union.tobytes()], pa.binary()), pa.array([sampled(union, percent).tobytes()], pa.binary())],
-                    ["gid", "sets", "copies", "tokens", "token_union", "union_sample"],
+                    [pa.array([gid.as_py()], pa.int64()), pa.array([sets], pa.list_(pa.int64())), pa.array([[own[s]["copies"] for s in sets]], pa.list_(pa.int64())), pa.array([[own[s]["tokens"] for s in sets]], pa.list_(pa.binary())), pa.array([union.tobytes()], pa.binary())],
+                    ["gid", "sets", "copies", "tokens", "token_union"],
                 )
 
-    return held.select("gid", "rows").mapInArrow(unite, "gid long, sets array<long>, copies array<long>, tokens array<binary>, token_union binary, union_sample binary")
+    return held.select("gid", "rows").mapInArrow(unite, "gid long, sets array<long>, copies array<long>, tokens array<binary>, token_union binary")
 
 
 def compare(queries: dict, group: dict | None, percent: int) -> tuple[list[tuple[int, int]], dict[int, int]]:
@@ -285,29 +316,29 @@ def compare_within(groups: DataFrame, percent: int) -> DataFrame:
     return groups.select("sets", "copies", "tokens", "token_union").mapInArrow(run, FOUND)
 
 
-def _meet(asked: DataFrame, groups: DataFrame, function, schema: str) -> DataFrame:
-    """function(queries, group) on all queries of a group; where a group has many, they come in several parts, and
-    the group with each."""
+def _meet(asked: DataFrame, sets: DataFrame, groups: DataFrame, function, schema: str) -> DataFrame:
+    """function(queries, group) on all queries of a group, asked(set_hash, gid) with what sets(set_hash, ...) says of
+    them; where a group has many, they come in several parts, and the group with each."""
     parts = asked.groupBy("gid").agg(F.ceil(F.count(F.lit(1)) / 2_000).cast("int").alias("parts"))
-    left = asked.join(parts, "gid").withColumn("part", F.pmod(F.xxhash64("set_hash"), "parts").cast("int")).drop("parts")
+    dealt = asked.join(parts, "gid").select("set_hash", "gid", F.pmod(F.xxhash64("set_hash"), "parts").cast("int").alias("part"))
+    left = dealt.join(sets, "set_hash")
     right = groups.join(parts, "gid").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     return left.groupBy("gid", "part").cogroup(right.groupBy("gid", "part")).applyInArrow(function, schema)
 
 
-def qualify(asked: DataFrame, tokens: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+def qualify(asked: DataFrame, samples: DataFrame, unions: DataFrame, percent: int) -> DataFrame:
     """Of asked(set_hash, gid), those whose overlap with the group's union may reach the threshold's share of the set,
     by the samples: tokens that are in the set's and not in the union's are missing for certain."""
 
     def bound(queries: pa.Table, group: pa.Table) -> pa.Table:
         union = np.frombuffer(group.column("union_sample")[0].as_py(), np.uint32) if group.num_rows else np.empty(0, np.uint32)
         open_to = []
-        for size, raw in zip(queries.column("size").to_pylist(), queries.column("sample").to_pylist(), strict=True):
+        for size, raw in zip(queries.column("size").to_pylist(), queries.column("tokens").to_pylist(), strict=True):
             missing = int(np.isin(np.frombuffer(raw, np.uint32), union, assume_unique=True, invert=True).sum())
             open_to.append(100 * (size - missing) >= percent * size)
         return queries.select(["set_hash", "gid"]).filter(pa.array(open_to, pa.bool_()))
 
-    left = asked.join(tokens.select("set_hash", "size", "sample"), "set_hash").select("set_hash", "gid", "size", "sample")
-    return _meet(left, groups.select("gid", "union_sample"), bound, "set_hash long, gid long")
+    return _meet(asked, samples.select("set_hash", "size", "tokens"), unions.select("gid", "union_sample"), bound, "set_hash long, gid long")
 
 
 def compare_between(asked: DataFrame, tokens: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
@@ -318,8 +349,7 @@ def compare_between(asked: DataFrame, tokens: DataFrame, groups: DataFrame, perc
         opened = {name: group.column(name)[0].as_py() for name in ("sets", "copies", "tokens", "token_union")}
         return pa.Table.from_arrays(_found(*compare(sets, opened, percent)), ["a", "b", "links"])
 
-    left = asked.join(tokens.select("set_hash", "copies", "tokens"), "set_hash").select("set_hash", "gid", "copies", "tokens")
-    return _meet(left, groups.select("gid", "sets", "copies", "tokens", "token_union"), run, FOUND)
+    return _meet(asked, tokens.select("set_hash", "copies", "tokens"), groups.select("gid", "sets", "copies", "tokens", "token_union"), run, FOUND)
 
 
 def similar_sets(documents: DataFrame, described: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -339,10 +369,10 @@ def similar_sets(documents: DataFrame, described: DataFrame, width: int, percent
     placed = common.saved(placed, "group-members")
     first = described.join(placed.select("set_hash"), "set_hash", "left_semi").groupBy("set_hash").agg(F.min(F.struct("doc_id", "row_hash")).alias("d"), F.count(F.lit(1)).alias("copies"))
     first = common.saved(first.select("set_hash", "copies", "d.doc_id", "d.row_hash"), "group-documents")
-    tokens = fetch_tokens(documents, first, width, percent).join(placed, "set_hash").join(first.select("set_hash", "copies"), "set_hash")
-    tokens = common.saved(tokens.dropDuplicates(["set_hash"]), "group-tokens")
-    groups = common.saved(matrix(tokens, percent), "token-group-matrix")
-    members = groups.select("gid", F.size("sets").alias("sets"))
+    samples = fetch(documents, first, width, percent, whole=False).join(placed, "set_hash").dropDuplicates(["set_hash"])
+    samples = common.saved(samples, "group-samples")
+    unions = common.saved(sample_matrix(samples, percent), "sample-matrix")
+    members = placed.groupBy("gid").agg(F.count(F.lit(1)).alias("sets"))
     keyed = shared.join(placed, "set_hash")
     a = keyed.select("key", F.col("gid").alias("ga")).distinct().join(members.select(F.col("gid").alias("ga"), F.col("sets").alias("na")), "ga")
     b = keyed.select("key", "gid").distinct().join(members.select("gid", F.col("sets").alias("nb")), "gid")
@@ -350,7 +380,13 @@ def similar_sets(documents: DataFrame, described: DataFrame, width: int, percent
     smaller = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("ga") < F.col("gid")))
     meeting = a.join(b, "key").filter(smaller).select("ga", "gid").distinct()
     asked = placed.select("set_hash", F.col("gid").alias("ga")).join(meeting, "ga").select("set_hash", "gid")
-    asked = common.saved(qualify(common.saved(asked, "asked-groups"), tokens, groups, percent), "qualifying-groups")
+    asked = common.saved(qualify(common.saved(asked, "asked-groups"), samples, unions, percent), "qualifying-groups")
+    whole_groups = placed.join(asked.select("gid").distinct(), "gid", "left_semi").select("set_hash")
+    needed = unions.select(F.explode("alive").alias("set_hash")).unionByName(asked.select("set_hash")).unionByName(whole_groups).distinct()
+    wanted = common.saved(first.join(needed, "set_hash", "left_semi"), "needed-documents")
+    tokens = fetch(documents, wanted, width, percent, whole=True).join(placed, "set_hash").join(wanted.select("set_hash", "copies"), "set_hash")
+    tokens = common.saved(tokens.dropDuplicates(["set_hash"]), "group-tokens")
+    groups = common.saved(matrix(tokens), "token-group-matrix")
     found = common.saved(compare_within(groups, percent).union(compare_between(asked, tokens, groups, percent)), "set-links")
     return found.filter("b IS NOT NULL").select("a", "b"), found.filter("b IS NULL").groupBy(F.col("a").alias("set_hash")).agg(F.sum("links").alias("links"))
 
