@@ -31,7 +31,11 @@ def release_name(name: Column) -> Column:
 
 def asset_platforms(names: Column) -> Column:
     """Platforms of an array of file names, distinct and sorted."""
-    tests = [F.when(F.exists(names, lambda n, p=p: F.lower(n).rlike(p)), F.lit(platform)) for platform, p in sorted(PLATFORM_MARKS.items())]
+
+    def any_name(pattern: str) -> Column:
+        return F.exists(names, lambda n: F.lower(n).rlike(pattern))
+
+    tests = [F.when(any_name(p), F.lit(platform)) for platform, p in sorted(PLATFORM_MARKS.items())]
     return F.filter(F.array(*tests), lambda x: x.isNotNull())
 
 
