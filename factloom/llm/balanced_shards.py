@@ -19,6 +19,10 @@ from pyspark.sql import functions as F
 from . import common
 
 
+#: Propagation has settled when at most one in so many linked documents may move.
+SETTLED = 200
+
+
 def _unit(*parts: Column) -> Column:
     """A number from 0 to 1 from a hash."""
     return F.pmod(F.xxhash64(*parts), F.lit(1 << 20)) / float(1 << 20)
@@ -47,20 +51,23 @@ def propagate(labels: DataFrame, members: DataFrame, size: list[int], rounds: in
     members = common.saved(members.join(large, "key").select("node", "key", (F.col("n") * 4 > min(size)).alias("large")), "members")
     linked = common.saved(linked, "linked-labels")
     columns = [f"c{i}" for i in range(shards)]
+    many, late = linked.count(), False
     for turn in range(rounds):
+        late = late or turn >= rounds // 2
         placed = members.join(linked, "node")
         votes = placed.groupBy("key").agg(*[F.count_if(F.col("shard") == i).alias(c) for i, c in enumerate(columns)])
         heard = placed.join(votes, "key").groupBy("node").agg(F.first("shard").alias("shard"), F.min("key").alias("any_key"), F.min(F.when(~F.col("large"), F.col("key"))).alias("key"), *[F.sum(c).alias(c) for c in columns])
         # one target for all documents of a key: own votes count too, and ties fall by an order of the key's own
         rank = F.array(*[F.struct(F.col(c).alias("n"), F.xxhash64("any_key", F.lit(i)).alias("h"), F.lit(i).alias("to")) for i, c in enumerate(columns)])
         wish = common.saved(heard.select("node", "shard", "key", F.array_max(rank)["to"].alias("to")), "wishes")
-        wish = wish if turn >= rounds // 2 else wish.withColumn("to", F.when(F.col("key").isNull(), F.col("shard")).otherwise(F.col("to")))  # keys too large for one shard wait
+        wish = wish if late else wish.withColumn("to", F.when(F.col("key").isNull(), F.col("shard")).otherwise(F.col("to")))  # keys too large for one shard wait
         wants = {(r["shard"], r["to"]): r["n"] for r in wish.filter("shard <> to").groupBy("shard", "to").agg(F.count(F.lit(1)).alias("n")).collect()}  # shards x shards
-        if not wants:
-            if turn >= rounds // 2:
+        share = quotas(load, [s + s // 20 + 1 for s in size], wants)  # 5 % above its size; the end levels that
+        if SETTLED * sum(share[p] * wants[p] for p in share) <= many:  # next to nobody moves any more
+            if late:
                 break
+            late = True
             continue
-        share = quotas(load, [s + s // 20 + 1 for s in size], wants)  # 5 % above its size; the end levels that
         chain = F.lit(0.0)
         for (i, j), x in share.items():
             chain = F.when((F.col("shard") == i) & (F.col("to") == j), x).otherwise(chain)
