@@ -1,8 +1,9 @@
 """Operator 4: personal data replaced by keyed surrogates; DataFrame operations only.
 
 Found in whole texts: e-mail addresses, secrets (long hexadecimal strings and known token shapes), IPv4 addresses,
-IBANs, social security numbers, telephone numbers, card and account numbers (13 to 19 digits), and persons after a
-title. Each mention has a canonical form (case, spaces and punctuation put aside), so that all mentions of an entity,
+IBANs, social security numbers, telephone numbers (with `+`, or in one of two North American forms), card and account
+numbers (13 to 19 digits), and persons after a listed title. Not found: names without such a title (bare repeats of a
+titled name too), national numbers in other forms, postal addresses. Each mention has a canonical form (case, spaces and punctuation put aside), so that all mentions of an entity,
 however written, get the same surrogate, in the writing of the mention.
 
 Surrogates come from SHA-512 of key, kind, canonical form and attempt. They keep the kind's shape: digits stay digits,
@@ -47,13 +48,14 @@ KINDS = {
     "ipv4": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?!\.?[0-9])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "phone": r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9-])[0-9]{3}[-.][0-9]{3}[-.][0-9]{4}(?![0-9])",
+    "phone": r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|\+[0-9]{1,3}[ .-]?\(?[0-9]\)?(?:[ .-]?[0-9]{2,4}){3,4}(?![0-9])|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9-])[0-9]{3}[-.][0-9]{3}[-.][0-9]{4}(?![0-9])",
     "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
     "person": rf"\b(?:{'|'.join(MALE + FEMALE)})\.? {NAME}",
 }
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
-#: What every mention holds; cheap to look for.
-HINT = rf"@|[0-9]{{3}}|[0-9]\.[0-9]|AKIA|ASIA|sk-|gh[pousr]_|[0-9a-fA-F]{{32}}|(?:{'|'.join(MALE + FEMALE)})"
+#: What every mention holds; cheap to look for. Digits of addresses, numbers and cards stand four at least behind each
+#: other, with separators only between them; an IBAN may hold two digits only.
+HINT = rf"@|[0-9](?:[ .()-]*[0-9]){{3}}|[A-Z]{{2}}[0-9]{{2}}|AKIA|ASIA|sk-|gh[pousr]_|[0-9a-fA-F]{{32}}|(?:{'|'.join(MALE + FEMALE)})"
 
 
 def _has_mention(text: Column) -> Column:

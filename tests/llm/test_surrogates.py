@@ -1,5 +1,6 @@
 """Surrogates: nothing real left, same entity same surrogate, distinct stay distinct, shapes kept."""
 
+import random
 import re
 
 from factloom.llm import surrogates
@@ -63,3 +64,23 @@ def test_collisions_are_drawn_again(spark):
 
 def test_no_rows(spark):
     assert run(spark, []).collect() == []
+
+
+def test_grouped_numbers_alone_in_a_text_are_replaced(spark):
+    numbers = ["+49 30 12 34 56 78", "+33 61 23 45 67 89", "41 11 11 11 11 11 11 11", "+33 6 12 34 56 78", "DE89 ABCD ABCD ABCD"]
+    got = {r.doc_id: r for r in run(spark, [(i, f"so {n} it is") for i, n in enumerate(numbers)]).collect()}
+    for i, n in enumerate(numbers):
+        assert got[i].n_replaced == 1 and n not in got[i].text, n
+
+
+def test_every_mention_has_the_hint(spark):
+    from pyspark.sql import functions as F
+
+    rng, parts = random.Random(8), ["+", "(", ")", " ", ".", "-", "1", "2", "23", "45", "678", "9012", "1.2", "DE89", "AB", "ABCD", "Mr X", "a@b.c", "-", "\n"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(2, 24))) for _ in range(20_000)]
+    groups = lambda seps, sizes, n: "".join(rng.choice(seps) + "".join(rng.choice("0123456789") for _ in range(rng.choice(sizes))) for _ in range(n))
+    texts += ["+" + groups([""], [1, 2, 3], 1) + groups(["", " ", ".", "-", " ("], [1, 2, 3, 4], rng.randrange(3, 7)) for _ in range(5_000)]
+    texts += [groups(["", " ", "-"], [1, 2, 3], rng.randrange(6, 19)) for _ in range(5_000)]
+    table = spark.createDataFrame([(t,) for t in texts], "text string").withColumn("any", F.col("text").rlike(surrogates.ANY)).withColumn("hint", F.col("text").rlike(surrogates.HINT))
+    assert table.filter("any").count() > 5_000
+    assert table.filter("any AND NOT hint").collect() == []
