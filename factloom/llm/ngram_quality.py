@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -25,6 +26,9 @@ from . import common
 #: Start and end marks of a text; both bytes never occur in UTF-8.
 START, END = 0xFE, 0xFF
 CHUNK = 1 << 21
+#: One trusted text in so many is left out of training and sets the limits. Confidence of limits from few texts; below
+#: FEW texts nothing is known of the tail, and the limit is SPARE times the largest perplexity.
+LEFT_OUT, SURE, FEW, SPARE = 5, 0.95, 30, 1.5
 
 
 def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -150,20 +154,36 @@ def scorer(spark: SparkSession, model: Model):
     return score
 
 
-def judged(documents: DataFrame, trusted_ids: DataFrame, quantile: float = 0.99, slack: float = 1.5, prior_units: int = 64) -> DataFrame:
+def left_out(text: Column) -> Column:
+    """Whether a trusted text sets the limit; copies of a text fall on the same side."""
+    return F.pmod(F.xxhash64(text), F.lit(LEFT_OUT)) == 0
+
+
+def _limit(quantile: float) -> Column:
+    """The quantile of p. With so few rows that it lies beyond them all, its upper bound under a normal law of log p
+    (Natrella's tolerance factor), the largest p at least; null for fewer than FEW rows."""
+    z, c, n = NormalDist().inv_cdf(quantile), NormalDist().inv_cdf(SURE), F.count("p")
+    a, b = 1 - c * c / (2 * F.greatest(n - 1, F.lit(1))), z * z - c * c / F.greatest(n, F.lit(1))
+    bound = F.exp(F.avg(F.log("p")) + (z + F.sqrt(z * z - a * b)) / a * F.stddev(F.log("p")))
+    return F.when(n * (1 - quantile) >= 1, F.percentile_approx("p", quantile, 10_000)).when(n >= FEW, F.greatest(F.max("p"), bound))
+
+
+def judged(documents: DataFrame, trusted_ids: DataFrame, quantile: float = 0.99, prior_units: int = 64) -> DataFrame:
     """documents with _perplexity, _limit and _kept.
 
-    Trusted text: the documents whose doc_id is in trusted_ids(doc_id). Perplexity is that of the mean log probability
-    a byte; each text is taken together with prior_units bytes of the trusted mean, so that a few words say little.
-    _limit is `slack` times the `quantile` of trusted perplexities of the same language (of all, for a language
-    without trusted text; lang null is a language). Kept: at most _limit. Without trusted text all stay, as do null and
-    empty texts. Whole texts are scored; rows that repeat are judged alike; other columns stay as they are.
+    Trusted text: the documents whose doc_id is in trusted_ids(doc_id); one text in LEFT_OUT is left out of training.
+    Perplexity is that of the mean log probability a byte; each text is taken together with prior_units bytes of the
+    mean of the texts left out, so that a few words say little. _limit is the `quantile` of the perplexities of the
+    texts left out of the same language (of all, for a language with fewer than FEW; lang null is a language). Kept: at
+    most _limit. With fewer than FEW texts left out in all, _limit is SPARE times the largest perplexity; without any,
+    all stay, as do null and empty texts. Whole texts are scored; rows that repeat are judged alike; other columns stay
+    as they are.
     """
     spark = documents.sparkSession
     ids = common.broadcast_if_small(trusted_ids.select(F.col("doc_id").alias("_trusted_id")).distinct())
-    trusted = documents.join(ids, documents["doc_id"] == ids["_trusted_id"], "left_semi").select("lang", "text")
-    score = scorer(spark, train(trusted))
-    raw = common.saved(trusted.filter("text IS NOT NULL").withColumn("s", score("text")).select("lang", "s.units", "s.log_p"), "trusted-scores")
+    trusted = documents.join(ids, documents["doc_id"] == ids["_trusted_id"], "left_semi").select("lang", "text").filter("text IS NOT NULL")
+    score = scorer(spark, train(trusted.filter(~left_out(F.col("text")))))
+    raw = common.saved(trusted.filter(left_out(F.col("text"))).withColumn("s", score("text")).select("lang", "s.units", "s.log_p"), "left-out-scores")
     mean = raw.agg((F.sum("log_p") / F.sum("units")).alias("m")).first()["m"]
     if mean is None:
         return documents.select("*", F.lit(None).cast("double").alias("_perplexity"), F.lit(None).cast("double").alias("_limit"), F.lit(True).alias("_kept"))
@@ -172,11 +192,11 @@ def judged(documents: DataFrame, trusted_ids: DataFrame, quantile: float = 0.99,
         return F.exp(-(log_p + F.lit(prior_units * mean)) / (units + prior_units))
 
     known = raw.select("lang", perplexity(F.col("log_p"), F.col("units")).alias("p"))
-    whole = known.agg(F.percentile_approx("p", quantile, 10_000).alias("q")).first()["q"]
-    limits = common.saved(known.groupBy(F.col("lang").alias("_lang")).agg((F.percentile_approx("p", quantile, 10_000) * slack).alias("_own")), "limits")
+    whole = known.agg(F.coalesce(_limit(quantile), SPARE * F.max("p")).alias("q")).first()["q"]
+    limits = common.saved(known.groupBy(F.col("lang").alias("_lang")).agg(_limit(quantile).alias("_own")), "limits")
     limits = common.broadcast_if_small(limits, 10_000)
     scored = documents.withColumn("_s", score("text"))
     scored = scored.join(limits, scored["lang"].eqNullSafe(limits["_lang"]), "left")
-    scored = scored.withColumn("_perplexity", perplexity(F.col("_s.log_p"), F.col("_s.units"))).withColumn("_limit", F.coalesce("_own", F.lit(whole * slack)))
+    scored = scored.withColumn("_perplexity", perplexity(F.col("_s.log_p"), F.col("_s.units"))).withColumn("_limit", F.coalesce("_own", F.lit(whole)))
     kept = (F.coalesce(F.length("text"), F.lit(0)) == 0) | (F.col("_perplexity") <= F.col("_limit"))
     return scored.withColumn("_kept", kept).drop("_s", "_lang", "_own")
