@@ -62,12 +62,22 @@ def relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def title_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def tokens(name: str, key: str) -> DataFrame:
-        return table(spark, sf_dir, name).select(key, F.explode(tx.title_tokens(F.substring_index("text", "\n", 1), STOP)).alias("token"))
-
-    docs, items = tokens("documents", "doc_id"), tokens("benchmark", "item_id")
-    rare = docs.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df <= 1000").select("token")  # what nearly all share says nothing of a title
-    return docs.join(rare, "token").join(items, "token").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("shared")).filter("shared >= 3")
+    """Documents and items whose titles share three tokens or more. Titles with equal tokens are asked once; whoever
+    shares three tokens with an item shares one that is not among the item's two most frequent."""
+
+    def titles(name: str, key: str) -> DataFrame:
+        return table(spark, sf_dir, name).select(key, F.array_sort(F.array_distinct(tx.title_tokens(F.substring_index("text", "\n", 1), STOP))).alias("tokens")).filter("size(tokens) >= 3")
+
+    docs, items = titles("documents", "doc_id"), titles("benchmark", "item_id")
+    sets = docs.select("tokens").distinct()
+    places = sets.select("tokens", F.explode("tokens").alias("token"))
+    asked = items.select("item_id", F.col("tokens").alias("item_tokens"), F.explode("tokens").alias("token"))
+    often = places.join(asked.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    rarest = Window.partitionBy("item_id", "item_tokens").orderBy(F.coalesce("df", F.lit(0)), "token")  # the tokens of one title
+    asked = asked.join(often, "token", "left").withColumn("k", F.row_number().over(rarest)).filter(F.col("k") <= F.size("item_tokens") - 2)
+    met = places.join(asked, "token").select("tokens", "item_id", "item_tokens").distinct()
+    met = met.withColumn("shared", F.size(F.array_intersect("tokens", "item_tokens")).cast("long")).filter("shared >= 3")
+    return docs.join(met, "tokens").select("doc_id", "item_id", "shared")
 
 
 def freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
