@@ -19,10 +19,6 @@ from pyspark.sql import functions as F
 from . import common
 
 
-#: Propagation has settled when at most one in so many linked documents may move.
-SETTLED = 200
-
-
 def _unit(*parts: Column) -> Column:
     """A number from 0 to 1 from a hash."""
     return F.pmod(F.xxhash64(*parts), F.lit(1 << 20)) / float(1 << 20)
@@ -51,7 +47,7 @@ def propagate(labels: DataFrame, members: DataFrame, size: list[int], rounds: in
     members = common.saved(members.join(large, "key").select("node", "key", (F.col("n") * 4 > min(size)).alias("large")), "members")
     linked = common.saved(linked, "linked-labels")
     columns = [f"c{i}" for i in range(shards)]
-    many, late = linked.count(), False
+    late = False
     for turn in range(rounds):
         late = late or turn >= rounds // 2
         placed = members.join(linked, "node")
@@ -63,7 +59,7 @@ def propagate(labels: DataFrame, members: DataFrame, size: list[int], rounds: in
         wish = wish if late else wish.withColumn("to", F.when(F.col("key").isNull(), F.col("shard")).otherwise(F.col("to")))  # keys too large for one shard wait
         wants = {(r["shard"], r["to"]): r["n"] for r in wish.filter("shard <> to").groupBy("shard", "to").agg(F.count(F.lit(1)).alias("n")).collect()}  # shards x shards
         share = quotas(load, [s + s // 20 + 1 for s in size], wants)  # 5 % above its size; the end levels that
-        if SETTLED * sum(share[p] * wants[p] for p in share) <= many:  # next to nobody moves any more
+        if not share:  # nobody may move any more
             if late:
                 break
             late = True
