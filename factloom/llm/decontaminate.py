@@ -1,16 +1,16 @@
 """Operator 7: benchmark passages in documents, by SimHash of item-sized windows; DataFrame operations only.
 
-1. Words of whole texts, lower-cased; shingles are hashes of five words (of all words, for shorter items). A window
-   with a similarity of 0.8 shares a shingle with its item, so windows are laid where a text and some item of a size
-   share one, aligned on it: as long as the item, shifted inside the text at its ends. Which item it is plays no part.
+1. Words of whole texts, lower-cased; shingles are hashes of five words (of all words, for shorter items). Windows are
+   as long as an item, at every start where at least as many of their shingles as similarity asks for stand in items of
+   that size. Which items, and in which order or place, plays no part, so no window of that similarity is left out.
 2. Each window and each item gets a 64-bit SimHash of its shingles, weighted by how often they occur.
 3. The fingerprint is cut into 8 blocks of 8 bits. Items are entered under every value within 2 bits of each block;
    windows look up their 8 blocks among items of their size. Fingerprints within RADIUS = 8 x 3 - 1 bits differ in at
    most 2 bits in one block at least, so none is missed.
 4. Candidates within the radius are verified: sum of the smaller over sum of the larger weights of all shingles.
 
-At a similarity of 0.8 fingerprints are about 10 bits apart (standard deviation 3), so the radius leaves a margin of
-more than four deviations.
+At a similarity of 0.8 fingerprints of windows in which few shingles repeat are about 10 bits apart (standard deviation
+3), so the radius leaves a margin of more than four deviations; it is less where a few shingles carry most weight.
 """
 
 from __future__ import annotations
@@ -62,18 +62,30 @@ def _documents(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_hash"), _word_hashes(F.col("text")).alias("h"))
 
 
+def _starts(width: int) -> Column:
+    """Every start of a window that can be similar, from n (words of the text), item_words and p (sorted places of
+    shingles that are in items). The smaller weights of a similar window sum up to PERCENT / (100 + PERCENT) of both
+    sizes at least, and each counts a place of its own: so many places next to each other must fit into a window."""
+    size = f"(item_words - {width} + 1)"
+    need = f"(({PERCENT} * (least(n, item_words) - {width} + 1 + {size}) + {99 + PERCENT}) div {100 + PERCENT})"
+    last = "greatest(0, n - item_words)"
+    ranges = f"transform(sequence(0, size(p) - int({need})), j -> struct(greatest(0, p[j + int({need}) - 1] - {size} + 1) as lo, least(p[j], {last}) as hi))"
+    starts = f"flatten(transform(filter({ranges}, r -> r.lo <= r.hi), r -> sequence(r.lo, r.hi)))"
+    return F.expr(f"if(size(p) >= {need}, array_distinct({starts}), cast(array() as array<int>))")
+
+
 def windows(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, row_hash, width, item_words, start (from 0), window_shingles: the windows where text and items meet."""
+    """doc_id, row_hash, width, item_words, start (from 0), window_shingles: the windows that can be similar to an item."""
     widths = [r["width"] for r in items.select("width").distinct().collect()]  # five at most
     parts = []
     for width in widths:
-        own = items.filter(F.col("width") == width).select("item_words", F.posexplode("item_shingles").alias("at", "shingle")).distinct()
-        own = common.broadcast_if_small(common.saved(own, "item-places"))
+        own = items.filter(F.col("width") == width).select("item_words", F.explode("item_shingles").alias("shingle")).distinct()
+        own = common.broadcast_if_small(common.saved(own, "item-shingle-sizes"))
         met = _documents(documents).withColumn("s", _shingles("h", width))
         # outer: else a filter on the size of s goes below the projections, where it computes h anew for each word
         places = met.select("doc_id", "row_hash", F.size("h").alias("n"), F.posexplode_outer("s").alias("place", "shingle")).join(own, "shingle")
-        start = F.greatest(F.lit(0), F.least(F.col("place") - F.col("at"), F.col("n") - F.col("item_words")))
-        laid = common.saved(places.select("doc_id", "row_hash", "item_words", start.alias("start")).distinct(), "windows")
+        held = places.groupBy("doc_id", "row_hash", "n", "item_words").agg(F.array_sort(F.collect_set("place")).alias("p"))  # one document's
+        laid = common.saved(held.select("doc_id", "row_hash", "item_words", F.explode(_starts(width)).alias("start")), "windows")
         keys = common.broadcast_if_small(common.saved(laid.select("doc_id", "row_hash").distinct(), "window-documents"))
         docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_hash"), "text")
         same = docs["doc_id"].eqNullSafe(keys["doc_id"]) & (docs["row_hash"] == keys["row_hash"])

@@ -58,3 +58,22 @@ def test_empty_tables(spark):
     bench = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
     assert decontaminate.contaminated(none, bench).collect() == []
     assert decontaminate.contaminated(spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string"), bench.limit(0)).collect() == []
+
+
+def test_passages_in_another_order_inside_long_texts(spark):
+    rng = random.Random(11)
+    fresh = iter(f"u{i}" for i in range(100_000))
+    some = lambda n: [next(fresh) for _ in range(n)]
+    items, docs = [], []
+    for size in (20, 45, 60, 90):
+        words = some(size)
+        items.append((size, " ".join(words)))
+        for cut in (2, size // 6, size // 3, size // 2, size - 3):
+            docs.append((1000 * size + cut, " ".join(some(80) + words[cut:] + words[:cut] + some(80))))
+        a, b = size // 3, 2 * size // 3
+        docs.append((1000 * size + 500, " ".join(some(80) + words[b:] + words[a:b] + words[:a] + some(rng.randrange(40)))))
+        docs.append((1000 * size + 501, " ".join(words[size // 2 :] + words[: size // 2])))
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(table, bench).collect()}
+    assert found == brute(docs, items) and (60_030, 60) in found and (60_010, 60) in found
