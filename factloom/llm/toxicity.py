@@ -6,8 +6,10 @@ words of ordinary texts, which are the ordinary dictionary. A window of a text i
 the difference of the lengths. What a document's margins come to is turned into a score by a logistic curve fitted on
 training rows that the dictionaries have not seen, moved so that the best cut lies at a score of 0.3.
 
-Words and windows are taken from all training rows, and all windows of whole texts are scored. Only the curve is
-fitted on a sample, of CURVE_ROWS rows at most.
+Training rows are dealt by crc32 of the doc_id, by 4: the dictionaries are made from all rows of remainders 0 and 1, the
+curve is fitted on CURVE_ROWS rows of remainder 3 at most, and remainder 2 is held out. All words are compared, whatever
+their length; of those that stand out the TOXIC_WORDS with the most contrast are taken. All windows of whole texts are
+scored.
 """
 
 from __future__ import annotations
@@ -39,9 +41,8 @@ def _words(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "surrogatepass").split()
 
 
-def _contexts(rows: DataFrame, wanted: set[bytes] | None) -> DataFrame:
-    """word, contexts: in how many different words' wake each word (of those wanted) comes."""
-    held = rows.sparkSession.sparkContext.broadcast(wanted)
+def _contexts(rows: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """word, contexts: in how many different words' wake each word (of those in wanted(word)) comes."""
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -51,12 +52,14 @@ def _contexts(rows: DataFrame, wanted: set[bytes] | None) -> DataFrame:
             for text in batch.column(0):
                 before = b""
                 for word in (w.strip(EDGES) for w in _words(text.as_py())):
-                    if len(word) > 3 and (held.value is None or word in held.value):
+                    if word:
                         found.add((word, xxhash.xxh32_intdigest(before)))
                     before = word
             yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.binary()), pa.array([c for _, c in found], pa.int64())], ["word", "context"])
 
-    return rows.select("text").mapInArrow(pairs, "word binary, context long").distinct().groupBy("word").agg(F.count(F.lit(1)).alias("contexts"))
+    met = rows.select("text").mapInArrow(pairs, "word binary, context long")
+    met = met if wanted is None else met.join(wanted, "word", "left_semi")
+    return met.distinct().groupBy("word").agg(F.count(F.lit(1)).alias("contexts"))
 
 
 def _frequent(rows: DataFrame) -> DataFrame:
@@ -149,14 +152,16 @@ def train(labelled: DataFrame) -> Model | None:
     words = {r["toxic"]: r["n"] for r in seen.groupBy("toxic").agg(F.sum(F.length("text")).alias("n")).collect()}  # two rows
     if not words.get(0) or not words.get(1):
         return None
-    toxic = _contexts(seen.filter("toxic = 1"), None).filter(F.col("contexts") >= CONTEXTS)
-    toxic = toxic.orderBy(F.desc("contexts"), "word").limit(5 * TOXIC_WORDS).collect()  # a dictionary holds no more
-    usual = {bytes(r["word"]): r["contexts"] for r in _contexts(seen.filter("toxic = 0"), {bytes(r["word"]) for r in toxic}).collect()}
-    chosen = [bytes(r["word"]) for r in toxic if r["contexts"] / words[1] >= CONTRAST * (usual.get(bytes(r["word"]), 0) + 0.5) / words[0]]
+    toxic = common.saved(_contexts(seen.filter("toxic = 1")).filter(F.col("contexts") >= CONTEXTS), "toxic-words")
+    usual = _contexts(seen.filter("toxic = 0"), common.broadcast_if_small(toxic.select("word"))).withColumnRenamed("contexts", "usual")
+    contrast = F.col("contexts") / words[1] / ((F.coalesce("usual", F.lit(0)) + 0.5) / words[0])
+    chosen = toxic.join(usual, "word", "left").withColumn("contrast", contrast).filter(F.col("contrast") >= CONTRAST)
+    chosen = chosen.orderBy(F.desc("contrast"), F.desc("contexts"), "word").limit(TOXIC_WORDS).collect()  # a dictionary holds no more
+    chosen = [bytes(r["word"]) for r in sorted(chosen, key=lambda r: (-r["contexts"], bytes(r["word"])))]
     frequent = _frequent(seen.filter("toxic = 0")).orderBy(F.desc("n"), "word").limit(ORDINARY_WORDS).collect()
     # the most frequent last: near places are the cheapest to refer to
     ordinary = b" ".join(bytes(r["word"]) for r in reversed(frequent))
-    both = ordinary + b" " + b" ".join(reversed(chosen[:TOXIC_WORDS])) + b" "
+    both = ordinary + b" " + b" ".join(reversed(chosen)) + b" "
     features = _features(spark, ordinary, both)
     curve = rows.filter("fold = 3").withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(CURVE_ROWS)
     curve = curve.select(features("text").alias("x"), "toxic").toPandas()

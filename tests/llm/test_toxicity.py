@@ -33,3 +33,18 @@ def test_held_out_rows_are_told_apart(spark):
     assert {r.predicted for r in got if r.doc_id in (5000, 5001, None)} == {0}
     none = toxicity.scored(table, marks.limit(0)).collect()
     assert {r.score for r in none} == {0.0} and len(none) == len(docs)
+
+
+def test_rare_and_short_toxic_words_are_not_pushed_out(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "TOXIC_WORDS", 5)
+    rng = random.Random(12)
+    usual = [f"word{i}" for i in range(60)]
+    bad = ["zx", "zxvile", "zxfoul", "qqwretch", "qqs"]
+    rows = []
+    for i in range(600):
+        words = [rng.choice(usual) for _ in range(40)]
+        for w in bad if i % 5 == 0 else []:
+            words.insert(rng.randrange(len(words)), w)
+        rows.append((i, " ".join(words), int(i % 5 == 0)))
+    model = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
+    assert set(bad) <= set(model.toxic.decode().split())
