@@ -1,31 +1,33 @@
 """Operator 8: exact Jaccard join of word n-gram sets through a token-group matrix.
 
-1. Every whole text gives its set of shingles (64-bit hashes). Equal sets are one set from here on.
-2. Signatures say which sets can be similar at all, without loss. Sets of similar size have a bound k on the size of
-   their difference if their similarity reaches the threshold; if the space of shingles is cut into k + 1 parts, they
-   agree in one part at least. A signature is what a set holds of one part. Only signatures that two different sets
-   share matter; texts without any go no further. A few parts more than k + 1 let a set leave out parts that say
-   little, those that hold next to nothing or the same in many sets: as long as it leaves out fewer than the parts
-   in which similar sets must agree, and what is left out depends on what a part holds alone, a shared one remains.
-3. Sets that share signatures are partitioned into groups of similar sets, about `GROUP` each; a large class becomes
-   several groups by hash, so that no group grows with the data.
+1. Every whole text gives its set of shingles (64-bit hashes, which also order it). Equal sets are one set from here on.
+2. Keys say which sets can be similar at all: a key is made of RUN tokens that follow each other in a set's order. In
+   the union of two similar sets few tokens are in one of them only, so that runs of shared tokens remain, and those
+   are runs of both sets. Up to `Keys.most` tokens a set gives all its runs, and some shared one is certain. Of a larger
+   set the runs among its `most` smallest hashes do: as hashes are random, two similar sets have no more than `room` of
+   them in common with a chance under 10^-15, less than that of two shingles with one 64-bit hash. Keys of many sets say
+   little; a set with no more than `room` of them does without.
+3. Sets that share keys are partitioned into groups of similar sets, about `GROUP` each; a large class becomes several
+   groups by hash, so that no group grows with the data.
 4. The token-group matrix holds for each group its sets and the union of their tokens. Sets are compared within their
-   group, and ask the groups with which they share a signature. A query set whose overlap with a group's union is
-   under the threshold's share of its own size can match none of its sets. That is bounded first on samples of both
-   (of tokens, not of documents: what a sample lacks is lacking for certain), so that whole sets are fetched for what
-   passes only; then on the whole, and only for the sets that pass is the group opened and similarity computed exactly.
-5. A comparison returns how many links each set has, and links enough to connect what is linked, instead of all
+   group, and ask other groups with which they share keys. A query set whose overlap with a group's union is under the
+   threshold's share of its own size can match none of its sets. That is bounded first on samples of both (of tokens,
+   not of documents: what a sample lacks is lacking for certain), so that whole sets are fetched for what passes only;
+   then on the whole, and only for the sets that pass is the group opened and similarity computed exactly.
+5. To know the classes, the sets of a key first ask the group of its smallest set; only those that then are in another
+   class than most sets of the key ask its other groups too, so that a class of n near copies takes about n questions.
+   To count links, all groups that share a key meet, which is n x n / 2 comparisons for such a class.
+6. A comparison returns how many links each set has, and links enough to connect what is linked, instead of all
    pairs. Components come from joins over those.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -33,9 +35,10 @@ from .components import components
 
 #: Sets in a group of the matrix, about.
 GROUP = 96
-#: A signature of more sets than this is common: a set that may leave out as many parts leaves out its common ones.
+#: Tokens in a key; keys that a set may do without; the chance at which a link may be lost.
+RUN, ROOM, CHANCE = 3, 4, 1e-15
+#: A key of more sets than this is common.
 COMMON = 32
-BAND_GROWTH = 1.4
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 MIX_1, MIX_2, MIX_3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -78,68 +81,57 @@ class Shingler:
         return np.unique(mixed(out))
 
 
-class Signatures:
-    """Signatures of sets: sets with 100 x intersection >= percent x union share one at least."""
+class Keys:
+    """Keys of sets: sets with 100 x intersection >= percent x union share more than they may do without."""
 
     def __init__(self, percent: int):
         self.percent = percent
-        self.starts = [1]
-        self.plans: dict[int, tuple[int, int, int]] = {}
-        self._grow(1024)
-
-    def _grow(self, size: int) -> None:
-        rate = max(BAND_GROWTH, 100 / self.percent)
-        while self.starts[-1] <= size * rate * rate:
-            self.starts.append(max(self.starts[-1] + 1, int(np.ceil(self.starts[-1] * rate))))
-
-    def of(self, tokens: np.ndarray) -> tuple[np.ndarray, int, int, int]:
-        """Signatures, how many of them are of its own size band, and how many more parts it may leave out, there and
-        in the next band."""
-        n = len(tokens)
-        self._grow(n)
-        band = int(np.searchsorted(self.starts, n, "right")) - 1
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tokens, dtype=np.uint64)])
-        own, room = self._band(tokens, sums, band)
-        if 100 * n // self.percent < self.starts[band + 1]:
-            return own, len(own), room, 0
-        up, up_room = self._band(tokens, sums, band + 1)  # its largest partners are in the next band
-        return np.concatenate([own, up]), len(own), room, up_room
-
-    def _plan(self, band: int) -> tuple[int, int, int]:
-        """Parts, tokens that a part must hold to count, and parts that a set may leave out for holding fewer.
-
-        Similar sets agree in parts - k parts. A set that leaves out fewer than that for holding too little still
-        shows one of them, and the other set shows it too, as it holds the same there. So nothing is lost if there
-        are 1 + spare parts more than k; the sparser the parts, the more spare ones that takes.
-        """
-        if band not in self.plans:
-            largest, smallest = self.starts[band + 1] - 1, max(1.0, self.starts[band] * min(1.0, BAND_GROWTH * self.percent / 100) * 0.9)
-            k = (100 - self.percent) * 2 * largest // (100 + self.percent)
-            found = (k + 1, 0, 0)
-            for least in (3, 2, 1) if k else ():
-                parts = k + 1
-                for _ in range(20):
-                    mean = smallest / parts
-                    few = sum(math.exp(-mean) * mean**i / math.factorial(i) for i in range(least))
-                    spare = math.ceil(parts * few + 3 * math.sqrt(parts * few))
-                    parts = k + 1 + spare
-                if spare <= max(2, 0.25 * parts):
-                    found = (parts + parts // 20, least, spare + parts // 20)
-                    break
-            self.plans[band] = found
-        return self.plans[band]
-
-    def _band(self, tokens: np.ndarray, sums: np.ndarray, band: int) -> tuple[np.ndarray, int]:
-        parts, least, spare = self._plan(band)
-        edges = (np.arange(1, parts, dtype=np.float64) * (2.0**64 / parts)).astype(np.uint64)
-        at = np.concatenate([[0], np.searchsorted(tokens, edges), [len(tokens)]])
-        count = at[1:] - at[:-1]
-        held = sums[at[1:]] - sums[at[:-1]]
-        place = np.arange(parts, dtype=np.uint64) + np.uint64(band << 40)
-        keys = mixed(mixed(held + MIX_1 * count.astype(np.uint64)) + mixed(place * MIX_1 + MIX_2))
-        full = count >= least
-        few = parts - int(full.sum())
-        return (keys[full], spare - few) if few <= spare else (keys, 0)
+        # with fewer than three shared tokens to each other one, long runs are not certain
+        self.run = RUN if percent >= 75 else 1
+        self.most = self._most()
+        # sizes of unions in which differing tokens can break all runs
+        self.broken = max((u for u in range(1, 12 * self.run) if self._other(u) and self._certain(u) < 1), default=0)
+
+    def _other(self, union: int) -> int:
+        """Tokens of a union of this size that may be in one set only."""
+        return union - -(-union * self.percent // 100)
+
+    def _certain(self, union: int) -> int:
+        """Shared runs that such a union has at least."""
+        return union - self._other(union) - (self.run - 1) * (self._other(union) + 1)
+
+    def _most(self) -> int:
+        """So many tokens that, each shared with the chance `percent`, they hold ROOM runs or fewer with CHANCE at most."""
+        p = self.percent / 100
+        state = np.zeros((self.run + 1, ROOM + 2))  # by length of the run at the end, and by runs so far
+        state[0, 0] = 1
+        for m in range(1, 100_000):
+            after = np.zeros_like(state)
+            after[0] = (1 - p) * state.sum(0)
+            for k in range(self.run + 1):
+                if k < self.run - 1:
+                    after[k + 1] += p * state[k]
+                else:
+                    after[self.run, 1:] += p * state[k, :-1]
+                    after[self.run, -1] += p * state[k, -1]
+            state = after
+            if state[:, :-1].sum() < CHANCE:
+                return m
+        raise ValueError("the threshold is too low for keys")
+
+    def of(self, tokens: np.ndarray) -> tuple[np.ndarray, int]:
+        """Keys of a sorted set, and how many it may do without."""
+        n, few = len(tokens), tokens[: self.most]
+        keys = np.zeros(max(0, len(few) - self.run + 1), np.uint64)
+        for i in range(self.run if len(keys) else 0):
+            keys = mixed(keys * MIX_1 + few[i : i + len(keys)])
+        if n <= self.broken and self.run > 1:
+            keys = np.concatenate([keys, mixed(few + MIX_3)])
+            return keys, 0
+        if 100 * n > self.percent * self.most:
+            return keys, ROOM
+        certain = min(self._certain(u) for u in range(n, 100 * n // self.percent + 1))
+        return keys, max(0, min(ROOM, certain - 1))
 
 
 def set_hash(tokens: np.ndarray) -> int:
@@ -153,29 +145,29 @@ def _keyed(documents: DataFrame) -> DataFrame:
 
 
 def describe_sets(documents: DataFrame, width: int, percent: int) -> DataFrame:
-    """doc_id, row_hash, set_hash, n (size of the set), keys (signatures; null for an empty set and for a set that
-    the same task has met before), own, room, up_room (as Signatures.of says)."""
+    """doc_id, row_hash, set_hash, n (size of the set), keys (null for an empty set and for a set that the same task
+    has met before), room (as Keys.of says)."""
     common.ship(documents.sparkSession)
-    names = ["doc_id", "row_hash", "set_hash", "n", "keys", "own", "room", "up_room"]
+    names = ["doc_id", "row_hash", "set_hash", "n", "keys", "room"]
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, signatures, met = Shingler(width), Signatures(percent), set()
+        shingler, maker, met = Shingler(width), Keys(percent), set()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                hashes, sizes, keys, more = [], [], [], []
+                hashes, sizes, keys, rooms = [], [], [], []
                 for text in part.column(2):
                     tokens = shingler.shingles(text.as_py())
                     h = set_hash(tokens)
+                    found, room = (None, 0) if h in met or not len(tokens) else maker.of(tokens)
+                    met.add(h)
                     hashes.append(h)
                     sizes.append(len(tokens))
-                    found = None if h in met or not len(tokens) else signatures.of(tokens)
-                    keys.append(None if found is None else found[0].view(np.int64))
-                    more.append((0, 0, 0) if found is None else found[1:])
-                    met.add(h)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(hashes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), *(pa.array([m[k] for m in more], pa.int32()) for k in range(3))], names)
+                    keys.append(None if found is None else found.view(np.int64))
+                    rooms.append(room)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(hashes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(rooms, pa.int32())], names)
 
-    return _keyed(documents).mapInArrow(describe, "doc_id long, row_hash long, set_hash long, n long, keys array<long>, own int, room int, up_room int")
+    return _keyed(documents).mapInArrow(describe, "doc_id long, row_hash long, set_hash long, n long, keys array<long>, room int")
 
 
 def sampled(tokens: np.ndarray, percent: int) -> np.ndarray:
@@ -317,9 +309,10 @@ def compare_within(groups: DataFrame, percent: int) -> DataFrame:
 
 
 def _meet(asked: DataFrame, sets: DataFrame, groups: DataFrame, function, schema: str) -> DataFrame:
-    """function(queries, group) on all queries of a group, asked(set_hash, gid) with what sets(set_hash, ...) says of
-    them; where a group has many, they come in several parts, and the group with each."""
+    """function(queries, group) on all queries of a group, of the saved table asked(set_hash, gid) with what
+    sets(set_hash, ...) says of them; where a group has many, they come in several parts, and the group with each."""
     parts = asked.groupBy("gid").agg(F.ceil(F.count(F.lit(1)) / 2_000).cast("int").alias("parts"))
+    parts = common.broadcast_if_small(common.saved(parts, "parts-of-questions"))
     dealt = asked.join(parts, "gid").select("set_hash", "gid", F.pmod(F.xxhash64("set_hash"), "parts").cast("int").alias("part"))
     left = dealt.join(sets, "set_hash")
     right = groups.join(parts, "gid").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
@@ -352,76 +345,118 @@ def compare_between(asked: DataFrame, tokens: DataFrame, groups: DataFrame, perc
     return _meet(asked, tokens.select("set_hash", "copies", "tokens"), groups.select("gid", "sets", "copies", "tokens", "token_union"), run, FOUND)
 
 
-def similar_sets(documents: DataFrame, described: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """links(a, b) that connect similar different sets, and counts(set_hash, links)."""
-    by_key = Window.partitionBy("key")
-    entries = described.filter("keys IS NOT NULL").select("set_hash", "own", "room", "up_room", F.posexplode("keys").alias("at", "key"))
-    entries = entries.select("key", "set_hash", F.when(F.col("at") < F.col("own"), 2 * F.col("room")).otherwise(2 * F.col("up_room") + 1).alias("room"))
-    spread = entries.select("*", F.min("set_hash").over(by_key).alias("low"), F.max("set_hash").over(by_key).alias("high"), F.count(F.lit(1)).over(by_key).alias("sets"))
-    alike = common.saved(spread.filter("low < high").select("key", "set_hash", "room", "low", "sets").distinct(), "alike-signatures")
-    often = alike.groupBy("set_hash", "room").agg(F.count_if(F.col("sets") > COMMON).alias("often"))
-    left_out = (F.col("sets") > COMMON) & (F.col("often") <= F.floor(F.col("room") / 2))
-    shared = alike.join(often, ["set_hash", "room"]).filter(~left_out).select("key", "set_hash", "low").distinct()
-    shared = common.saved(shared, "shared-signatures")
+def shared_keys(described: DataFrame) -> DataFrame:
+    """key, set_hash, low (the smallest set of the key), of the keys that different sets share; common ones are left out
+    where a set may do without. Keys are counted by partial sums first, so that a frequent one is no large group."""
+    entries = described.filter("keys IS NOT NULL").select(F.explode("keys").alias("key"), "set_hash", "room")
+    counted = entries.groupBy("key").agg(F.min("set_hash").alias("low"), F.max("set_hash").alias("high"), F.count(F.lit(1)).alias("sets"))
+    several = common.saved(counted.filter("low < high").select("key", "low", (F.col("sets") > COMMON).alias("common")), "keys-of-several")
+    alike = common.saved(entries.join(common.broadcast_if_small(several), "key").distinct(), "sets-of-keys")
+    often = alike.filter("common").groupBy("set_hash").agg(F.count(F.lit(1)).alias("often"))
+    told = alike.join(common.broadcast_if_small(common.saved(often, "common-keys")), "set_hash", "left")
+    return told.filter("NOT common OR often > room").select("key", "set_hash", "low").distinct()
+
+
+class Questions:
+    """Sets asking groups: what is read once for all questions."""
+
+    def __init__(self, documents: DataFrame, described: DataFrame, placed: DataFrame, width: int, percent: int):
+        self.documents, self.placed, self.width, self.percent = documents, placed, width, percent
+        first = described.join(placed.select("set_hash"), "set_hash", "left_semi").groupBy("set_hash").agg(F.min(F.struct("doc_id", "row_hash")).alias("d"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"))
+        self.first = common.saved(first.select("set_hash", "copies", "n", "d.doc_id", "d.row_hash"), "group-documents")
+        self.samples = common.saved(fetch(documents, self.first, width, percent, whole=False).join(placed, "set_hash").dropDuplicates(["set_hash"]), "group-samples")
+        self.unions = common.saved(sample_matrix(self.samples, percent), "sample-matrix")
+        sizes = self.first.join(placed, "set_hash")
+        self.sizes = common.saved(sizes.groupBy("gid").agg(F.min("n").alias("least"), F.max("n").alias("most")), "group-sizes")
+
+    def answers(self, asked: DataFrame, within: bool) -> DataFrame:
+        """What compare_between finds for asked(set_hash, gid), and (within) what compare_within finds in all groups."""
+        few = common.broadcast_if_small(self.sizes)
+        sized = asked.join(self.first.select("set_hash", "n"), "set_hash").join(few, "gid")
+        sized = sized.filter((F.col("n") * 100 >= F.col("least") * self.percent) & (F.col("most") * 100 >= F.col("n") * self.percent))
+        asked = common.saved(sized.select("set_hash", "gid"), "asked-groups")
+        asked = common.saved(qualify(asked, self.samples, self.unions, self.percent), "qualifying-groups")
+        needed = self.placed.join(asked.select("gid").distinct(), "gid", "left_semi").select("set_hash").unionByName(asked.select("set_hash"))
+        if within:
+            needed = needed.unionByName(self.unions.select(F.explode("alive").alias("set_hash")))
+        wanted = common.saved(self.first.join(needed.distinct(), "set_hash", "left_semi"), "needed-documents")
+        tokens = fetch(self.documents, wanted, self.width, self.percent, whole=True).join(self.placed, "set_hash").join(wanted.select("set_hash", "copies"), "set_hash")
+        tokens = common.saved(tokens.dropDuplicates(["set_hash"]), "group-tokens")
+        groups = common.saved(matrix(tokens), "token-group-matrix")
+        found = compare_between(asked, tokens, groups, self.percent)
+        return common.saved(found.union(compare_within(groups, self.percent)) if within else found, "set-links")
+
+
+def similar_sets(documents: DataFrame, described: DataFrame, width: int, percent: int, count_links: bool) -> tuple[DataFrame, DataFrame]:
+    """links(a, b) that connect similar different sets, and counts(set_hash, links); without count_links the counts are
+    not those of all links."""
+    shared = common.saved(shared_keys(described), "shared-keys")
     labels = shared.groupBy("set_hash").agg(F.min("low").alias("label"))
     chunks = labels.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("chunks"))
     placed = labels.join(chunks, "label").select("set_hash", F.xxhash64("label", F.pmod(F.xxhash64("set_hash"), "chunks")).alias("gid"))
     placed = common.saved(placed, "group-members")
-    first = described.join(placed.select("set_hash"), "set_hash", "left_semi").groupBy("set_hash").agg(F.min(F.struct("doc_id", "row_hash")).alias("d"), F.count(F.lit(1)).alias("copies"))
-    first = common.saved(first.select("set_hash", "copies", "d.doc_id", "d.row_hash"), "group-documents")
-    samples = fetch(documents, first, width, percent, whole=False).join(placed, "set_hash").dropDuplicates(["set_hash"])
-    samples = common.saved(samples, "group-samples")
-    unions = common.saved(sample_matrix(samples, percent), "sample-matrix")
-    members = placed.groupBy("gid").agg(F.count(F.lit(1)).alias("sets"))
-    keyed = shared.join(placed, "set_hash")
-    a = keyed.select("key", F.col("gid").alias("ga")).distinct().join(members.select(F.col("gid").alias("ga"), F.col("sets").alias("na")), "ga")
-    b = keyed.select("key", "gid").distinct().join(members.select("gid", F.col("sets").alias("nb")), "gid")
-    # of two groups, the sets of the smaller one ask the larger one
-    smaller = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("ga") < F.col("gid")))
-    meeting = a.join(b, "key").filter(smaller).select("ga", "gid").distinct()
-    asked = placed.select("set_hash", F.col("gid").alias("ga")).join(meeting, "ga").select("set_hash", "gid")
-    asked = common.saved(qualify(common.saved(asked, "asked-groups"), samples, unions, percent), "qualifying-groups")
-    whole_groups = placed.join(asked.select("gid").distinct(), "gid", "left_semi").select("set_hash")
-    needed = unions.select(F.explode("alive").alias("set_hash")).unionByName(asked.select("set_hash")).unionByName(whole_groups).distinct()
-    wanted = common.saved(first.join(needed, "set_hash", "left_semi"), "needed-documents")
-    tokens = fetch(documents, wanted, width, percent, whole=True).join(placed, "set_hash").join(wanted.select("set_hash", "copies"), "set_hash")
-    tokens = common.saved(tokens.dropDuplicates(["set_hash"]), "group-tokens")
-    groups = common.saved(matrix(tokens), "token-group-matrix")
-    found = common.saved(compare_within(groups, percent).union(compare_between(asked, tokens, groups, percent)), "set-links")
+    questions = Questions(documents, described, placed, width, percent)
+    keyed = common.saved(shared.join(placed, "set_hash"), "keys-of-groups")
+    if count_links:
+        members = placed.groupBy("gid").agg(F.count(F.lit(1)).alias("sets"))
+        a = keyed.select("key", F.col("gid").alias("ga")).distinct().join(members.select(F.col("gid").alias("ga"), F.col("sets").alias("na")), "ga")
+        b = keyed.select("key", "gid").distinct().join(members.select("gid", F.col("sets").alias("nb")), "gid")
+        # of two groups, the sets of the smaller one ask the larger one
+        smaller = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("ga") < F.col("gid")))
+        meeting = a.join(b, "key").filter(smaller).select("ga", "gid").distinct()
+        found = questions.answers(placed.select("set_hash", F.col("gid").alias("ga")).join(meeting, "ga").select("set_hash", "gid"), within=True)
+    else:
+        of_low = placed.select(F.col("set_hash").alias("low"), F.col("gid").alias("to"))
+        ask_low = keyed.join(of_low, "low", "left").filter("to IS NOT NULL AND gid <> to").select("set_hash", F.col("to").alias("gid"))
+        asked = common.saved(ask_low.distinct(), "first-questions")
+        found = questions.answers(asked, within=True)
+        roots = components(found.filter("b IS NOT NULL").select("a", "b"))
+        rooted = keyed.join(roots, keyed["set_hash"] == roots["node"], "left").select("key", "set_hash", "gid", F.coalesce("root", "set_hash").alias("root"))
+        by_root = common.saved(rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("sets")), "classes-of-keys")
+        cores = by_root.groupBy("key").agg(F.max(F.struct("sets", "root")).alias("m"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("key", F.col("m.root").alias("core"))
+        cores = common.broadcast_if_small(common.saved(cores, "classes-of-most"))
+        open_keys = common.saved(rooted.join(cores, "key"), "open-keys")
+        asking = open_keys.filter("root <> core").select("key", "set_hash", F.col("gid").alias("own"), "root")
+        groups = open_keys.select("key", "gid", F.col("root").alias("of")).distinct()
+        further = asking.join(groups, "key").filter("own <> gid AND root <> of").select("set_hash", "gid").distinct().join(asked, ["set_hash", "gid"], "left_anti")
+        found = found.unionByName(questions.answers(further, within=False))
     return found.filter("b IS NOT NULL").select("a", "b"), found.filter("b IS NULL").groupBy(F.col("a").alias("set_hash")).agg(F.sum("links").alias("links"))
 
 
-def jaccard_classes(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+def jaccard_classes(documents: DataFrame, width: int = 5, percent: int = 80, count_links: bool = True) -> DataFrame:
     """One row a document: doc_id, row_hash, n_shingles, component_id, n_links, is_first.
 
     Two documents link when 100 x intersection >= percent x union of their sets of word shingles, in whole texts with
     A-Z lower-cased; with fewer words than `width` the whole sequence is one shingle. component_id is the smallest
-    doc_id that links reach, itself included; n_links counts linked documents, copies too. Null texts and texts
+    doc_id that links reach, itself included; n_links counts linked documents, copies too (null without count_links,
+    which spares comparisons in large classes). Null texts and texts
     without words have empty sets and no links. is_first marks the rows with the smallest (doc_id, hash of text) of
     their component: one, but for repeated rows. A null doc_id counts as smaller than all for is_first and as none
     for component_id. No documents give no rows.
     """
     described = common.saved(describe_sets(documents, width, percent), "shingle-sets")
-    links, counts = similar_sets(documents, described, width, percent)
+    links, counts = similar_sets(documents, described, width, percent, count_links)
     roots = components(links)
     sets = described.filter("n > 0").groupBy("set_hash").agg(F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "row_hash")).alias("first"), F.count(F.lit(1)).alias("copies"))
     named = sets.join(roots.withColumnRenamed("node", "set_hash"), "set_hash").join(counts, "set_hash", "left")
     named = common.saved(named, "linked-sets")
     lows = named.groupBy("root").agg(F.min("low").alias("low"), F.min("first").alias("first"))
+    lows = common.broadcast_if_small(common.saved(lows, "first-of-classes"))
     linked = named.select("set_hash", "root", "copies", "links").join(lows, "root").select("set_hash", "low", "first", "copies", "links")
     alone = sets.join(roots, sets["set_hash"] == roots["node"], "left_anti").withColumn("links", F.lit(0).cast("long"))
     every = linked.unionByName(alone)
     own = described.select("doc_id", "row_hash", "set_hash", F.col("n").alias("n_shingles"))
     with_words = own.filter("n_shingles > 0").join(every, "set_hash")
     first = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.row_hash") == F.col("row_hash"))
-    full = with_words.select("doc_id", "row_hash", "n_shingles", F.col("low").alias("component_id"), (F.col("copies") - 1 + F.col("links")).alias("n_links"), first.alias("is_first"))
-    empty = own.filter("n_shingles = 0").select("doc_id", "row_hash", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("is_first"))
+    full = with_words.select("doc_id", "row_hash", "n_shingles", F.col("low").alias("component_id"), (F.col("copies") - 1 + F.col("links") if count_links else F.lit(None).cast("long")).alias("n_links"), first.alias("is_first"))
+    none = F.lit(0 if count_links else None).cast("long")
+    empty = own.filter("n_shingles = 0").select("doc_id", "row_hash", "n_shingles", F.col("doc_id").alias("component_id"), none.alias("n_links"), F.lit(True).alias("is_first"))
     return full.unionByName(empty)
 
 
 def keep_first(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """documents with one row of each class of near copies, all columns as they are; texts without words all stay."""
-    classes = common.saved(jaccard_classes(documents, width, percent), "classes")
+    classes = common.saved(jaccard_classes(documents, width, percent, count_links=False), "classes")
     drop = classes.groupBy("doc_id", "row_hash").agg(F.count(F.lit(1)).alias("_rows"), F.bool_or("is_first").alias("_first"), F.max("n_shingles").alias("_n"))
     drop = drop.filter("NOT _first OR (_n > 0 AND _rows > 1)").select(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_hash"), "_first")
     drop = common.broadcast_if_small(common.saved(drop, "dropped"))

@@ -71,3 +71,23 @@ def test_one_of_each_class_stays(spark):
 
 def test_no_rows(spark):
     assert jaccard_groups.jaccard_classes(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_classes_alone_are_those_of_all_links(spark):
+    rows = corpus(11)
+    found = jaccard_groups.jaccard_classes(spark.createDataFrame(rows, SCHEMA).repartition(3), 5, 80, count_links=False)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found.collect()) == [r[:3] for r in brute(rows, 5, 80)]
+
+
+@pytest.mark.parametrize("percent", [60, 80, 90])
+def test_similar_sets_share_more_keys_than_they_may_do_without(percent):
+    rng, keys = random.Random(percent), jaccard_groups.Keys(percent)
+    for _ in range(3000):
+        union = rng.choice([3, 4, 5, 6, 9, 10, 15, 20, 40, 100, 150, 400])
+        other = rng.randrange(union - -(-union * percent // 100) + 1)
+        tokens = jaccard_groups.mixed(jaccard_groups.np.array([rng.getrandbits(64) for _ in range(union)], jaccard_groups.np.uint64))
+        jaccard_groups.np.random.default_rng(rng.getrandbits(32)).shuffle(tokens)
+        cut = rng.randrange(other + 1)
+        a, b = jaccard_groups.np.sort(tokens[cut:]), jaccard_groups.np.sort(jaccard_groups.np.concatenate([tokens[:cut], tokens[other:]]))
+        (of_a, room_a), (of_b, room_b) = keys.of(a), keys.of(b)
+        assert len(a) == len(b) == union == 0 or len(jaccard_groups.np.intersect1d(of_a, of_b)) > max(room_a, room_b)
