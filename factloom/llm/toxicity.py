@@ -1,15 +1,16 @@
 """Operator 2: toxicity by compression distance between zstandard dictionaries of toxic and ordinary text.
 
-Words of toxic training texts count by the number of different words before them, so that copies of one text count
-once; those that are many times as frequent as in ordinary texts make up the toxic dictionary, on top of the frequent
-words of ordinary texts, which are the ordinary dictionary. A window of a text is compressed with each; the margin is
-the difference of the lengths. What a document's margins come to is turned into a score by a logistic curve fitted on
-training rows that the dictionaries have not seen, moved so that the best cut lies at a score of 0.3.
-
-Training rows are dealt by crc32 of the doc_id, by 4: the dictionaries are made from all rows of remainders 0 and 1, the
-curve is fitted on CURVE_ROWS rows of remainder 3 at most, and remainder 2 is held out. All words are compared, whatever
-their length; of those that stand out the TOXIC_WORDS with the most contrast are taken. All windows of whole texts are
-scored.
+Two dictionaries are trained by zstandard: one on windows of ordinary texts, one on those pieces of toxic texts whose
+words stand out, that is, come many times as often as in ordinary texts (counted by the number of different words
+before them, so that copies of one text count once). A window of a text is compressed with the ordinary dictionary, and
+with the ordinary and the toxic one behind each other, so that what is ordinary costs the same in both; the margin is
+the difference of the lengths. Windows overlap by half. What a document's margins come to is turned into a score by a
+logistic curve fitted on training rows that the dictionaries have not seen, moved so that the best cut lies at a score
+of 0.3.
+
+Training rows are dealt by crc32 of the doc_id, by 4: words are compared on all rows of remainders 0 and 1; the
+dictionaries are trained on samples of these rows (WINDOWS windows, PIECES pieces), the curve is fitted on
+CURVE_ROWS rows of remainder 3 at most, and remainder 2 is held out. All windows of whole texts are scored.
 """
 
 from __future__ import annotations
@@ -31,9 +32,11 @@ LEVEL = 3
 SLACK = 3
 CUT = 0.3
 HELD_OUT = 2
-ORDINARY_WORDS, TOXIC_WORDS = 1_500, 4_000
+#: Sizes of the dictionaries, and what zstandard looks at in training: length of segments and of what must recur.
+ORDINARY_BYTES, TOXIC_BYTES, SEGMENT, RECURRING = 32_768, 16_384, 16, 6
 CONTEXTS, CONTRAST = 5, 8.0
-CURVE_ROWS = 20_000
+#: Bounds of the samples of labelled rows that the model is fitted on.
+WINDOWS, PIECES, CURVE_ROWS = 120_000, 50_000, 20_000
 EDGES = b".,!?;:\"'()#$%&*|"
 
 
@@ -62,15 +65,41 @@ def _contexts(rows: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     return met.distinct().groupBy("word").agg(F.count(F.lit(1)).alias("contexts"))
 
 
-def _frequent(rows: DataFrame) -> DataFrame:
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _windows(words: list[bytes], step: int = WINDOW // 2) -> list[bytes]:
+    return [b" " + b" ".join(words[i : i + WINDOW]) + b" " for i in range(0, max(1, len(words) - step), step)] if words else []
+
+
+def _sample(rows: DataFrame, cut, most: int, wanted: DataFrame | None = None) -> list[bytes]:
+    """`most` at most of the pieces (word, piece) that cut(words) makes of the texts, each text once, drawn by a hash of
+    text and place; (wanted) only those of words in wanted(word)."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own: Counter[bytes] = Counter()
-            for text in batch.column(0):
-                own.update(_words(text.as_py()))
-            yield pa.RecordBatch.from_arrays([pa.array(own.keys(), pa.binary()), pa.array(own.values(), pa.int64())], ["word", "n"])
+            rows = [(h, at, word, piece) for h, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for at, (word, piece) in enumerate(cut(_words(text.as_py())))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["text", "at", "word", "piece"])
+
+    texts = rows.groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"))
+    pieces = texts.mapInArrow(found, "text long, at long, word binary, piece binary")
+    pieces = pieces if wanted is None else pieces.join(wanted, "word", "left_semi")
+    return [bytes(r["piece"]) for r in pieces.select(F.xxhash64("text", "at").alias("h"), "piece").orderBy("h", "piece").limit(most).collect()]
+
+
+def _words_alone(words: list[bytes]) -> list[tuple[bytes, bytes]]:
+    return [(w.strip(EDGES), b" " + w + b" ") for w in words]
+
+
+def _windows_apart(words: list[bytes]) -> list[tuple[bytes, bytes]]:
+    return [(b"", w) for w in _windows(words, WINDOW)]
+
+
+def trained(samples: list[bytes], size: int) -> bytes:
+    """A dictionary of `size` bytes at most that zstandard trains on the samples. Of less than four times its size it
+    cannot tell what recurs; then the samples themselves, each once, the most frequent ones last."""
+    import zstandard
 
-    return rows.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    if sum(map(len, samples)) < 4 * size:
+        return b"".join(sorted(set(samples), key=lambda s, n=Counter(samples): (n[s], s)))[-size:]
+    return zstandard.train_dictionary(size, samples, k=SEGMENT, d=RECURRING).as_bytes()
 
 
 @dataclass
@@ -99,12 +128,11 @@ class Margins:
         self.ordinary, self.toxic = packer(ordinary), packer(toxic)
 
     def features(self, text: str | None) -> tuple[float, ...]:
-        words = _words(text)
-        windows = [b" " + b" ".join(words[i : i + WINDOW]) + b" " for i in range(0, len(words), WINDOW)]
-        margins = sorted((len(self.ordinary(w)) - len(self.toxic(w)) for w in windows), reverse=True) or [0]
-        above = sum(m - SLACK for m in margins if m > SLACK)
-        many = sum(m > SLACK for m in margins)
-        return above / len(margins) ** 0.5, float(min(margins[0], 24)), sum(margins[:3]) / min(3, len(margins)), (many / len(margins)) ** 0.5, float(np.log1p(above))
+        ordinary, toxic = self.ordinary, self.toxic
+        margins = sorted((len(ordinary(w)) - len(toxic(w)) for w in _windows(_words(text))), reverse=True) or [0]
+        n = len(margins)
+        some, many = sum(m > SLACK - 1 for m in margins), sum(m > SLACK + 1 for m in margins)
+        return sum(margins) / n, float(min(margins[0], 24)), sum(margins[:3]) / min(3, n), sum(margins[:8]) / min(8, n), some / n**0.5, (some / n) ** 0.5, many / n**0.5, (many / n) ** 0.5, float(np.log1p(some))
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -155,13 +183,9 @@ def train(labelled: DataFrame) -> Model | None:
     toxic = common.saved(_contexts(seen.filter("toxic = 1")).filter(F.col("contexts") >= CONTEXTS), "toxic-words")
     usual = _contexts(seen.filter("toxic = 0"), common.broadcast_if_small(toxic.select("word"))).withColumnRenamed("contexts", "usual")
     contrast = F.col("contexts") / words[1] / ((F.coalesce("usual", F.lit(0)) + 0.5) / words[0])
-    chosen = toxic.join(usual, "word", "left").withColumn("contrast", contrast).filter(F.col("contrast") >= CONTRAST)
-    chosen = chosen.orderBy(F.desc("contrast"), F.desc("contexts"), "word").limit(TOXIC_WORDS).collect()  # a dictionary holds no more
-    chosen = [bytes(r["word"]) for r in sorted(chosen, key=lambda r: (-r["contexts"], bytes(r["word"])))]
-    frequent = _frequent(seen.filter("toxic = 0")).orderBy(F.desc("n"), "word").limit(ORDINARY_WORDS).collect()
-    # the most frequent last: near places are the cheapest to refer to
-    ordinary = b" ".join(bytes(r["word"]) for r in reversed(frequent))
-    both = ordinary + b" " + b" ".join(reversed(chosen)) + b" "
+    chosen = common.saved(toxic.join(usual, "word", "left").filter(contrast >= CONTRAST).select("word"), "standing-out")
+    ordinary = trained(_sample(seen.filter("toxic = 0"), _windows_apart, WINDOWS), ORDINARY_BYTES)
+    both = ordinary + trained(_sample(seen.filter("toxic = 1"), _words_alone, PIECES, common.broadcast_if_small(chosen)), TOXIC_BYTES)
     features = _features(spark, ordinary, both)
     curve = rows.filter("fold = 3").withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(CURVE_ROWS)
     curve = curve.select(features("text").alias("x"), "toxic").toPandas()

@@ -36,7 +36,7 @@ def test_held_out_rows_are_told_apart(spark):
 
 
 def test_rare_and_short_toxic_words_are_not_pushed_out(spark, monkeypatch):
-    monkeypatch.setattr(toxicity, "TOXIC_WORDS", 5)
+    monkeypatch.setattr(toxicity, "PIECES", 100)
     rng = random.Random(12)
     usual = [f"word{i}" for i in range(60)]
     bad = ["zx", "zxvile", "zxfoul", "qqwretch", "qqs"]
@@ -47,4 +47,5 @@ def test_rare_and_short_toxic_words_are_not_pushed_out(spark, monkeypatch):
             words.insert(rng.randrange(len(words)), w)
         rows.append((i, " ".join(words), int(i % 5 == 0)))
     model = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
-    assert set(bad) <= set(model.toxic.decode().split())
+    learned = model.toxic.removeprefix(model.ordinary)
+    assert all(b" " + w.encode() in learned for w in bad)
