@@ -1,202 +1,321 @@
-"""Operator 10: perplexity under an interpolated modified Kneser-Ney model of trusted text, cut at a quantile by language.
+"""Operator 10: perplexity under an interpolated modified Kneser-Ney model of trusted text, cut at quantiles by language.
 
-Units are bytes of UTF-8 and the order is three, so that the model has at most 2**24 rows whatever the corpus: that is
-the bound under which it is broadcast. Counts are gathered from all trusted text: each task sums its own, then they are
-summed by n-gram across shards, and the model is made by joins of the count tables (trigrams with their contexts,
-their lower-order continuation counts and those contexts).
+Units are bytes of UTF-8, and the order is ORDER. Counts are gathered from all trusted text: each task sums its own, then
+they are summed by n-gram across shards, and the model is made by joins of the count tables:
 
-p3(c|ab) = max(n(abc) - D3, 0) / n(ab.) + g3(ab) p2(c|b), p2 and p1 alike from continuation counts, p1 mixed with
-1/256; D is the discount for counts 1, 2 and 3 or more, g the mass that discounts leave.
+p5(e|abcd) = max(n(abcde) - D5, 0) / n(abcd.) + g5(abcd) p4(e|bcd), and so on down to p1, mixed with 1/256. Lower orders
+count in how many n-grams of the next order they end; D is the discount for counts 1, 2 and 3 or more, g the mass that
+discounts leave.
+
+The model is a table of n-grams, which grows with the trusted text; it is never collected or broadcast. Documents come
+to it as chunks of about CHUNK bytes. A chunk's distinct n-grams are gathered (a few hundred thousand, whatever the
+documents) and joined with the shards of the model; the answers come back to the chunk, where each document's log
+probabilities are added up. Chunks lie in a bucketed table, so that texts themselves are never shuffled.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
 from statistics import NormalDist
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from . import common
 
+ORDER = 5
 #: Start and end marks of a text; both bytes never occur in UTF-8.
 START, END = 0xFE, 0xFF
-CHUNK = 1 << 21
+#: Bytes of text in a chunk; n-grams that a task holds before it merges them; n-grams of a shard of the model, about;
+#: chunks that ask a shard at once.
+CHUNK, MERGE, SHARD, TOGETHER = 12 << 20, 1 << 21, 1_000_000, 64
 #: One trusted text in so many is left out of training and sets the limits. Confidence of limits from few texts; below
 #: FEW texts nothing is known of the tail, and the limit is SPARE times the largest perplexity.
 LEFT_OUT, SURE, FEW, SPARE = 5, 0.95, 30, 1.5
+#: Bits below the order in a code.
+BITS = 8 * ORDER
 
 
-def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of all trigrams of the texts, each with two start marks and an end mark, and how many each text has."""
-    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    data = np.frombuffer(b"".join(bytes([START, START]) + r + bytes([END]) for r in raw), np.uint8).astype(np.uint32)
-    counts = np.array([len(r) + 1 for r in raw])
-    codes = (data[:-2] << np.uint32(16)) | (data[1:-1] << np.uint32(8)) | data[2:]
-    keep = np.ones(len(codes), bool)
-    ends = np.cumsum(counts + 2)[:-1]
-    keep[ends - 2] = keep[ends - 1] = False  # across two texts
-    return codes[keep], counts
+def ngrams(text: str | None) -> np.ndarray:
+    """The n-gram that ends at each unit of a text (its bytes and the end mark), as a number, without the order."""
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    data = np.frombuffer(bytes([START]) * (ORDER - 1) + raw + bytes([END]), np.uint8).astype(np.uint64)
+    out = np.zeros(len(raw) + 1, np.uint64)
+    for k in range(ORDER):
+        out = (out << np.uint64(8)) | data[k : k + len(out)]
+    return out
 
 
-def count_trigrams(texts: DataFrame) -> DataFrame:
-    """texts(text) -> code, n, summed over all rows."""
+class Distinct:
+    """Distinct numbers of many arrays, with their counts, merged whenever MERGE of them have come together."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, sums = np.empty(0, np.uint32), np.empty(0, np.int64)
+    def __init__(self):
+        self.values, self.sums = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, numbers: np.ndarray) -> None:
+        self.held.append(np.unique(numbers, return_counts=True))
+        self.size += len(self.held[-1][0])
+        if self.size >= MERGE:
+            self.merge()
 
-        def merged(more: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            u, n = np.unique(trigrams(more)[0], return_counts=True)
-            every, at = np.unique(np.concatenate([codes, u]), return_inverse=True)
-            return every, np.bincount(at, np.concatenate([sums, n])).astype(np.int64)
+    def merge(self) -> None:
+        values = np.concatenate([self.values, *(v for v, _ in self.held)])
+        sums = np.concatenate([self.sums, *(n for _, n in self.held)])
+        self.values, at = np.unique(values, return_inverse=True)
+        self.sums = np.bincount(at, sums, len(self.values)).astype(np.int64)
+        self.held, self.size = [], 0
 
+
+def count_ngrams(texts: DataFrame) -> DataFrame:
+    """texts(text) -> gram, n: the n-grams of the highest order, summed over all rows."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = Distinct()
         for batch in batches:
-            held, size = [], 0
-            for text in batch.column(0).to_pylist():
-                held.append(text)
-                size += len(text)
-                if size >= CHUNK:
-                    codes, sums = merged(held)
-                    held, size = [], 0
-            if held:
-                codes, sums = merged(held)
-        yield pa.RecordBatch.from_arrays([pa.array(codes.astype(np.int32)), pa.array(sums)], ["code", "n"])
+            for text in batch.column(0):
+                found.add(ngrams(text.as_py()))
+        found.merge()
+        yield pa.RecordBatch.from_arrays([pa.array(found.values.astype(np.int64)), pa.array(found.sums)], ["gram", "n"])
 
     common.ship(texts.sparkSession)
-    counted = texts.select("text").filter("text IS NOT NULL").mapInArrow(count, "code int, n long")
-    return counted.groupBy("code").agg(F.sum("n").alias("n"))
-
-
-def _discounts(counts: DataFrame) -> DataFrame:
-    """The discounts for counts 1, 2 and 3 or more, in one row. Where too few n-grams have small counts: 0.5, 1, 1.5."""
-    ones = [F.count_if(F.col("n") == k).alias(f"n{k}") for k in (1, 2, 3, 4)]
-    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
-    enough = (F.col("n1") > 0) & (F.col("n2") > 0) & (F.col("n3") > 0)
-    made = [F.when(enough, F.greatest(F.lit(0.0), k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}"))).otherwise(F.lit(0.5 * k)).alias(f"d{k}") for k in (1, 2, 3)]
-    return counts.agg(*ones).select(*made)
-
-
-def _smoothed(counts: DataFrame, context: list[str]) -> tuple[DataFrame, DataFrame]:
-    """counts with `own` (the discounted share) and the contexts with `left` (the mass for the lower order)."""
-    d = _discounts(counts).first()
-    discount = F.when(F.col("n") == 1, d["d1"]).when(F.col("n") == 2, d["d2"]).otherwise(d["d3"])
-    held = counts.withColumn("cut", F.least(discount, F.col("n").cast("double")))
-    totals = held.groupBy(*context).agg(F.sum("n").alias("total"), F.sum("cut").alias("cut_sum"))
-    contexts = totals.withColumn("left", F.col("cut_sum") / F.col("total"))
-    shares = held.join(contexts.select(*context, "total"), context) if context else held.crossJoin(contexts.select("total"))  # one row
-    return shares.withColumn("own", (F.col("n") - F.col("cut")) / F.col("total")).drop("cut", "total", "n"), contexts.select(*context, "left")
-
-
-@dataclass
-class Model:
-    """codes and log probabilities of seen trigrams; what contexts leave to lower orders; lower orders as tables."""
-
-    codes: np.ndarray
-    logs: np.ndarray
-    left3: np.ndarray  # by context, 65,536
-    p2: np.ndarray  # by bigram, 65,536
-
-    def table(self) -> np.ndarray:
-        """Log probabilities of all 2**24 trigrams."""
-        full = np.empty((256, 65536), np.float32)
-        for a in range(256):  # row a at a time, so that little more than the result is held
-            full[a] = np.log(np.maximum(np.repeat(self.left3[a << 8 : (a + 1) << 8], 256) * self.p2, 1e-12))
-        full = full.reshape(-1)
-        full[self.codes] = self.logs
-        return full
-
-
-def train(texts: DataFrame) -> Model:
-    """The model of texts(text). Without any text every byte is alike."""
-    c3 = common.saved(count_trigrams(texts).select(F.shiftright("code", 16).alias("a"), F.shiftright("code", 8).bitwiseAND(255).alias("b"), F.col("code").bitwiseAND(255).alias("c"), "n"), "trigram-counts")
-    c2 = common.saved(c3.groupBy("b", "c").agg(F.count(F.lit(1)).alias("n")), "bigram-counts")
-    c1 = c2.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
-    s3, left3 = _smoothed(c3, ["a", "b"])
-    s2, left2 = _smoothed(c2, ["b"])
-    s1, left1 = _smoothed(c1, [])
-    rest = left1.first()
-    symbols = c3.sparkSession.range(256).select(F.col("id").cast("int").alias("c"))
-    floor = (rest["left"] if rest and rest["left"] is not None else 1.0) / 256
-    p1 = symbols.join(s1, "c", "left").select("c", (F.coalesce("own", F.lit(0.0)) + floor).alias("p1"))
-    pairs = symbols.select(F.col("c").alias("b")).crossJoin(p1)  # 256 x 256 whatever the corpus
-    p2 = pairs.join(left2, "b", "left").join(s2, ["b", "c"], "left").select("b", "c", (F.coalesce("own", F.lit(0.0)) + F.coalesce("left", F.lit(1.0)) * F.col("p1")).alias("p2"))
-    p2 = common.saved(p2, "bigram-model")
-    p3 = s3.join(left3, ["a", "b"]).join(p2, ["b", "c"]).select((F.shiftleft("a", 16) + F.shiftleft("b", 8) + F.col("c")).alias("code"), F.log(F.col("own") + F.col("left") * F.col("p2")).alias("log_p"))
-    seen, low, ctx = p3.toPandas(), p2.toPandas(), left3.toPandas()  # at most 2**24, 2**16 and 2**16 rows
-    by_context, by_pair = np.ones(65536, np.float32), np.full(65536, 1 / 256, np.float32)
-    by_context[(ctx["a"].to_numpy(np.int64) << 8) | ctx["b"].to_numpy(np.int64)] = ctx["left"].to_numpy()
-    by_pair[(low["b"].to_numpy(np.int64) << 8) | low["c"].to_numpy(np.int64)] = low["p2"].to_numpy()
-    return Model(seen["code"].to_numpy(np.int64), seen["log_p"].to_numpy(np.float32), by_context, by_pair)
-
-
-def scorer(spark: SparkSession, model: Model):
-    """A column function: text -> struct(units, log_p), log_p the sum over units (its bytes and the end mark)."""
+    return texts.select("text").filter("text IS NOT NULL").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+
+
+def _discounts(counts: DataFrame) -> dict[str, float]:
+    """The discounts for counts 1, 2 and 3 or more. Where too few n-grams have small counts: 0.5, 1, 1.5."""
+    row = counts.agg(*[F.count_if(F.col("n") == k).alias(f"n{k}") for k in (1, 2, 3, 4)]).first()
+    if not (row["n1"] and row["n2"] and row["n3"]):
+        return {"d1": 0.5, "d2": 1.0, "d3": 1.5}
+    y = row["n1"] / (row["n1"] + 2 * row["n2"])
+    return {f"d{k}": max(0.0, k - (k + 1) * y * row[f"n{k + 1}"] / row[f"n{k}"]) for k in (1, 2, 3)}
+
+
+def train(texts: DataFrame) -> DataFrame | None:
+    """The model of texts(text), a saved table: code (order and n-gram), log_p (null for what is a context only) and
+    left (log of the mass that it leaves as a context to lower orders; 0 where it is none). None without any text."""
+    counts = {ORDER: common.saved(count_ngrams(texts), "counts")}
+    if counts[ORDER].isEmpty():
+        return None
+    for k in range(ORDER - 1, 0, -1):
+        ends = F.col("gram").bitwiseAND((1 << 8 * k) - 1)
+        counts[k] = common.saved(counts[k + 1].groupBy(ends.alias("gram")).agg(F.count(F.lit(1)).alias("n")), "counts")
+    lower, parts = None, []
+    for k in range(1, ORDER + 1):
+        d = _discounts(counts[k])
+        cut = F.least(F.when(F.col("n") == 1, d["d1"]).when(F.col("n") == 2, d["d2"]).otherwise(d["d3"]), F.col("n").cast("double"))
+        held = counts[k].select("gram", F.shiftright("gram", 8).alias("context"), "n", cut.alias("cut"))
+        contexts = held.groupBy("context").agg(F.sum("n").alias("total"), (F.sum("cut") / F.sum("n")).alias("left"))
+        shares = held.join(contexts, "context").select("gram", ((F.col("n") - F.col("cut")) / F.col("total")).alias("own"), "left", F.col("gram").bitwiseAND((1 << 8 * (k - 1)) - 1).alias("end"))
+        if lower is None:
+            shares = shares.withColumn("under", F.lit(1 / 256))
+        else:
+            shares = shares.join(lower.select(F.col("gram").alias("end"), F.col("p").alias("under")), "end")
+        lower = common.saved(shares.select("gram", (F.col("own") + F.col("left") * F.col("under")).alias("p")), "probabilities")
+        parts.append(lower.select((F.col("gram") + (k << BITS)).alias("code"), F.log("p").alias("log_p"), F.lit(None).cast("double").alias("left")))
+        # order 0: the mass that single bytes leave to 1/256
+        parts.append(contexts.select((F.col("context") + (k - 1 << BITS)).alias("code"), F.lit(None).cast("double").alias("log_p"), F.log("left").alias("left")))
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    return common.saved(rows.groupBy("code").agg(F.max("log_p").alias("log_p"), F.coalesce(F.max("left"), F.lit(0.0)).alias("left")), "model")
+
+
+def _code(grams: np.ndarray, order: int) -> np.ndarray:
+    return grams | np.uint64(order << BITS)
+
+
+def all_orders(grams: np.ndarray) -> np.ndarray:
+    """Codes, sorted, of n-grams and of all that a lookup of them may fall back on: ends and contexts of each order."""
+    out = [_code(grams, ORDER)]
+    for k in range(ORDER - 1, -1, -1):
+        grams = np.unique(np.concatenate([grams >> np.uint64(8), grams & np.uint64((1 << 8 * k) - 1)]))
+        out.append(_code(grams, k))
+    return np.concatenate(out[::-1])
+
+
+def log_probabilities(grams: np.ndarray, codes: np.ndarray, log_p: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Of sorted n-grams of the highest order, from what the model says of `codes` (log_p is NaN where it has none)."""
+
+    def at(order: int, values: np.ndarray) -> np.ndarray:
+        return np.searchsorted(codes, _code(values, order))
+
+    total, end, open_ = np.zeros(len(grams)), grams, np.arange(len(grams))
+    for k in range(ORDER, 0, -1):
+        found = log_p[at(k, end)]
+        known = ~np.isnan(found)
+        total[open_[known]] += found[known]
+        open_, end = open_[~known], end[~known]
+        total[open_] += left[at(k - 1, end >> np.uint64(8))]
+        end = end & np.uint64((1 << 8 * (k - 1)) - 1)
+    total[open_] += np.log(1 / 256)
+    return total
+
+
+def _packed(numbers: np.ndarray) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(numbers.tobytes())
+
+
+def _unpacked(data: bytes, kind) -> np.ndarray:
+    import zstandard
+
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
+
+
+def chunked(documents: DataFrame) -> DataFrame:
+    """documents in a bucketed table of chunks: chunk, rows (Arrow stream of all columns), codes (all that its texts look
+    up in the model; sorted, as differences)."""
+    spark, place = documents.sparkSession, documents.columns.index("text")
     common.ship(spark)
-    held = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("units long, log_p double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        table = held.value.table()
-        for series in batches:
-            sums, units = [], []
-            texts = series.tolist()
-            for at in range(0, len(texts), 256):
-                codes, counts = trigrams(texts[at : at + 256])
-                starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
-                sums.append(np.add.reduceat(table[codes].astype(np.float64), starts))
-                units.append(counts)
-            yield pd.DataFrame({"units": np.concatenate(units) if units else [], "log_p": np.concatenate(sums) if sums else []})
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, found, size = [], Distinct(), 0
+
+        def closed() -> pa.RecordBatch:
+            found.merge()
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                for b in held:
+                    out.write_batch(b)
+            codes = np.diff(all_orders(found.values), prepend=np.uint64(0))
+            row = [uuid.uuid4().int >> 65], [sink.getvalue().to_pybytes()], [_packed(codes)]
+            return pa.RecordBatch.from_arrays([pa.array(row[0], pa.int64()), pa.array(row[1], pa.binary()), pa.array(row[2], pa.binary())], ["chunk", "rows", "codes"])
 
-    return score
+        for batch in batches:
+            start = 0
+            for i, text in enumerate(batch.column(place)):
+                grams = ngrams(text.as_py())
+                found.add(grams)
+                size += len(grams)
+                if size >= CHUNK:
+                    held.append(batch.slice(start, i + 1 - start))
+                    yield closed()
+                    held, found, size, start = [], Distinct(), 0, i + 1
+            if start < batch.num_rows:
+                held.append(batch.slice(start))
+        if held:
+            yield closed()
+
+    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    name = f"chunks_{uuid.uuid4().hex}"
+    packed = documents.mapInArrow(pack, "chunk long, rows binary, codes binary")
+    packed.write.bucketBy(buckets, "chunk").option("path", common.new_folder(spark, "chunks")).saveAsTable(name)
+    return spark.table(name)
+
+
+def scored(documents: DataFrame, model: DataFrame) -> DataFrame:
+    """documents with units (bytes and the end mark) and log_p (the sum over units, natural logarithm)."""
+    chunks = chunked(documents)
+    shards = max(1, -(-model.count() // SHARD))
+    salts = max(1, -(-chunks.count() // TOGETHER))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                codes = np.cumsum(_unpacked(raw.as_py(), np.uint64))
+                of = codes % np.uint64(shards)
+                parts = [_packed(np.diff(codes[of == s], prepend=np.uint64(0))) for s in range(shards)]
+                yield pa.RecordBatch.from_arrays([pa.array(range(shards), pa.int32()), pa.array([chunk % salts] * shards, pa.int32()), pa.array([chunk] * shards, pa.int64()), pa.array(parts, pa.binary())], ["shard", "salt", "chunk", "codes"])
+
+    def answer(asked: pa.Table, held: pa.Table) -> pa.Table:
+        known = held.column("code").to_numpy().astype(np.uint64)
+        order = np.argsort(known)
+        known, log_p, left = known[order], held.column("log_p").to_numpy().astype(np.float32)[order], held.column("left").to_numpy().astype(np.float32)[order]
+        rows = []
+        for chunk, shard, raw in zip(*(asked.column(c).to_pylist() for c in ("chunk", "shard", "codes")), strict=True):
+            codes = np.cumsum(_unpacked(raw, np.uint64))
+            at = np.minimum(np.searchsorted(known, codes), max(0, len(known) - 1))
+            met = known[at] == codes if len(known) else np.zeros(len(codes), bool)
+            p, rest = np.full(len(codes), np.nan, np.float32), np.zeros(len(codes), np.float32)
+            p[met], rest[met] = log_p[at[met]], left[at[met]]
+            rows.append((chunk, shard, _packed(p), _packed(rest)))
+        return pa.table({n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate((("chunk", pa.int64()), ("shard", pa.int32()), ("log_p", pa.binary()), ("left", pa.binary())))})
+
+    def sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                codes = np.cumsum(_unpacked(batch.column("codes")[i].as_py(), np.uint64))
+                of, log_p, left = codes % np.uint64(shards), np.full(len(codes), np.nan), np.zeros(len(codes))
+                for part in batch.column("answers")[i].as_py() or []:
+                    mine = of == part["shard"]
+                    log_p[mine], left[mine] = _unpacked(part["log_p"], np.float32), _unpacked(part["left"], np.float32)
+                grams = codes[np.searchsorted(codes, np.uint64(ORDER << BITS)) :] & np.uint64((1 << BITS) - 1)
+                each = log_probabilities(grams, codes, log_p, left)
+                for rows in pa.ipc.open_stream(batch.column("rows")[i].as_py()):
+                    units, sums = [], []
+                    for text in rows.column(place):
+                        own = ngrams(text.as_py())
+                        units.append(len(own))
+                        sums.append(float(each[np.searchsorted(grams, own)].sum()))
+                    yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(units, pa.int64()), pa.array(sums, pa.float64())], schema=_schema(rows.schema))
+
+    def _schema(own: pa.Schema) -> pa.Schema:
+        return own.append(pa.field("units", pa.int64())).append(pa.field("log_p", pa.float64()))
+
+    place = documents.columns.index("text")
+    asked = chunks.select("chunk", "codes").mapInArrow(ask, "shard int, salt int, chunk long, codes binary")
+    held = model.withColumn("shard", F.pmod("code", F.lit(shards)).cast("int")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    answers = asked.groupBy("shard", "salt").cogroup(held.groupBy("shard", "salt")).applyInArrow(answer, "chunk long, shard int, log_p binary, left binary")
+    answers = answers.groupBy("chunk").agg(F.collect_list(F.struct("shard", "log_p", "left")).alias("answers"))  # a row a shard
+    schema = StructType([*documents.schema.fields, StructField("units", LongType()), StructField("log_p", DoubleType())])
+    return chunks.hint("merge").join(answers, "chunk", "left").select("rows", "codes", "answers").mapInArrow(sum_up, schema)
 
 
 def left_out(text: Column) -> Column:
-    """Whether a trusted text sets the limit; copies of a text fall on the same side."""
+    """Whether a trusted text sets the limits; copies of a text fall on the same side."""
     return F.pmod(F.xxhash64(text), F.lit(LEFT_OUT)) == 0
 
 
-def _limit(quantile: float) -> Column:
-    """The quantile of p. With so few rows that it lies beyond them all, its upper bound under a normal law of log p
-    (Natrella's tolerance factor), the largest p at least; null for fewer than FEW rows."""
-    z, c, n = NormalDist().inv_cdf(quantile), NormalDist().inv_cdf(SURE), F.count("p")
+def _limit(quantile: float, above: bool) -> Column:
+    """The quantile of p (the lower one where not `above`). With so few rows that it lies beyond them all, its outer bound
+    under a normal law of log p (Natrella's tolerance factor), the outermost p at least; null for fewer than FEW rows."""
+    tail = 1 - quantile if above else quantile
+    z, c, n = NormalDist().inv_cdf(1 - tail), NormalDist().inv_cdf(SURE), F.count("p")
     a, b = 1 - c * c / (2 * F.greatest(n - 1, F.lit(1))), z * z - c * c / F.greatest(n, F.lit(1))
-    bound = F.exp(F.avg(F.log("p")) + (z + F.sqrt(z * z - a * b)) / a * F.stddev(F.log("p")))
-    return F.when(n * (1 - quantile) >= 1, F.percentile_approx("p", quantile, 10_000)).when(n >= FEW, F.greatest(F.max("p"), bound))
+    wide = (z + F.sqrt(z * z - a * b)) / a * F.stddev(F.log("p"))
+    outer = F.greatest(F.max("p"), F.exp(F.avg(F.log("p")) + wide)) if above else F.least(F.min("p"), F.exp(F.avg(F.log("p")) - wide))
+    return F.when(n * tail >= 1, F.percentile_approx("p", quantile, 10_000)).when(n >= FEW, outer)
 
 
-def judged(documents: DataFrame, trusted_ids: DataFrame, quantile: float = 0.99, prior_units: int = 64) -> DataFrame:
-    """documents with _perplexity, _limit and _kept.
+def judged(documents: DataFrame, trusted_ids: DataFrame, quantile: float = 0.99, low: float = 0.001, prior_units: int = 64) -> DataFrame:
+    """documents with _perplexity, _floor, _limit and _kept.
 
     Trusted text: the documents whose doc_id is in trusted_ids(doc_id); one text in LEFT_OUT is left out of training.
     Perplexity is that of the mean log probability a byte; each text is taken together with prior_units bytes of the
-    mean of the texts left out, so that a few words say little. _limit is the `quantile` of the perplexities of the
-    texts left out of the same language (of all, for a language with fewer than FEW; lang null is a language). Kept: at
-    most _limit. With fewer than FEW texts left out in all, _limit is SPARE times the largest perplexity; without any,
-    all stay, as do null and empty texts. Whole texts are scored; rows that repeat are judged alike; other columns stay
-    as they are.
+    mean of the texts left out, so that a few words say little. _limit is the `quantile`, _floor the quantile `low` of
+    the perplexities of the texts left out of the same language (of all, for a language with fewer than FEW; lang null
+    is a language). Kept: from _floor to _limit; below are texts that say the same few words again and again. With fewer
+    than FEW texts left out in all, _limit is SPARE times the largest perplexity and _floor the smallest by SPARE; without
+    any, all stay, as do null and empty texts. Whole texts are scored, however long; rows that repeat are judged alike;
+    other columns stay as they are, except for columns with one of these names, which are overwritten. No rows: none.
     """
-    spark = documents.sparkSession
+    documents = documents.drop("_perplexity", "_floor", "_limit", "_kept")
     ids = common.broadcast_if_small(trusted_ids.select(F.col("doc_id").alias("_trusted_id")).distinct())
     trusted = documents.join(ids, documents["doc_id"] == ids["_trusted_id"], "left_semi").select("lang", "text").filter("text IS NOT NULL")
-    score = scorer(spark, train(trusted.filter(~left_out(F.col("text")))))
-    raw = common.saved(trusted.filter(left_out(F.col("text"))).withColumn("s", score("text")).select("lang", "s.units", "s.log_p"), "left-out-scores")
-    mean = raw.agg((F.sum("log_p") / F.sum("units")).alias("m")).first()["m"]
+    model = train(trusted.filter(~left_out(F.col("text"))))
+    own = None if model is None else common.saved(scored(trusted.filter(left_out(F.col("text"))), model).select("lang", "units", "log_p"), "left-out-scores")
+    mean = None if own is None else own.agg((F.sum("log_p") / F.sum("units")).alias("m")).first()["m"]
     if mean is None:
-        return documents.select("*", F.lit(None).cast("double").alias("_perplexity"), F.lit(None).cast("double").alias("_limit"), F.lit(True).alias("_kept"))
+        nothing = F.lit(None).cast("double")
+        return documents.select("*", nothing.alias("_perplexity"), nothing.alias("_floor"), nothing.alias("_limit"), F.lit(True).alias("_kept"))
 
     def perplexity(log_p: Column, units: Column) -> Column:
         return F.exp(-(log_p + F.lit(prior_units * mean)) / (units + prior_units))
 
-    known = raw.select("lang", perplexity(F.col("log_p"), F.col("units")).alias("p"))
-    whole = known.agg(F.coalesce(_limit(quantile), SPARE * F.max("p")).alias("q")).first()["q"]
-    limits = common.saved(known.groupBy(F.col("lang").alias("_lang")).agg(_limit(quantile).alias("_own")), "limits")
+    known = own.select("lang", perplexity(F.col("log_p"), F.col("units")).alias("p"))
+    whole = known.agg(F.coalesce(_limit(quantile, True), SPARE * F.max("p")).alias("high"), F.coalesce(_limit(low, False), F.min("p") / SPARE).alias("low")).first()
+    limits = common.saved(known.groupBy(F.col("lang").alias("_of")).agg(_limit(quantile, True).alias("_high"), _limit(low, False).alias("_low")), "limits")
     limits = common.broadcast_if_small(limits, 10_000)
-    scored = documents.withColumn("_s", score("text"))
-    scored = scored.join(limits, scored["lang"].eqNullSafe(limits["_lang"]), "left")
-    scored = scored.withColumn("_perplexity", perplexity(F.col("_s.log_p"), F.col("_s.units"))).withColumn("_limit", F.coalesce("_own", F.lit(whole)))
-    kept = (F.coalesce(F.length("text"), F.lit(0)) == 0) | (F.col("_perplexity") <= F.col("_limit"))
-    return scored.withColumn("_kept", kept).drop("_s", "_lang", "_own")
+    base = documents.select(F.struct(*documents.columns).alias("row"), "lang", "text")
+    found = scored(base, model)
+    found = found.join(limits, found["lang"].eqNullSafe(limits["_of"]), "left")
+    floor, limit, p = F.coalesce("_low", F.lit(whole["low"])), F.coalesce("_high", F.lit(whole["high"])), perplexity(F.col("log_p"), F.col("units"))
+    kept = (F.coalesce(F.length("text"), F.lit(0)) == 0) | p.between(floor, limit)
+    return found.select("row.*", p.alias("_perplexity"), floor.alias("_floor"), limit.alias("_limit"), kept.alias("_kept"))

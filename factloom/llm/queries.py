@@ -64,7 +64,7 @@ def op10_ngram_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents judged by a model of those labelled as of good quality."""
     trusted = common.table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
     found = ngram_quality.judged(common.table(spark, sf_dir, "documents"), trusted)
-    return found.select("doc_id", "lang", F.col("_perplexity").alias("perplexity"), F.col("_limit").alias("limit"), F.col("_kept").alias("kept"))
+    return found.select("doc_id", "lang", F.col("_perplexity").alias("perplexity"), F.col("_floor").alias("floor"), F.col("_limit").alias("limit"), F.col("_kept").alias("kept"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
