@@ -211,7 +211,8 @@ def chunked(documents: DataFrame) -> DataFrame:
 
 
 def scored(documents: DataFrame, model: DataFrame) -> DataFrame:
-    """documents with units (bytes and the end mark) and log_p (the sum over units, natural logarithm)."""
+    """documents with _units (bytes and the end mark) and _log_p (the sum over units, natural logarithm)."""
+    documents = documents.drop("_units", "_log_p")
     chunks = chunked(documents)
     shards = max(1, -(-model.count() // SHARD))
     salts = max(1, -(-chunks.count() // TOGETHER))
@@ -257,14 +258,14 @@ def scored(documents: DataFrame, model: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(units, pa.int64()), pa.array(sums, pa.float64())], schema=_schema(rows.schema))
 
     def _schema(own: pa.Schema) -> pa.Schema:
-        return own.append(pa.field("units", pa.int64())).append(pa.field("log_p", pa.float64()))
+        return own.append(pa.field("_units", pa.int64())).append(pa.field("_log_p", pa.float64()))
 
     place = documents.columns.index("text")
     asked = chunks.select("chunk", "codes").mapInArrow(ask, "shard int, salt int, chunk long, codes binary")
     held = model.withColumn("shard", F.pmod("code", F.lit(shards)).cast("int")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     answers = asked.groupBy("shard", "salt").cogroup(held.groupBy("shard", "salt")).applyInArrow(answer, "chunk long, shard int, log_p binary, left binary")
     answers = answers.groupBy("chunk").agg(F.collect_list(F.struct("shard", "log_p", "left")).alias("answers"))  # a row a shard
-    schema = StructType([*documents.schema.fields, StructField("units", LongType()), StructField("log_p", DoubleType())])
+    schema = StructType([*documents.schema.fields, StructField("_units", LongType()), StructField("_log_p", DoubleType())])
     return chunks.hint("merge").join(answers, "chunk", "left").select("rows", "codes", "answers").mapInArrow(sum_up, schema)
 
 
@@ -294,13 +295,13 @@ def judged(documents: DataFrame, trusted_ids: DataFrame, quantile: float = 0.99,
     is a language). Kept: from _floor to _limit; below are texts that say the same few words again and again. With fewer
     than FEW texts left out in all, _limit is SPARE times the largest perplexity and _floor the smallest by SPARE; without
     any, all stay, as do null and empty texts. Whole texts are scored, however long; rows that repeat are judged alike;
-    other columns stay as they are, except for columns with one of these names, which are overwritten. No rows: none.
+    other columns stay as they are, but for columns of these names (and _units, _log_p), which are left out. No rows: none.
     """
-    documents = documents.drop("_perplexity", "_floor", "_limit", "_kept")
+    documents = documents.drop("_perplexity", "_floor", "_limit", "_kept", "_units", "_log_p")
     ids = common.broadcast_if_small(trusted_ids.select(F.col("doc_id").alias("_trusted_id")).distinct())
     trusted = documents.join(ids, documents["doc_id"] == ids["_trusted_id"], "left_semi").select("lang", "text").filter("text IS NOT NULL")
     model = train(trusted.filter(~left_out(F.col("text"))))
-    own = None if model is None else common.saved(scored(trusted.filter(left_out(F.col("text"))), model).select("lang", "units", "log_p"), "left-out-scores")
+    own = None if model is None else common.saved(scored(trusted.filter(left_out(F.col("text"))), model).select("lang", F.col("_units").alias("units"), F.col("_log_p").alias("log_p")), "left-out-scores")
     mean = None if own is None else own.agg((F.sum("log_p") / F.sum("units")).alias("m")).first()["m"]
     if mean is None:
         nothing = F.lit(None).cast("double")
@@ -313,9 +314,8 @@ def judged(documents: DataFrame, trusted_ids: DataFrame, quantile: float = 0.99,
     whole = known.agg(F.coalesce(_limit(quantile, True), SPARE * F.max("p")).alias("high"), F.coalesce(_limit(low, False), F.min("p") / SPARE).alias("low")).first()
     limits = common.saved(known.groupBy(F.col("lang").alias("_of")).agg(_limit(quantile, True).alias("_high"), _limit(low, False).alias("_low")), "limits")
     limits = common.broadcast_if_small(limits, 10_000)
-    base = documents.select(F.struct(*documents.columns).alias("row"), "lang", "text")
-    found = scored(base, model)
+    found = scored(documents, model)
     found = found.join(limits, found["lang"].eqNullSafe(limits["_of"]), "left")
-    floor, limit, p = F.coalesce("_low", F.lit(whole["low"])), F.coalesce("_high", F.lit(whole["high"])), perplexity(F.col("log_p"), F.col("units"))
+    floor, limit, p = F.coalesce("_low", F.lit(whole["low"])), F.coalesce("_high", F.lit(whole["high"])), perplexity(F.col("_log_p"), F.col("_units"))
     kept = (F.coalesce(F.length("text"), F.lit(0)) == 0) | p.between(floor, limit)
-    return found.select("row.*", p.alias("_perplexity"), floor.alias("_floor"), limit.alias("_limit"), kept.alias("_kept"))
+    return found.select(*documents.columns, p.alias("_perplexity"), floor.alias("_floor"), limit.alias("_limit"), kept.alias("_kept"))

@@ -66,8 +66,8 @@ def test_scores_are_those_of_the_formulas(spark, monkeypatch):
     got = {r.doc_id: r for r in ngram_quality.scored(docs, model).collect()}
     assert len(got) == len(others + texts) and {r.chunk for r in got.values()} == {"x"}
     for i, t in enumerate(others + texts):
-        assert got[i].units == len((t or "").encode()) + 1
-        assert abs(got[i].log_p - score(t or "")) <= 1e-5 * abs(score(t or ""))
+        assert got[i]._units == len((t or "").encode()) + 1
+        assert abs(got[i]._log_p - score(t or "")) <= 1e-5 * abs(score(t or ""))
 
 
 def test_repeated_words_empty_tables_and_clashing_names(spark):
