@@ -9,7 +9,8 @@ logistic curve fitted on training rows that the dictionaries have not seen, move
 of 0.3.
 
 Training rows are dealt by crc32 of the doc_id, by 4: words are compared on all rows of remainders 0 and 1; the
-dictionaries are trained on samples of these rows (WINDOWS windows, PIECES pieces), the curve is fitted on
+dictionaries are trained on samples of these rows (texts of about ORDINARY_SAMPLE and TOXIC_SAMPLE
+characters, drawn by hash), the curve is fitted on
 CURVE_ROWS rows of remainder 3 at most, and remainder 2 is held out. All windows of whole texts are scored.
 """
 
@@ -35,8 +36,8 @@ HELD_OUT = 2
 #: Sizes of the dictionaries, and what zstandard looks at in training: length of segments and of what must recur.
 ORDINARY_BYTES, TOXIC_BYTES, SEGMENT, RECURRING = 32_768, 16_384, 16, 6
 CONTEXTS, CONTRAST = 5, 8.0
-#: Bounds of the samples of labelled rows that the model is fitted on.
-WINDOWS, PIECES, CURVE_ROWS = 120_000, 50_000, 20_000
+#: Bounds of the samples of labelled rows that the model is fitted on: characters of ordinary and of toxic text for the dictionaries, about, and rows for the curve.
+ORDINARY_SAMPLE, TOXIC_SAMPLE, CURVE_ROWS = 8_000_000, 64_000_000, 20_000
 EDGES = b".,!?;:\"'()#$%&*|"
 
 
@@ -69,19 +70,21 @@ def _windows(words: list[bytes], step: int = WINDOW // 2) -> list[bytes]:
     return [b" " + b" ".join(words[i : i + WINDOW]) + b" " for i in range(0, max(1, len(words) - step), step)] if words else []
 
 
-def _sample(rows: DataFrame, cut, most: int, wanted: DataFrame | None = None) -> list[bytes]:
-    """`most` at most of the pieces (word, piece) that cut(words) makes of the texts, each text once, drawn by a hash of
-    text and place; (wanted) only those of words in wanted(word)."""
+def _sample(rows: DataFrame, share: float, cut, wanted: DataFrame | None = None) -> list[bytes]:
+    """The pieces (word, piece) that cut(words) makes of a share of the texts, each text once; (wanted) only those of
+    words in wanted(word)."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(h, at, word, piece) for h, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for at, (word, piece) in enumerate(cut(_words(text.as_py())))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["text", "at", "word", "piece"])
+            for text in batch.column(0):
+                pieces = cut(_words(text.as_py()))
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pieces], pa.binary()) for k in range(2)], ["word", "piece"])
 
-    texts = rows.groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"))
-    pieces = texts.mapInArrow(found, "text long, at long, word binary, piece binary")
+    drawn = rows.select("text", F.xxhash64("text").alias("h")).filter(F.pmod("h", F.lit(1_000_000)) < int(1_000_000 * min(1.0, share)))
+    texts = drawn.groupBy("h").agg(F.first("text").alias("text")).select("text")
+    pieces = texts.mapInArrow(found, "word binary, piece binary")
     pieces = pieces if wanted is None else pieces.join(wanted, "word", "left_semi")
-    return [bytes(r["piece"]) for r in pieces.select(F.xxhash64("text", "at").alias("h"), "piece").orderBy("h", "piece").limit(most).collect()]
+    return sorted(bytes(r["piece"]) for r in pieces.select("piece").collect())
 
 
 def _words_alone(words: list[bytes]) -> list[tuple[bytes, bytes]]:
@@ -184,8 +187,8 @@ def train(labelled: DataFrame) -> Model | None:
     usual = _contexts(seen.filter("toxic = 0"), common.broadcast_if_small(toxic.select("word"))).withColumnRenamed("contexts", "usual")
     contrast = F.col("contexts") / words[1] / ((F.coalesce("usual", F.lit(0)) + 0.5) / words[0])
     chosen = common.saved(toxic.join(usual, "word", "left").filter(contrast >= CONTRAST).select("word"), "standing-out")
-    ordinary = trained(_sample(seen.filter("toxic = 0"), _windows_apart, WINDOWS), ORDINARY_BYTES)
-    both = ordinary + trained(_sample(seen.filter("toxic = 1"), _words_alone, PIECES, common.broadcast_if_small(chosen)), TOXIC_BYTES)
+    ordinary = trained(_sample(seen.filter("toxic = 0"), ORDINARY_SAMPLE / words[0], _windows_apart), ORDINARY_BYTES)
+    both = ordinary + trained(_sample(seen.filter("toxic = 1"), TOXIC_SAMPLE / words[1], _words_alone, common.broadcast_if_small(chosen)), TOXIC_BYTES)
     features = _features(spark, ordinary, both)
     curve = rows.filter("fold = 3").withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(CURVE_ROWS)
     curve = curve.select(features("text").alias("x"), "toxic").toPandas()

@@ -35,8 +35,7 @@ def test_held_out_rows_are_told_apart(spark):
     assert {r.score for r in none} == {0.0} and len(none) == len(docs)
 
 
-def test_rare_and_short_toxic_words_are_not_pushed_out(spark, monkeypatch):
-    monkeypatch.setattr(toxicity, "PIECES", 100)
+def test_rare_and_short_toxic_words_are_not_pushed_out(spark):
     rng = random.Random(12)
     usual = [f"word{i}" for i in range(60)]
     bad = ["zx", "zxvile", "zxfoul", "qqwretch", "qqs"]
