@@ -27,14 +27,14 @@ class IdEncoder:
     The byte-level pattern of this tokenizer never joins a character that is not white space with white space after
     it, so a text may be cut before each space that follows such a character, and the parts encoded alone give the
     same ids. Parts repeat (they are words), so their ids are kept, up to `limit` parts. A text with a space after
-    white space is encoded as one piece.
+    white space, or with the string of an added token (which gives that token's id), is encoded as one piece.
     """
 
     def __init__(self, path: str, limit: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # a special token's string in a text is ordinary text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.limit = limit
         self.line_end = self.whole("\n")
@@ -82,6 +82,9 @@ class IdEncoder:
     def one(self, text: str | None) -> bytes:
         if not text:
             return b""
+        for added in self.added:
+            if added in text:
+                return self.whole(text)
         parts = text.split(" ")
         head = parts.pop(0)
         if parts and head and (head[-1].isspace() or head[-1] in DOUBTFUL_SPACE):

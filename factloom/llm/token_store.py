@@ -32,6 +32,10 @@ SKIP_HEADER, SKIP_INDEX, SKIP_SEEK = 0x184D2A50, 0x184D2A51, 0x184D2A5E
 SEEK_END = 0x8F92EAB1
 NULL_ID = -(2**63)
 FRAME_BYTES = 1 << 16
+#: A task goes on with another file at this size, so that files and their indexes are bounded.
+FILE_BYTES = 1 << 27
+#: Files that a task may write.
+FILES = 1 << 12
 
 MANIFEST = "file string, part int, documents long, tokens long, bytes long"
 READ_BACK = "part int, doc_id long, before long, n_tokens long, ids binary"
@@ -167,7 +171,8 @@ def write_tokens(documents: DataFrame, folder: str, vocabulary: str, end_id: int
 
     Returns the manifest, one row a file: file, part (order of the files), documents, tokens, bytes; it is a saved
     table, and only files that it names count, so tasks that ran twice do no harm. Null texts are empty; a null
-    doc_id comes first; equal doc_ids stay next to each other, ordered by text. No rows: an empty manifest.
+    doc_id comes first; equal doc_ids stay next to each other, ordered by text, in one task. Whole texts are encoded,
+    however long; a file ends at about FILE_BYTES. No rows: an empty manifest. Other columns are not looked at.
     width: bytes an id, 2 where the vocabulary has at most 65,536 ids.
     """
 
@@ -175,21 +180,28 @@ def write_tokens(documents: DataFrame, folder: str, vocabulary: str, end_id: int
         from pyspark import TaskContext
 
         store, base = _store(folder)
-        part = TaskContext.get().partitionId()
-        name, encode, writer, out = f"{base}/{part:06d}-{uuid.uuid4().hex}.zst", encoder(vocabulary), None, None
-        end = struct.pack("<I", end_id)
+        first, encode, end = TaskContext.get().partitionId() * FILES, encoder(vocabulary), struct.pack("<I", end_id)
+        part, writer, out, name = first, None, None, ""
+
+        def closed() -> pa.RecordBatch:
+            writer.close()
+            out.close()
+            row = [name], [part], [len(writer.doc_ids)], [writer.tokens], [writer.written]
+            return pa.RecordBatch.from_arrays([pa.array(row[0]), pa.array(row[1], pa.int32()), *(pa.array(x, pa.int64()) for x in row[2:])], ["file", "part", "documents", "tokens", "bytes"])
+
         for batch in batches:
-            if writer is None and batch.num_rows:
-                store.create_dir(base, recursive=True)
-                out = store.open_output_stream(name, compression=None)
-                writer = Writer(out, width)
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if writer is not None and writer.written >= FILE_BYTES and part + 1 < first + FILES:
+                    yield closed()
+                    part, writer = part + 1, None
+                if writer is None:
+                    name = f"{base}/{part:010d}-{uuid.uuid4().hex}.zst"
+                    store.create_dir(base, recursive=True)
+                    out = store.open_output_stream(name, compression=None)
+                    writer = Writer(out, width)
                 writer.add(doc_id, encode.one(text.as_py()) + end)
         if writer is not None:
-            writer.close()
-            out.close()
-            row = [name], [part], [len(writer.doc_ids)], [writer.tokens], [writer.written]
-            yield pa.RecordBatch.from_arrays([pa.array(row[0]), pa.array(row[1], pa.int32()), *(pa.array(x, pa.int64()) for x in row[2:])], ["file", "part", "documents", "tokens", "bytes"])
+            yield closed()
 
     common.ship(documents.sparkSession)
     ordered = documents.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")

@@ -10,15 +10,13 @@ from factloom.llm import balanced_shards, common, ngram_quality, packing, piece_
 from factloom.llm.encoding import IdEncoder, default_vocabulary
 
 SCHEMA = "doc_id long, text string, size string"
-TEXTS = [None, "", " ", "a", "It's\n\nfine  now. ", "é" * 30, "x\n y", "\x1c z", "<|endoftext|> end", "word " * 3000, "# $ % | a\na\na\nb b b b"]
+TEXTS = [None, "", " ", "a", "It's\n\nfine  now. ", "é" * 30, "x\n y", "\x1c z", "<|endoftext|> end", "in<|endoftext|>side<|endoftext|><|endoftext|>", "word " * 3000, "# $ % | a\na\na\nb b b b"]
 
 
 def tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(default_vocabulary())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(default_vocabulary())
 
 
 def ids_of(text):
@@ -35,12 +33,52 @@ def rows():
 
 def test_encoder_equals_the_library():
     rng, e = random.Random(1), IdEncoder(default_vocabulary(), limit=50)
-    marks = [" ", "  ", "\n", "\n ", "\t", ". ", "'s ", " ", "\x85 ", "12", "é", "Ä", "日本", "a", "bc", "THE", "!", ",", "\x1c ", " \n"]
+    marks = [" ", "  ", "\n", "\n ", "\t", ". ", "'s ", " ", "\x85 ", "12", "é", "Ä", "日本", "a", "bc", "THE", "!", ",", "\x1c ", " \n", "<|endoftext|>", "<|endof"]
     for _ in range(400):
         text = "".join(rng.choice(marks) for _ in range(rng.randrange(14)))
         assert e.one(text) == raw(tokenizer().encode(text, add_special_tokens=False).ids), repr(text)
 
 
+def test_small_files_round_trip(spark, monkeypatch):
+    monkeypatch.setattr(token_store, "FILE_BYTES", 300)
+    text = "ab " * 40_000
+    table = spark.createDataFrame([(i, text, "s") for i in range(12)], SCHEMA).repartition(2)
+    folder = common.new_folder(spark, "tokens")
+    manifest = token_store.write_tokens(table, folder, default_vocabulary())
+    assert manifest.count() > 8
+    n = len(ids_of(text)) + 1
+    got = sorted((r.doc_id, r.start, r.n_tokens) for r in token_store.token_digest(table, default_vocabulary(), common.new_folder(spark, "t")).collect())
+    assert got == [(i, i * n, n) for i in range(12)]
+
+
+def test_no_documents(spark):
+    table = spark.createDataFrame([], SCHEMA)
+    assert token_store.token_digest(table, default_vocabulary(), common.new_folder(spark, "t")).collect() == []
+    assert packing.pack_documents(table, default_vocabulary()).collect() == []
+    assert quality_rules.judged(table).collect() == []
+    assert piece_counts.piece_counts(table, default_vocabulary()).collect() == []
+
+
+def test_pieces_hold_the_ids_of_their_documents(spark):
+    rng = random.Random(8)
+    texts = {i: " ".join(rng.choice(["ab", "cde", "<|endoftext|>", "f. g"]) for _ in range(rng.randrange(0, 90))) for i in range(60)}
+    got = {}
+    for r in packing.pack_documents(spark.createDataFrame([(i, t, "s") for i, t in texts.items()], SCHEMA), default_vocabulary(), capacity=40).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    filled = {}
+    for i, t in texts.items():
+        ids = [*ids_of(t), 0]
+        pieces = sorted(got[i], key=lambda r: r.piece)
+        assert [p.piece for p in pieces] == list(range(len(pieces))) and pieces[-1].start + pieces[-1].length == len(ids)
+        for p, nxt in zip(pieces, [*pieces[1:], None], strict=True):
+            assert p.ids_crc32 == zlib.crc32(raw(ids[p.start : p.start + p.length])) and (nxt is None or nxt.start == p.start + p.length)
+            filled.setdefault(p.sequence_id, []).append((p.offset, p.length))
+        assert pieces[0].start == 0 and all(p.length == 40 for p in pieces[1:])
+    for parts in filled.values():
+        parts.sort()
+        assert all(o == sum(n for _, n in parts[:k]) for k, (o, _) in enumerate(parts)) and sum(n for _, n in parts) <= 40
+
+
 def test_token_files_round_trip(spark):
     table = spark.createDataFrame(rows(), SCHEMA).repartition(3)
     folder = common.new_folder(spark, "tokens")
