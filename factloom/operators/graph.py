@@ -2,28 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def saved(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder (spark.checkpoint.dir; a temporary one only where that is unset)."""
-    spark = df.sparkSession
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    path = f"{named.rstrip('/')}/{spark.sparkContext.applicationId}/graph-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from factloom.sources.tables import saved
 
 
 def closure(edges: DataFrame) -> DataFrame:
     """edges(src, dst) -> src, dst, depth: all pairs of different nodes that a path joins, with the shortest length.
-    Semi-naive: each round extends only the pairs that the last one found; cycles end it as others do."""
+    Semi-naive: each round extends only the pairs that the last one found; cycles end it as others do. The result is all
+    pairs by definition: for graphs of short chains, such as prerequisites; for what some roots reach, see `walk`."""
     edges = saved(edges.select("src", "dst").distinct())
     new = saved(edges.filter("src <> dst").withColumn("depth", F.lit(1)))
     every, depth = new, 1
@@ -37,6 +25,62 @@ def closure(edges: DataFrame) -> DataFrame:
     return every
 
 
+def walk(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """node, depth: what the roots(node) reach over edges(src, dst), themselves at depth 0, each node once. One join a
+    round between the nodes met last and their edges, so that the work is that of the edges."""
+    edges = saved(edges.select("src", "dst").distinct())
+    new = saved(roots.select("node").distinct().withColumn("depth", F.lit(0)))
+    met, depth = new, 0
+    while not new.isEmpty():
+        depth += 1
+        step = new.join(edges, new["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
+        new = saved(step.join(met, "node", "left_anti").withColumn("depth", F.lit(depth)))
+        met = met.unionByName(new)
+        if depth % 8 == 0:
+            met = saved(met)
+    return met
+
+
+def levels(needs: DataFrame) -> DataFrame:
+    """entity, level of needs(entity, needed): 0 for what needs nothing, else one more than the highest level that it
+    needs. A cycle is an error. One join a level."""
+    needs = saved(needs.select("entity", "needed").distinct())
+    nodes = saved(needs.select("entity").union(needs.select("needed")).distinct())
+    left, done, level = nodes, None, 0
+    while not left.isEmpty():
+        waiting = needs.join(left.select(F.col("entity").alias("needed")), "needed", "left_semi").select("entity").distinct()
+        ready = saved(left.join(waiting, "entity", "left_anti").withColumn("level", F.lit(level)))
+        if ready.isEmpty():
+            raise ValueError("prerequisites form a cycle")
+        done = ready if done is None else done.unionByName(ready)
+        left = saved(left.join(ready, "entity", "left_anti"))
+        level += 1
+    return nodes.withColumn("level", F.lit(0)).limit(0) if done is None else done
+
+
+def roots_of(edges: DataFrame) -> DataFrame:
+    """node, root of edges(parent, child): ancestors without parents; of what only hangs below a cycle, the cycle's lowest
+    node. The lowest node of a cycle is its own root and has no row; so has a node without parents."""
+    up = closure(edges.select(F.col("child").alias("src"), F.col("parent").alias("dst")))
+    up = saved(up.select(F.col("src").alias("node"), F.col("dst").alias("above")))
+    back = up.select(F.col("node").alias("above"), F.col("above").alias("node"))
+    on_cycle = saved(up.join(back, ["node", "above"]).groupBy("node").agg(F.least(F.min("above"), F.first("node")).alias("low")))
+    tops = up.join(edges.select(F.col("child").alias("above")).distinct(), "above", "left_anti").select("node", F.col("above").alias("root"))
+    rest = up.join(tops.select("node").distinct(), "node", "left_anti").join(on_cycle.select(F.col("node").alias("above"), "low"), "above").groupBy("node").agg(F.min("low").alias("root"))
+    return tops.unionByName(rest.filter("node <> root")).distinct()
+
+
+def rank_within(rows: DataFrame, key: str, order: list[Column], name: str) -> DataFrame:
+    """rows with their number from 1 within each key in an order that tells them apart. Rows are dealt by ranges of key
+    and order, numbered in each range, and ranges start where those before end: no key comes to one task."""
+    dealt = rows.repartitionByRange(F.col(key), *order).withColumn("_range", F.spark_partition_id())
+    dealt = saved(dealt)
+    before = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy(key, "_range").agg(F.count(F.lit(1)).alias("_n")).select(key, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    local = dealt.withColumn("_at", F.row_number().over(Window.partitionBy(key, "_range").orderBy(*order)))
+    return local.join(starts, [key, "_range"]).withColumn(name, (F.col("_start") + F.col("_at")).cast("int")).drop("_range", "_at", "_start")
+
+
 def canonical(parents: DataFrame) -> DataFrame:
     """parents(node, parent), one parent a node at most -> node, root: the end of the chain, or the lowest node of the
     cycle it runs into. Pointer doubling: as many rounds as the logarithm of the longest chain."""

@@ -28,7 +28,8 @@ def diff_allowed(before: DataFrame, now: DataFrame) -> bool:
 
 
 def merge_history(history: DataFrame, candidates: DataFrame, retracted: DataFrame, dropped: DataFrame, now: Column, last_run: Column | None, rebuild: bool) -> DataFrame:
-    """history and candidates(id, kind, source_at, title, refresh_only, diff_only), merged by id.
+    """history and candidates(id, kind, source_at, title, refresh_only, diff_only), merged by id. Of candidates with one
+    id the first counts: by `position`, if they have that column, then by kind, time and title.
 
     history(id, kind, source_at, detected_at, basis, title, diff_only, inputs_read, rules_outdated). A known id keeps
     detection and basis, and its title unless this is a rebuild or it was outdated. New ones are observed if their
@@ -36,7 +37,8 @@ def merge_history(history: DataFrame, candidates: DataFrame, retracted: DataFram
     are never added; an id in the dropped ledger gets its first detection back. On a rebuild a backfill row that
     was not generated again goes if its inputs were read, and is outdated otherwise. Retracted ids never come back.
     """
-    c = candidates.join(retracted, "id", "left_anti").dropDuplicates(["id"])
+    first = F.min_by(F.struct("kind", "source_at", "title", "refresh_only", "diff_only"), F.struct(*([F.col("position")] if "position" in candidates.columns else []), "kind", "source_at", "title"))
+    c = candidates.join(retracted, "id", "left_anti").groupBy("id").agg(first.alias("c")).select("id", "c.*")
     h = history.join(retracted, "id", "left_anti")
     fresh = c.select("id", F.col("kind").alias("_kind"), F.col("source_at").alias("_source"), F.col("title").alias("_title"), F.col("refresh_only").alias("_refresh"), F.col("diff_only").alias("_diff"))
     ledger = dropped.select("id", F.col("detected_at").alias("_detected"), F.col("basis").alias("_basis"))

@@ -83,6 +83,62 @@ def newest(rows: DataFrame, keys: list[str], order: list[Column], n: int) -> Dat
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("rank") <= n)
 
 
+def listing_digest(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """key, digest, n: one digest of all names of a key, whatever their order. It is made of sums of their hashes, so that
+    parts of a listing are summed where they are and no list comes to one task."""
+    half = lambda at: F.sum(F.conv(F.substring(F.md5(F.col(name).cast("binary")), at, 12), 16, 10).cast("long"))
+    return rows.groupBy(key).agg(F.md5(F.concat_ws("|", half(1), half(13), F.count(F.lit(1))).cast("binary")).alias("digest"), F.count(F.lit(1)).alias("n"))
+
+
+def pending_files(listing: DataFrame, previous: DataFrame, key: str, name: str) -> DataFrame:
+    """Of listing and previous(key, name, hash): the files to read again, in listings whose digest differs and whose own
+    hash is new or other than before."""
+    named = lambda df: df.withColumn("_name", F.concat_ws(":", name, "hash"))
+    now, old = (listing_digest(named(df), key, "_name").select(key, F.col("digest").alias(d)) for df, d in ((listing, "now"), (previous, "old")))
+    changed = now.join(old, key, "left").filter(~F.col("now").eqNullSafe(F.col("old"))).select(key)
+    return listing.join(changed, key, "left_semi").join(previous.select(key, name, "hash"), [key, name, "hash"], "left_anti")
+
+
+def carry_fields(previous: DataFrame, fresh: DataFrame, removed: DataFrame, carry: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Long rows (field, key, value) of a partial result: what is stored then, and what is dropped. Rows of `previous`
+    that are missing from `fresh` and not in removed(field, key) are carried if their field is in `carry`; others are
+    dropped, but for keys that another field of `fresh` has now (they moved)."""
+    missing = previous.join(fresh.select("field", "key"), ["field", "key"], "left_anti").join(removed.select("field", "key"), ["field", "key"], "left_anti")
+    kept = F.col("field").isin(carry)
+    moved = fresh.select("key").distinct()
+    return fresh.unionByName(missing.filter(kept)), missing.filter(~kept).join(moved, "key", "left_anti").select(*previous.columns)
+
+
+def carry_components(previous: DataFrame, fresh: DataFrame) -> DataFrame:
+    """(ref, component, value, read_at): each component of a snapshot from its last read, which may be an older one's; a
+    component that was read without a value (NULL) counts as unread."""
+    return upsert(previous, fresh.filter("value IS NOT NULL"), ["ref", "component"])
+
+
+def verified(files: DataFrame) -> DataFrame:
+    """files(content, listed) with verified: whether SHA-1 of the word blob, a space, the length, a NUL and the content is
+    the listed hash; content that does not match is a failed read and becomes NULL."""
+    header = F.concat(F.lit("blob "), F.octet_length("content").cast("string")).cast("binary")
+    same = F.sha1(F.concat(header, F.lit(b"\x00"), F.col("content"))) == F.lower("listed")
+    return files.withColumn("verified", F.coalesce(same, F.lit(False))).withColumn("content", F.when(same, F.col("content")))
+
+
+def grow_counts(previous: DataFrame, batch: DataFrame, truncated: bool) -> DataFrame:
+    """(key, n): counts after an incremental read. A truncated read never lowers a count, and asks for a full one
+    (read_again)."""
+    both = previous.select("key", F.col("n").alias("_old")).join(batch.select("key", F.col("n").alias("_new")), "key", "full_outer")
+    n = F.greatest("_old", "_new") if truncated else F.coalesce("_new", "_old")
+    return both.select("key", n.alias("n"), F.lit(truncated).alias("read_again"))
+
+
+def archive_versions(previous: DataFrame, fresh: DataFrame, removed: DataFrame) -> DataFrame:
+    """(id, hash, state) of versions of documents that go to the archive, once each: superseded by another hash, removed
+    (confirmed in removed(id)), or no longer mentioned (fresh has the id with matches = false)."""
+    both = previous.select("id", "hash").join(fresh.select("id", F.col("hash").alias("_hash"), "matches"), "id", "left").join(removed.select("id").distinct().withColumn("_removed", F.lit(True)), "id", "left")
+    state = F.when(F.col("_removed"), "removed").when(~F.col("matches"), "no-longer-mentions").when(~F.col("_hash").eqNullSafe(F.col("hash")) & F.col("_hash").isNotNull(), "superseded")
+    return both.select("id", "hash", state.alias("state")).filter("state IS NOT NULL").distinct()
+
+
 def restore_fields(fresh: DataFrame, previous: DataFrame, keys: list[str], errors: str, fields: list[str]) -> DataFrame:
     """Fields named in the row's array of errors take their last good value."""
     old = previous.select(*keys, *[F.col(f).alias(f"_{f}") for f in fields])

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.operators.graph import walk
+
 #: Ranks of matrix states, for caps.
 RANKS = {"available": 8, "in-build": 7, "opt-in": 6, "off": 5, "hidden": 4, "service-off": 3, "absent": 2, "not-verified": 1, "not-planned": 0}
 
@@ -18,9 +20,10 @@ def first_match(rules: list[tuple[Column, str]], otherwise: str) -> Column:
     return chain.otherwise(otherwise)
 
 
-def stage() -> Column:
+def stage(prs_closed: Column | None = None) -> Column:
     """The stage of a work group from its facts: duplicate, contradictory, not_planned, has_note, in_release, in_beta,
-    in_nightly, merged, service_only, open_pr, issue_closed, pr_led (nullable booleans)."""
+    in_nightly, merged, service_only, open_pr, issue_closed, pr_led (nullable booleans). prs_closed: all pull requests are
+    closed and none is merged; a group that one leads has no issue, and by default issue_closed says it."""
     c = F.col
     return first_match(
         [
@@ -34,7 +37,7 @@ def stage() -> Column:
             (c("merged"), "merged"),
             (c("open_pr"), "in-progress"),
             (c("issue_closed") & ~F.coalesce(c("pr_led"), F.lit(False)), "closed-unverified"),
-            (c("issue_closed") & c("pr_led"), "closed-unmerged"),
+            (c("pr_led") & (c("issue_closed") if prs_closed is None else prs_closed), "closed-unmerged"),
         ],
         "open",
     )
@@ -48,10 +51,13 @@ def flag_state(state: Column) -> Column:
 
 def cell_state() -> Column:
     """A matrix cell from: service_on, blocked, not_planned, has_note, required_present, channel, flag, opt_in, built,
-    note_here, built_defined (nullable)."""
+    note_here (the note is of this build's version or an older one), built_defined, tagged (nullable). A note corroborates a
+    tagged build of its version or a newer one, and none from which the implementing work is known to be missing."""
     c = F.col
     release, flag = c("channel") == "release", F.coalesce(c("flag"), F.lit("none"))
-    corroborated = F.coalesce(c("note_here"), F.lit(False)) | F.coalesce(c("built"), F.lit(False)) | ~F.coalesce(c("built_defined"), F.lit(False))
+    note_holds = F.coalesce(c("note_here"), F.lit(False)) & F.coalesce(c("tagged"), F.lit(False)) & F.coalesce(c("built"), F.lit(True))
+    corroborated = note_holds | F.coalesce(c("built"), F.lit(False)) | ~F.coalesce(c("built_defined"), F.lit(False))
+    early = F.when(F.coalesce(c("has_note"), F.lit(False)), note_holds).otherwise(c("built"))
     return first_match(
         [
             (~c("service_on"), "service-off"),
@@ -64,7 +70,7 @@ def cell_state() -> Column:
             (flag == "missing", "absent"),
             ((flag == "on") & corroborated & release & c("has_note"), "available"),
             ((flag == "on") & corroborated, "in-build"),
-            ((flag == "none") & ~release & ((c("note_here") & F.coalesce(c("built"), F.lit(True))) | c("built")), "in-build"),
+            ((flag == "none") & ~release & c("tagged") & early, "in-build"),
             ((flag == "none") & release & c("built") & ~F.coalesce(c("has_note"), F.lit(False)), "in-build"),
         ],
         "not-verified",
@@ -107,14 +113,14 @@ def note_bound(note: Column, current: Column, key) -> Column:
     )
 
 
-def reachable(edges: DataFrame, roots: DataFrame, closure) -> DataFrame:
-    """node, reachable over edges(src, dst, matches): an edge that matches several targets proves none, and makes what
-    is not reached unknown instead of false."""
+def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """node, reachable over edges(src, dst, matches): an edge that matches several targets proves none. What is not
+    reached is unknown if such an edge starts at something that may be reached, else false."""
     nodes = reduce(DataFrame.unionByName, [edges.select(F.col("src").alias("node")), edges.select(F.col("dst").alias("node")), roots.select("node")]).distinct()
-    pairs = closure(edges.filter("matches = 1"))
-    found = pairs.join(roots.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).unionByName(roots.select("node")).distinct().withColumn("_found", F.lit(True))
-    doubt = edges.agg(F.coalesce(F.bool_or(F.col("matches") != 1), F.lit(False)).alias("_doubt"))
-    return nodes.join(found, "node", "left").crossJoin(doubt).select("node", F.when(F.col("_found"), True).when(F.col("_doubt"), None).otherwise(False).alias("reachable"))  # one row
+    found = walk(edges.filter("matches = 1"), roots).select("node").withColumn("_found", F.lit(True))
+    maybe = walk(edges, roots).select("node").withColumn("_maybe", F.lit(True))
+    verdict = F.when(F.col("_found"), True).when(F.col("_maybe"), None).otherwise(False)
+    return nodes.join(found, "node", "left").join(maybe, "node", "left").select("node", verdict.alias("reachable"))
 
 
 def staleness(sources: DataFrame, now: Column, hours: int = 6) -> DataFrame:

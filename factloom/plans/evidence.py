@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.operators import merge
+from factloom.operators import merge, queues
 from factloom.sources.tables import table
 
 
@@ -32,9 +32,9 @@ def carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unchanged_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size", F.lit(1).alias("read_at"))
-    fresh = parts.withColumn("p_size", F.when(F.col("p_partkey") % 7 == 0, F.col("p_size") + 1).otherwise(F.col("p_size"))).withColumn("read_at", F.lit(2))
-    return merge.keep_unchanged(parts.filter("p_partkey % 11 <> 0"), fresh, ["p_partkey"], ["read_at"])
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.max("l_returnflag").alias("l_returnflag")).withColumn("read_at", F.lit(1))
+    fresh = lines.withColumn("l_returnflag", F.when(F.col("l_partkey") % 7 == 0, "X").otherwise(F.col("l_returnflag"))).withColumn("read_at", F.lit(2))
+    return merge.keep_unchanged(lines.filter("l_partkey % 11 <> 0"), fresh, ["l_orderkey", "l_linenumber"], ["read_at"])
 
 
 def version_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,9 +55,7 @@ def restore_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def listing_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # one digest a brand needs its names together; a brand's list is what the digest is of
-    parts = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.md5(F.array_join(F.array_sort(F.collect_list("p_name")), "\n").cast("binary")).alias("digest"), F.count(F.lit(1)).alias("n"))
-    return parts
+    return merge.listing_digest(table(spark, sf_dir, "part"), "p_brand", "p_name")
 
 
 def reconcile_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +80,19 @@ def refresh_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("user_id", kind.alias("kind"), F.coalesce("n_new", "n_old").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (evidence_ledger, upsert_prev_fresh, carry_forward, unchanged_suppression, version_archive, carry_with_expiry, restore_fields, listing_digest, reconcile_copies, prune_newest, refresh_queue)}
+def refresh_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two weeks of activity as listings: what is new, changed, due, cached or dropped, and what a budget of 20 new or
+    changed users and 10 due ones takes; the rest is deferred."""
+    def week(first: str, last: str) -> DataFrame:
+        rows = table(spark, sf_dir, "events").filter((F.col("ts") >= _day(first)) & (F.col("ts") < _day(last)))
+        return rows.groupBy("user_id").agg(F.count_if(F.col("event_type") == "purchase").alias("purchases"), F.max("ts").alias("retrieved_at"))
+
+    old, new = week("2024-01-01 00:00:00", "2024-01-08 00:00:00"), week("2024-01-08 00:00:00", "2024-01-15 00:00:00").drop("retrieved_at")
+    queue = queues.classify_refresh(old, new, ["user_id"], ["purchases"], _day("2024-01-08 00:00:00"), 48)
+    return queues.take_budget(queue, ["user_id"], 20, 10)
+
+
+QUERIES = {f.__name__: f for f in (evidence_ledger, upsert_prev_fresh, carry_forward, unchanged_suppression, version_archive, carry_with_expiry, restore_fields, listing_digest, reconcile_copies, prune_newest, refresh_queue, refresh_budget)}
 
 SQL = {
     "evidence_ledger": """
@@ -95,8 +105,9 @@ SQL = {
     "carry_forward": """
         SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN 'in_next' WHEN c_mktsegment = 'BUILDING' THEN 'removed' ELSE 'carried' END AS fate FROM customer WHERE c_nationkey < 20""",
     "unchanged_suppression": """
-        SELECT p_partkey, p_name, CAST(p_size + CASE WHEN p_partkey % 7 = 0 THEN 1 ELSE 0 END AS INTEGER) AS p_size,
-               CASE WHEN p_partkey % 7 = 0 OR p_partkey % 11 = 0 THEN 2 ELSE 1 END AS read_at, p_partkey % 7 = 0 OR p_partkey % 11 = 0 AS changed FROM part""",
+        SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_partkey % 7 = 0 THEN 'X' ELSE l_returnflag END AS l_returnflag,
+               CASE WHEN l_partkey % 7 = 0 OR l_partkey % 11 = 0 THEN 2 ELSE 1 END AS read_at, l_partkey % 7 = 0 OR l_partkey % 11 = 0 AS changed
+        FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, max(l_returnflag) AS l_returnflag FROM lineitem GROUP BY 1, 2)""",
     "version_archive": """
         WITH s AS (SELECT *, lag(o_orderstatus) OVER w AS b FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))
         SELECT o_custkey, o_orderstatus, o_orderdate AS valid_from, lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS valid_to
@@ -109,13 +120,22 @@ SQL = {
     "restore_fields": """
         SELECT p_partkey, CASE WHEN p_partkey % 5 <> 0 THEN p_name WHEN p_partkey % 2 = 0 THEN 'old ' || p_name END AS p_name,
                CASE WHEN p_partkey % 3 <> 0 OR p_partkey % 2 = 0 THEN p_brand END AS p_brand FROM part""",
-    "listing_digest": "SELECT p_brand, md5(string_agg(p_name, chr(10) ORDER BY p_name)) AS digest, count(*) AS n FROM part GROUP BY p_brand",
+    "listing_digest": """
+        SELECT p_brand, md5(CAST(sum(CAST('0x' || left(md5(p_name), 12) AS BIGINT)) AS VARCHAR) || '|' || CAST(sum(CAST('0x' || substring(md5(p_name), 13, 12) AS BIGINT)) AS VARCHAR) || '|' || count(*)) AS digest, count(*) AS n
+        FROM part GROUP BY p_brand""",
     "reconcile_copies": """
         SELECT md5(text) AS text_md5, count(*) AS copies, min(d.doc_id) AS first_id,
                CASE WHEN count(DISTINCT quality) > 1 THEN 'disagree' WHEN max(quality) = 1 THEN 'published' WHEN max(quality) = 0 THEN 'draft' ELSE 'unknown' END AS state
         FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1""",
     "prune_newest": """
         SELECT * FROM (SELECT o_orderpriority, o_orderkey, o_orderdate, CAST(row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate DESC, o_orderkey DESC) AS INTEGER) AS rank FROM orders) WHERE rank <= 12""",
+    "refresh_budget": """
+        WITH o AS (SELECT user_id, count(*) FILTER (event_type = 'purchase') AS p, max(ts) AS l FROM events WHERE ts >= '2024-01-01' AND ts < '2024-01-08' GROUP BY 1),
+             w AS (SELECT user_id, count(*) FILTER (event_type = 'purchase') AS p FROM events WHERE ts >= '2024-01-08' AND ts < '2024-01-15' GROUP BY 1),
+             q AS (SELECT user_id, CASE WHEN o.p IS NULL THEN 'new' WHEN w.p IS NULL THEN 'dropped' WHEN o.p <> w.p THEN 'changed' WHEN l < TIMESTAMP '2024-01-06' THEN 'due' ELSE 'cached' END AS kind, l AS retrieved_at FROM o FULL JOIN w USING (user_id)),
+             a AS (SELECT user_id FROM q WHERE kind IN ('new', 'changed') ORDER BY kind DESC, user_id LIMIT 20),
+             b AS (SELECT user_id FROM q WHERE kind = 'due' ORDER BY retrieved_at, user_id LIMIT 10)
+        SELECT *, user_id IN (SELECT user_id FROM a UNION ALL SELECT user_id FROM b) AS taken FROM q""",
     "refresh_queue": """
         WITH o AS (SELECT user_id, count(*) AS n, max(ts) AS l FROM events WHERE ts >= '2024-01-01' AND ts < '2024-01-08' GROUP BY 1),
              w AS (SELECT user_id, count(*) AS n FROM events WHERE ts >= '2024-01-08' AND ts < '2024-01-15' GROUP BY 1)

@@ -49,8 +49,7 @@ def range_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def version_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.concat_ws(".", "p_size", F.col("p_partkey") % 20, F.col("p_partkey") % 7).alias("version"))
-    order = Window.partitionBy("p_brand").orderBy(version_key(F.col("version")).desc(), "p_partkey")
-    return parts.withColumn("rank", F.row_number().over(order))
+    return graph.rank_within(parts, "p_brand", [version_key(F.col("version")).desc(), F.col("p_partkey")], "rank")
 
 
 def closure(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,9 +130,9 @@ def trial_applicability(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cadence(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = merge.newest(table(spark, sf_dir, "events").filter("event_type = 'purchase'"), ["user_id"], [F.desc("ts"), F.desc("event_id")], 12)
     gap = F.unix_micros(F.col("ts").cast("timestamp")) - F.lag(F.unix_micros(F.col("ts").cast("timestamp"))).over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    found = last.withColumn("gap", gap).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.min("gap").alias("min_gap"), F.max("gap").alias("max_gap"))
+    found = last.withColumn("gap", gap).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.min("gap").alias("min_gap"), F.max("gap").alias("max_gap"), F.median("gap").alias("median_gap"))
     few = F.col("n") < 3
-    return found.select("user_id", "n", F.when(~few, F.col("min_gap")).alias("min_gap"), F.when(~few, F.col("max_gap")).alias("max_gap"))
+    return found.select("user_id", "n", *[F.when(~few, F.col(c)).alias(c) for c in ("min_gap", "max_gap", "median_gap")])
 
 
 def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,11 +158,13 @@ def coming_next(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dependency_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers reached from customer 1 over orders' neighbours; every thirteenth edge is ambiguous."""
-    keys = table(spark, sf_dir, "customer").select("c_custkey")
-    edges = keys.filter("c_custkey > 1").select(F.floor(F.col("c_custkey") / 3).cast("long").alias("src"), F.col("c_custkey").alias("dst"), F.when(F.col("c_custkey") % 13 == 0, 2).otherwise(1).alias("matches"))
-    roots = keys.filter("c_custkey = 1").select(F.col("c_custkey").alias("node"))
-    return status.reachable(edges.filter("src > 0"), roots, graph.closure)
+    """What part 1 reaches over parts and suppliers in lineitem: from parts with odd keys to their suppliers, and from
+    suppliers to parts with even keys; an edge whose line has number 7 is ambiguous. Suppliers have negative numbers."""
+    lines = table(spark, sf_dir, "lineitem").select("l_partkey", (-F.col("l_suppkey")).alias("supplier"), F.when(F.col("l_linenumber") == 7, 2).otherwise(1).alias("matches"))
+    out = lines.filter("l_partkey % 2 = 1").select(F.col("l_partkey").alias("src"), F.col("supplier").alias("dst"), "matches")
+    back = lines.filter("l_partkey % 2 = 0").select(F.col("supplier").alias("src"), F.col("l_partkey").alias("dst"), "matches")
+    roots = table(spark, sf_dir, "part").filter("p_partkey = 1").select(F.col("p_partkey").alias("node"))
+    return status.reachable(out.unionByName(back), roots)
 
 
 def cap_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -235,7 +236,7 @@ SQL = {
     "cadence": """
         WITH l AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events WHERE event_type = 'purchase'),
              g AS (SELECT user_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM l WHERE k <= 12)
-        SELECT user_id, count(*) AS n, CASE WHEN count(*) >= 3 THEN min(gap) END AS min_gap, CASE WHEN count(*) >= 3 THEN max(gap) END AS max_gap FROM g GROUP BY 1""",
+        SELECT user_id, count(*) AS n, CASE WHEN count(*) >= 3 THEN min(gap) END AS min_gap, CASE WHEN count(*) >= 3 THEN max(gap) END AS max_gap, CASE WHEN count(*) >= 3 THEN median(gap) END AS median_gap FROM g GROUP BY 1""",
     "snapshot_diff": """
         WITH y AS (SELECT max(year(o_orderdate)) AS last FROM orders),
              c AS (SELECT o_custkey, count(*) FILTER (year(o_orderdate) = last - 1) AS before, count(*) FILTER (year(o_orderdate) = last) AS now FROM orders, y GROUP BY 1)
@@ -247,10 +248,12 @@ SQL = {
              r AS (SELECT *, CAST(rank() OVER (PARTITION BY back ORDER BY n DESC, o_orderpriority) AS INTEGER) AS rank FROM c WHERE back >= -1)
         SELECT a.o_orderpriority, a.rank AS now, b.rank AS then FROM r a JOIN r b USING (o_orderpriority) WHERE a.back = 0 AND b.back = -1 AND a.rank < b.rank""",
     "dependency_reach": """
-        WITH RECURSIVE e AS (SELECT c_custkey // 3 AS src, c_custkey AS dst, CASE WHEN c_custkey % 13 = 0 THEN 2 ELSE 1 END AS m FROM customer WHERE c_custkey >= 3),
+        WITH RECURSIVE e AS (SELECT l_partkey AS src, -l_suppkey AS dst, CASE WHEN l_linenumber = 7 THEN 2 ELSE 1 END AS m FROM lineitem WHERE l_partkey % 2 = 1
+                   UNION ALL SELECT -l_suppkey, l_partkey, CASE WHEN l_linenumber = 7 THEN 2 ELSE 1 END FROM lineitem WHERE l_partkey % 2 = 0),
              r AS (SELECT CAST(1 AS BIGINT) AS node UNION SELECT e.dst FROM r JOIN e ON e.src = r.node WHERE e.m = 1),
+             q AS (SELECT CAST(1 AS BIGINT) AS node UNION SELECT e.dst FROM q JOIN e ON e.src = q.node),
              n AS (SELECT src AS node FROM e UNION SELECT dst FROM e UNION SELECT 1)
-        SELECT node, CASE WHEN node IN (SELECT node FROM r) THEN true WHEN (SELECT count(*) FROM e WHERE m <> 1) > 0 THEN NULL ELSE false END AS reachable FROM n""",
+        SELECT node, CASE WHEN node IN (SELECT node FROM r) THEN true WHEN node IN (SELECT node FROM q) THEN NULL ELSE false END AS reachable FROM n""",
     "cap_propagation": """
         WITH RECURSIVE c AS (SELECT p_brand AS place, CAST(least(p_size // 10, 4) AS INTEGER) AS entity, CAST(count(*) % 9 AS INTEGER) AS rank FROM part GROUP BY 1, 2),
              t AS (SELECT c.place, c.entity, c.entity AS upto, c.rank FROM c UNION SELECT t.place, t.entity, u.entity, least(t.rank, u.rank) FROM t JOIN c u ON u.place = t.place AND u.entity = t.upto - 1)

@@ -137,11 +137,15 @@ def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.deduplicated(spark, f"{sf_dir}/events.parquet")
 
 
+def stream_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.ledger_stream(spark, f"{sf_dir}/events.parquet")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         extract_links, html_to_text, plain_excerpt, redacted_text, classify_topic, topical_sentences, note_lines, probe_first_match, relevance, title_overlap,
-        freshness, change_events, history_merge, ranked_search, stream_dedupe, filtered_feed, search_index,
+        freshness, change_events, history_merge, ranked_search, stream_dedupe, stream_ledger, filtered_feed, search_index,
     )
 }
 
@@ -162,6 +166,10 @@ def _tokens(name: str, key: str) -> str:
 
 
 SQL = {
+    "stream_ledger": """
+        WITH d AS (SELECT user_id, event_type, CAST(ts AS DATE) AS day FROM events),
+             s AS (SELECT day, lead(day) OVER (ORDER BY day) AS nxt FROM (SELECT DISTINCT day FROM d))
+        SELECT f.*, s.nxt AS gone_since FROM (SELECT user_id, event_type, min(day) AS first_seen, max(day) AS last_seen, count(DISTINCT day) AS times_seen FROM d GROUP BY ALL) f JOIN s ON f.last_seen = s.day""",
     "extract_links": """SELECT page_id, unnest(list_distinct(regexp_extract_all(html, 'href="([^"]*)"', 1))) AS link FROM pages""",
     "html_to_text": r"""
         WITH a AS (SELECT page_id, html, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<!--.*?-->', ' ', 'g'), '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g') AS t FROM pages),
@@ -187,8 +195,8 @@ SQL = {
         SELECT doc_id, CASE WHEN regexp_matches(split_part(text, chr(10), 1), '(?i)license|rights') THEN 'direct' WHEN regexp_matches(text, '(?i)license|rights') THEN 'mention' ELSE 'linked' END AS relevance, quality
         FROM documents LEFT JOIN labels USING (doc_id)""",
     "title_overlap": f"""
-        WITH d AS ({_tokens("documents", "doc_id")}), i AS ({_tokens("benchmark", "item_id")}), r AS (SELECT token FROM d GROUP BY 1 HAVING count(*) <= 1000)
-        SELECT doc_id, item_id, count(*) AS shared FROM d JOIN r USING (token) JOIN i USING (token) GROUP BY 1, 2 HAVING count(*) >= 3""",
+        WITH d AS ({_tokens("documents", "doc_id")}), i AS ({_tokens("benchmark", "item_id")})
+        SELECT doc_id, item_id, count(*) AS shared FROM d JOIN i USING (token) GROUP BY 1, 2 HAVING count(*) >= 3""",
     "filtered_feed": """
         WITH e AS (SELECT 'finished' AS kind, CAST(o_orderkey AS VARCHAR) AS key, o_orderdate AS t FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT 'error', CAST(event_id AS VARCHAR), ts FROM events WHERE event_type = 'error')
         SELECT kind, count(*) AS n, count(*) FILTER (t > TIMESTAMP '2024-01-15') AS n_new FROM e WHERE contains(key, '7') GROUP BY 1""",

@@ -2,12 +2,33 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.operators import merge
+from factloom.sources.tables import new_folder
+
+
+def _as_glob(path: str) -> str:
+    """A pattern that only this path matches: a stream reads folders or patterns, and the path may be a single file."""
+    return path[:-1] + "[" + path[-1] + "]"
+
+
+def ledger_stream(spark: SparkSession, path: str) -> DataFrame:
+    """The evidence ledger (user_id, event_type, first_seen, last_seen, times_seen, gone_since) kept by a stream.
+
+    Each micro-batch writes the facts of its snapshots (days) to a folder of its own, so that a batch that runs again
+    replaces what it wrote; the ledger folds them, and a fact is gone from the first snapshot after its last."""
+    base = new_folder(spark, "ledger")
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", "*.parquet").parquet(_as_glob(path))
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.select("user_id", "event_type", F.to_date("ts").alias("day")).distinct().write.mode("overwrite").parquet(f"{base}/facts/batch={number}")
+
+    stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    facts = spark.read.parquet(f"{base}/facts")
+    return merge.ledger_of_snapshots(facts, facts.select("day"), ["user_id", "event_type"], "day")
+
 
 def deduplicated(spark: SparkSession, path: str, watermark: str = "365 days") -> DataFrame:
     """Events read as a stream, each id once within the watermark, counted by (user, kind): first and last day, n.
@@ -15,12 +36,9 @@ def deduplicated(spark: SparkSession, path: str, watermark: str = "365 days") ->
     Each micro-batch appends its own sums to a table in the shared folder, in a folder of its own, so that a batch
     that runs again replaces what it wrote. What comes back reads the sums of all batches.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    named = named or "file://" + tempfile.mkdtemp(prefix="spark-")
-    base = f"{named.rstrip('/')}/{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex[:12]}"
+    base = new_folder(spark, "stream")
     schema = spark.read.parquet(path).schema
-    folder, _, name = path.rpartition("/")
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{folder}/{name}*")
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(_as_glob(path))
     events = stream.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", watermark).dropDuplicatesWithinWatermark(["event_id"])
 
     def keep(batch: DataFrame, number: int) -> None:
