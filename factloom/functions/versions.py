@@ -33,3 +33,28 @@ def satisfies(version: Column, operator: Column, bound: Column) -> Column:
     a, b = version_key(version), version_key(bound)
     met = F.when(operator == "<", a < b).when(operator == "<=", a <= b).when(operator == ">", a > b).when(operator == ">=", a >= b).when(operator.isin("=", "=="), a == b)
     return F.when(ok, met)
+
+
+def satisfies_range(version: Column, text: Column) -> Column:
+    """Whether a version meets every comparator of a range such as `>= 1.2, < 2`: comma-separated, `v` allowed, no
+    operator meaning equal. The first comparator that fails or cannot be read decides: false or NULL; no range is NULL."""
+    parts = F.filter(F.transform(F.split(text, ","), lambda p: F.trim(p)), lambda p: p != "")
+    shape = r"\A(<=|>=|==|=|<|>)?\s*(v?[0-9]+(?:\.[0-9]+)*)\z"
+
+    def one(p: Column) -> Column:
+        operator = F.regexp_extract(p, shape, 1)
+        met = satisfies(version, F.when(operator == "", "=").otherwise(operator), F.regexp_extract(p, shape, 2))
+        return F.when(~p.rlike(shape) | met.isNull(), F.lit(2)).when(met, F.lit(1)).otherwise(F.lit(0))
+
+    first = F.aggregate(parts, F.lit(1), lambda a, p: F.when(a == 1, one(p)).otherwise(a))
+    return F.when(F.size(parts) > 0, F.when(first == 1, True).when(first == 0, False))
+
+
+def in_version_range(version: Column, low: Column, high: Column) -> Column:
+    """From low to high, where a bound may end in `*`: every part there, 0 in the lower and the largest in the upper bound;
+    a NULL bound is open; a version that cannot be read is unknown."""
+    key = version_key(version)
+    below = version_key(F.regexp_replace(low, r"\*", "0"))
+    above = version_key(F.regexp_replace(high, r"\*", "999999999"))
+    inside = F.coalesce(key >= below, F.lit(True)) & F.coalesce(key <= above, F.lit(True))
+    return F.when(version.rlike(r"\Av?[0-9]+(\.[0-9]+)*\z"), inside)

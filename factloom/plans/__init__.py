@@ -1,7 +1,7 @@
 """The registered queries: name -> function of (spark, sf_dir), and the same as SQL where SQL can say it."""
 
-from . import evidence, relations, texts
+from . import derive, derive_sql, evidence, relations, texts
 
 _MODULES = (evidence, relations, texts)
-ALL_QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
-ALL_SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}
+ALL_QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()} | derive.QUERIES
+ALL_SQL = {k: v for m in _MODULES for k, v in m.SQL.items()} | derive_sql.SQL
