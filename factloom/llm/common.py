@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 #: Rows that a checked broadcast may hold; beyond it the same join shuffles.
 BROADCAST_ROWS = 1_000_000
 
+#: Rows of an Arrow batch of texts, at most.
+BATCH_ROWS = 1_000
+
 #: The white space of every word contract: space and U+0009 to U+000D.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]"
@@ -24,18 +27,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. The cluster names it in spark.checkpoint.dir; a temporary
-    folder takes its place only where that is unset, as in local tests."""
+    """The folder that driver and executors share: spark.checkpoint.dir. A local master has one disk for all and may do
+    without (a folder below the warehouse then, as in tests); a cluster may not."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
     return named.rstrip("/")
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once per Spark context, so that jobs need no set-up on executors."""
+    """Send this package to the Python workers, once per Spark context, so that jobs need no set-up on executors, and
+    keep what goes to them at once small: a batch of whole texts is held by Spark and by the worker both."""
     context = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(min(BATCH_ROWS, int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")))))
     if getattr(context, "_factloom_shipped", False):
         return
     top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -86,8 +92,9 @@ def number_within(df: DataFrame, keys: list[str], order: list[str], name: str, b
     starts where the buckets before it end. df is read twice, so it should be a saved table. `order` should tell
     rows apart; rows alike in it are interchangeable.
     """
-    rows = df.count()
-    n = max(1, math.ceil(rows / bucket_rows))
+    rows, tasks = df.count(), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # buckets are no larger than an even share of the tasks, so that one key's rows do not make some tasks longer
+    n = max(1, math.ceil(rows / bucket_rows), min(4 * tasks, rows // 200))
     dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(n)).cast("int"))
     by = [*keys, "_bucket"]
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -53,7 +53,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Sorted distinct shingle hashes of whole texts; keeps hashes of words it has met, up to `limit`."""
 
-    def __init__(self, width: int, limit: int = 400_000):
+    def __init__(self, width: int, limit: int = 150_000):
         self.width, self.limit = width, limit
         self.kept: dict[bytes, int] = {}
 

@@ -32,7 +32,7 @@ ORDER = 5
 START, END = 0xFE, 0xFF
 #: Bytes of text in a chunk; n-grams that a task holds before it merges them; n-grams of a shard of the model, about;
 #: chunks that ask a shard at once.
-CHUNK, MERGE, SHARD, TOGETHER = 12 << 20, 1 << 21, 1_000_000, 64
+CHUNK, MERGE, SHARD, TOGETHER = 12 << 20, 1 << 19, 1_000_000, 32
 #: One trusted text in so many is left out of training and sets the limits. Confidence of limits from few texts; below
 #: FEW texts nothing is known of the tail, and the limit is SPARE times the largest perplexity.
 LEFT_OUT, SURE, FEW, SPARE = 5, 0.95, 30, 1.5
