@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -54,13 +56,67 @@ REDACTIONS = [
 ]
 
 
+#: The mail shape as it is looked for: bounded and possessive, so that long runs take time in proportion to their length.
+BOUNDED_MAIL = r"[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+){1,20}+"
+
+
 def redact(text: Column) -> tuple[Column, Column]:
-    """The text without those shapes, and how many were replaced."""
-    text, count = F.coalesce(text, F.lit("")), F.lit(0)
-    for _, pattern, mark in REDACTIONS:
-        count = count + F.regexp_count(text, F.lit(pattern))
-        text = F.regexp_replace(text, pattern, mark)
-    return text, count
+    """The text without those shapes, and how many were replaced: the marks that came to it. Linear in its length."""
+
+    def marks(of: Column, mark: str) -> Column:
+        return ((F.length(of) - F.length(F.replace(of, F.lit(mark), F.lit("")))) / len(mark)).cast("int")
+
+    text = F.coalesce(text, F.lit(""))
+    out = text
+    for name, pattern, mark in REDACTIONS:
+        out = F.regexp_replace(out, BOUNDED_MAIL if name == "mail" else pattern, mark)
+    count = F.lit(0)
+    for _, _, mark in REDACTIONS:
+        count = count + marks(out, mark) - marks(text, mark)
+    return out, count
+
+
+def redact_references(text: Column, allowed: list[str], rounds: int = 5) -> Column:
+    """Links and `owner/name#12` to repositories that are not allowed become a mark, again and again until nothing more is
+    found, at most `rounds` times: what a replacement puts next to each other may be another one."""
+    listed = "|".join(re.escape(a) for a in allowed) or r"\b\B"
+    name = r"[\w.-]{1,100}/[\w.-]{1,100}"
+    link = rf"(?i)https?://[\w.-]{{1,100}}/(?!(?:{listed})(?![\w.-])){name}(?:/(?:issues|pull|commit|blob|tree)/[\w./#-]{{1,300}})?"
+    short = rf"(?i)(?<![\w./-])(?!(?:{listed})(?![\w.-])){name}#[0-9]{{1,9}}"
+    for _ in range(rounds):
+        text = F.regexp_replace(F.regexp_replace(text, link, "[private link]"), short, "[private reference]")
+    return text
+
+
+def redact_columns(df: DataFrame, columns: list[str], allowed: list[str]) -> DataFrame:
+    """df with those text columns without private references and secrets."""
+    for c in columns:
+        clean = redact(redact_references(F.col(c), allowed))[0]
+        df = df.withColumn(c, F.when(F.col(c).isNotNull(), clean))
+    return df
+
+
+def page_fields(html: Column) -> Column:
+    """struct(title, published, main): of the first article, else main, else the whole page; title and date from meta tags,
+    else the title element; NULL where there is none."""
+    found = lambda pattern: F.nullif(F.regexp_extract(html, pattern, 1), F.lit(""))
+    main = F.coalesce(found(r"(?is)<article[^>]*>(.*?)</article>"), found(r"(?is)<main[^>]*>(.*?)</main>"), html)
+    title = F.coalesce(found(r'(?i)<meta[^>]{0,200}property="og:title"[^>]{0,200}content="([^"]*)"'), F.trim(found(r"(?is)<title[^>]*>(.*?)</title>")))
+    published = F.coalesce(found(r'(?i)<meta[^>]{0,200}property="article:published_time"[^>]{0,200}content="([^"]*)"'), found(r'(?i)<time[^>]{0,200}datetime="([^"]*)"'))
+    return F.struct(title.alias("title"), published.alias("published"), html_to_text(main).alias("main"))
+
+
+def topical_sentences(texts: DataFrame, vocabulary: str, limits: str, most: int = 8, longest: int = 320) -> DataFrame:
+    """texts(id, text) -> id, place (from 1), sentence: sentences with a word of the vocabulary, each with the sentences right
+    behind it that state limits of platforms, cut at `longest` characters, distinct, the first `most` of a text."""
+    order = Window.partitionBy("id").orderBy("at")  # the sentences of one text
+    rows = texts.select("id", F.posexplode(F.split("text", r"(?<=[.!?])[ \n]+")).alias("at", "s"))
+    topical, limit = F.col("s").rlike(vocabulary), F.col("s").rlike(limits)
+    grouped = rows.withColumn("_start", topical | ~limit).withColumn("_group", F.sum(F.col("_start").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = grouped.groupBy("id", "_group").agg(F.min("at").alias("at"), F.bool_or(topical).alias("topical"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "s"))), lambda x: x["s"]), " ").alias("sentence"))
+    cut = F.when(F.length("sentence") <= longest, F.col("sentence")).otherwise(F.concat(F.regexp_replace(F.substring("sentence", 1, longest - 1), r" [^ ]*$", ""), F.lit("…")))
+    one = joined.filter("topical").select("id", "at", cut.alias("sentence")).groupBy("id", "sentence").agg(F.min("at").alias("at"))
+    return one.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most).select("id", "place", "sentence")
 
 
 def classify(first: Column, rest: Column, rules: list[tuple[str, str]], otherwise: str) -> Column:

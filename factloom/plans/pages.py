@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import items as it
+from factloom.functions import text as tx
 from factloom.functions.versions import version_key
 from factloom.operators import events as ev
 from factloom.operators import matrix, relations, status
@@ -196,10 +197,22 @@ def rule_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return serve.status_counts(derive._cells(spark, sf_dir), ["place"], list(status.RANKS))
 
 
+def page_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Title and main text of pages, by article, main element or all."""
+    f = tx.page_fields(C("html"))
+    return table(spark, sf_dir, "pages").select("page_id", f.alias("f")).select("page_id", "f.title", F.md5(C("f.main").cast("binary")).alias("main_md5"))
+
+
+def first_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first eight sentences of documents with a word of the subject, with the limits behind them."""
+    texts = table(spark, sf_dir, "documents").select(C("doc_id").alias("id"), "text")
+    return tx.topical_sentences(texts, "[Ll]icense|rights|token", "^(Only|Not) ", 8, 320).select("id", "place", F.md5(C("sentence").cast("binary")).alias("sentence_md5"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         item_pages, item_timeline, release_pages, item_edges, duplicate_decisions, event_groups, note_rules, probe_roles, earliest_orders, flag_defaults, contrary_docs, evidence_cells, compared_events, read_inputs,
-        notes_page, overview_page, feed_counts, sources_page, work_search, severe_orders, page_guards, uplift_labels, rule_cells,
+        notes_page, overview_page, feed_counts, sources_page, work_search, severe_orders, page_guards, uplift_labels, rule_cells, page_parts, first_sentences,
     )
 }

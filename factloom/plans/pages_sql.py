@@ -7,7 +7,21 @@ from .derive_sql import SQL as DERIVED
 
 _STATE_COLUMNS = ["available", "in-build", "opt-in", "off", "hidden", "service-off", "absent", "not-verified", "not-planned"]
 
+_MAIN = "coalesce(nullif(regexp_extract(html, '(?is)<article[^>]*>(.*?)</article>', 1), ''), nullif(regexp_extract(html, '(?is)<main[^>]*>(.*?)</main>', 1), ''), html)"
+
 SQL = {
+    "page_parts": rf"""
+        WITH a AS (SELECT page_id, coalesce(nullif(regexp_extract(html, '(?i)<meta[^>]{{0,200}}property="og:title"[^>]{{0,200}}content="([^"]*)"', 1), ''), trim(nullif(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), ''))) AS title,
+                          regexp_replace(regexp_replace(regexp_replace(regexp_replace({_MAIN}, '(?is)<!--.*?-->', ' ', 'g'), '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g') AS t FROM pages)
+        SELECT page_id, title, md5(trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&'), '[ \t\r\n]+', ' ', 'g'))) AS main_md5 FROM a""",
+    "first_sentences": r"""
+        WITH s AS (SELECT doc_id, string_split_regex(regexp_replace(text, '([.!?])[ \n]+', '\1' || chr(1), 'g'), chr(1)) AS ss FROM documents), e AS (SELECT doc_id, unnest(ss) AS s, unnest(range(len(ss))) AS n FROM s),
+             f AS (SELECT *, regexp_matches(s, '[Ll]icense|rights|token') AS topical, regexp_matches(s, '^(Only|Not) ') AS lim FROM e),
+             g AS (SELECT *, sum(CASE WHEN topical OR NOT lim THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS g FROM f),
+             j AS (SELECT doc_id, min(n) AS n, string_agg(s, ' ' ORDER BY n) AS t FROM g GROUP BY doc_id, g HAVING bool_or(topical)),
+             c AS (SELECT doc_id, n, CASE WHEN length(t) <= 320 THEN t ELSE regexp_replace(substring(t, 1, 319), ' [^ ]*$', '') || '…' END AS t FROM j),
+             d AS (SELECT doc_id, t, min(n) AS n FROM c GROUP BY 1, 2), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n) AS INTEGER) AS place FROM d)
+        SELECT doc_id AS id, place, md5(t) AS sentence_md5 FROM r WHERE place <= 8""",
     "item_pages": """
         SELECT 'own/repo#' || o_orderkey AS id, o_orderkey AS number, CASE WHEN o_orderstatus = 'F' THEN 'pr' ELSE 'issue' END AS kind, CASE WHEN o_orderkey % 3 = 0 THEN 'later' ELSE o_orderpriority END AS title,
                CASE o_orderstatus WHEN 'F' THEN 'merged' WHEN 'O' THEN 'open' ELSE 'closed' END AS state, 'p/' || o_orderpriority AS label, o_orderdate AS created_at FROM orders""",
