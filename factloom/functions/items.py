@@ -81,7 +81,7 @@ def decode_numeric(text: Column) -> Column:
         raw = F.unhex(F.lpad(F.hex(F.when(good, value).otherwise(0xFFFD)), 8, "0"))
         return F.decode(raw, "UTF-32")
 
-    return F.array_join(F.flatten(F.zip_with(parts, found, lambda p, n: F.array(p, F.coalesce(char(n), F.lit(""))))), "")
+    return F.array_join(F.flatten(F.zip_with(parts, found, lambda p, n: F.array(p, F.when(n.isNull(), "").otherwise(char(n))))), "")
 
 
 def ago_text(at: Column, now: Column) -> Column:
