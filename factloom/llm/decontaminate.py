@@ -74,10 +74,11 @@ def _starts(width: int) -> Column:
     return F.expr(f"if(size(p) >= {need}, array_distinct({starts}), cast(array() as array<int>))")
 
 
-def windows(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, row_hash, width, item_words, start (from 0), window_shingles: the windows that can be similar to an item."""
+def windows(documents: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """laid(doc_id, row_hash, width, item_words, start): the windows that can be similar to an item, start from 0; and
+    held(doc_id, row_hash, width, s): the shingles of the documents that have one, once each. Both are saved tables."""
     widths = [r["width"] for r in items.select("width").distinct().collect()]  # five at most
-    parts = []
+    laid_parts, held_parts = [], []
     for width in widths:
         own = items.filter(F.col("width") == width).select("item_words", F.explode("item_shingles").alias("shingle")).distinct()
         own = common.broadcast_if_small(common.saved(own, "item-shingle-sizes"))
@@ -85,18 +86,25 @@ def windows(documents: DataFrame, items: DataFrame) -> DataFrame:
         # outer: else a filter on the size of s goes below the projections, where it computes h anew for each word
         places = met.select("doc_id", "row_hash", F.size("h").alias("n"), F.posexplode_outer("s").alias("place", "shingle")).join(own, "shingle")
         held = places.groupBy("doc_id", "row_hash", "n", "item_words").agg(F.array_sort(F.collect_set("place")).alias("p"))  # one document's
-        laid = common.saved(held.select("doc_id", "row_hash", "item_words", F.explode(_starts(width)).alias("start")), "windows")
+        laid = common.saved(held.select("doc_id", "row_hash", F.lit(width).alias("width"), "item_words", F.explode(_starts(width)).alias("start")), "windows")
         keys = common.broadcast_if_small(common.saved(laid.select("doc_id", "row_hash").distinct(), "window-documents"))
         docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_hash"), "text")
         same = docs["doc_id"].eqNullSafe(keys["doc_id"]) & (docs["row_hash"] == keys["row_hash"])
         hot = _documents(docs.join(keys, same, "left_semi").dropDuplicates(["doc_id", "row_hash"]).select("doc_id", "text"))
-        hot = common.saved(hot.select("doc_id", "row_hash", _shingles("h", width).alias("s")), "window-shingles")
-        both = laid.join(hot, laid["doc_id"].eqNullSafe(hot["doc_id"]) & (laid["row_hash"] == hot["row_hash"]))
-        cut = F.slice(hot["s"], F.col("start") + 1, F.col("item_words") - width + 1)
-        parts.append(both.select(laid["doc_id"], laid["row_hash"], F.lit(width).alias("width"), "item_words", "start", cut.alias("window_shingles")))
-    if not parts:
-        return documents.sparkSession.createDataFrame([], "doc_id long, row_hash long, width int, item_words int, start int, window_shingles array<bigint>")
-    return reduce(DataFrame.unionByName, parts)
+        hot = common.saved(hot.select("doc_id", "row_hash", F.lit(width).alias("width"), _shingles("h", width).alias("s")), "window-shingles")
+        laid_parts.append(laid)
+        held_parts.append(hot)
+    if not widths:
+        spark = documents.sparkSession
+        return spark.createDataFrame([], "doc_id long, row_hash long, width int, item_words int, start int"), spark.createDataFrame([], "doc_id long, row_hash long, width int, s array<bigint>")
+    return reduce(DataFrame.unionByName, laid_parts), reduce(DataFrame.unionByName, held_parts)
+
+
+def _with_shingles(rows: DataFrame, held: DataFrame) -> DataFrame:
+    """rows(doc_id, row_hash, width, item_words, start, ..) with window_shingles, cut out of their documents'."""
+    same = rows["doc_id"].eqNullSafe(held["doc_id"]) & (rows["row_hash"] == held["row_hash"]) & (rows["width"] == held["width"])
+    cut = F.slice(held["s"], F.col("start") + 1, F.col("item_words") - rows["width"] + 1)
+    return rows.join(held, same).select(*[rows[c] for c in rows.columns], cut.alias("window_shingles"))
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -107,19 +115,18 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     items with different item_ids are each found. Empty tables give no rows.
     """
     items = _items(benchmark)
-    laid = common.saved(windows(documents, items).withColumn("window_hash", _simhash("window_shingles")), "fingerprints")
+    laid, held = windows(documents, items)
+    laid = common.saved(_with_shingles(laid, held).withColumn("window_hash", _simhash("window_shingles")).drop("window_shingles"), "fingerprints")
     index = items.select("item_id", "item_words", "item_shingles", "item_hash", F.explode(_blocks("item_hash")).alias("b"))
     near = F.explode(F.transform(F.array(*[F.lit(m) for m in MASKS]), lambda m: m.bitwiseXOR(F.col("b.value"))))
     index = index.select("item_id", "item_words", "item_hash", F.col("b.block").alias("block"), near.alias("value"))
     index = common.broadcast_if_small(common.saved(index, "block-index"))
-    looked = laid.select("doc_id", "row_hash", "item_words", "start", "window_hash", F.explode(_blocks("window_hash")).alias("b"))
+    looked = laid.select("doc_id", "row_hash", "width", "item_words", "start", "window_hash", F.explode(_blocks("window_hash")).alias("b"))
     looked = looked.select("*", F.col("b.block").alias("block"), F.col("b.value").alias("value")).drop("b")
     found = looked.join(index, ["item_words", "block", "value"]).filter(F.bit_count(F.col("window_hash").bitwiseXOR(F.col("item_hash"))) <= RADIUS)
-    pairs = common.saved(found.select("doc_id", "row_hash", "item_words", "start", "item_id").distinct(), "candidates")
-    held = laid.select("doc_id", "row_hash", "item_words", "start", "window_shingles")
-    same = pairs["doc_id"].eqNullSafe(held["doc_id"]) & (pairs["row_hash"] == held["row_hash"]) & (pairs["item_words"] == held["item_words"]) & (pairs["start"] == held["start"])
+    pairs = common.saved(found.select("doc_id", "row_hash", "width", "item_words", "start", "item_id").distinct(), "candidates")
     texts = items.select(F.col("item_id").alias("_item"), "item_shingles", F.col("item_words").alias("_words")).distinct()
-    checked = pairs.join(held, same).select(pairs["doc_id"], pairs["row_hash"], pairs["item_words"], pairs["start"], "item_id", "window_shingles")
+    checked = _with_shingles(pairs, held)
     checked = checked.join(texts, checked["item_id"].eqNullSafe(texts["_item"]) & (checked["item_words"] == texts["_words"]))
     count = "size(filter({}, y -> y = x))".format
     smaller = F.expr(f"aggregate(array_distinct(item_shingles), 0, (n, x) -> n + least({count('window_shingles')}, {count('item_shingles')}))")

@@ -77,3 +77,31 @@ def test_passages_in_another_order_inside_long_texts(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     found = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(table, bench).collect()}
     assert found == brute(docs, items) and (60_030, 60) in found and (60_010, 60) in found
+
+
+def test_changes_at_both_ends_and_insertions(spark):
+    rng = random.Random(21)
+    fresh = iter(f"v{i}" for i in range(1_000_000))
+    some = lambda n: [next(fresh) for _ in range(n)]
+    words = some(70)
+    items, docs = [(1, " ".join(words))], [(1, " ".join(some(30) + ["x0"] + words[1:35] + ["y1", "y2", "y3"] + words[35:69] + ["z"] + some(30)))]
+    for k in range(2, 60):
+        own = some(rng.randrange(12, 90))
+        items.append((k, " ".join(own)))
+        edited = list(own)
+        for _ in range(rng.randrange(1, 4)):
+            at = rng.randrange(len(edited))
+            edited[at:at] = some(rng.randrange(1, 4))
+        if k % 2:
+            edited[0], edited[-1] = "first", "last"
+        docs.append((k, " ".join(some(rng.randrange(40)) + edited + some(rng.randrange(40)))))
+    table, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(table, bench).collect()}
+    assert found == brute(docs, items) and (1, 1) in found and len(found) > 10
+
+
+def test_long_and_repetitive_texts(spark):
+    items = [(1, "the cat sat " * 12), (2, " ".join(f"q{i}" for i in range(50)))]
+    docs = [(1, "the cat sat " * 3_000), (2, " ".join(f"r{i}" for i in range(60_000)) + " " + items[1][1]), (3, "a" * 200_000)]
+    found = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert found == {(1, 1), (2, 2)}
