@@ -455,12 +455,14 @@ def jaccard_classes(documents: DataFrame, width: int = 5, percent: int = 80, cou
 
 
 def keep_first(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """documents with one row of each class of near copies, all columns as they are; texts without words all stay."""
+    """documents with one row of each class of near copies, all columns as they are; texts without words all stay, and of
+    rows alike in doc_id and text one. Whole texts count, however long; no rows give none."""
     classes = common.saved(jaccard_classes(documents, width, percent, count_links=False), "classes")
     drop = classes.groupBy("doc_id", "row_hash").agg(F.count(F.lit(1)).alias("_rows"), F.bool_or("is_first").alias("_first"), F.max("n_shingles").alias("_n"))
     drop = drop.filter("NOT _first OR (_n > 0 AND _rows > 1)").select(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_hash"), "_first")
     drop = common.broadcast_if_small(common.saved(drop, "dropped"))
     same = documents["doc_id"].cast("long").eqNullSafe(drop["_id"]) & (F.xxhash64(documents["text"]) == drop["_hash"])
     kept = documents.join(drop, same, "left_anti")
-    repeated = documents.join(drop.filter("_first"), same, "left_semi").withColumn("_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_hash"]).drop("_hash")
+    mark = "_" + "_".join(documents.columns)  # no column's name
+    repeated = documents.join(drop.filter("_first"), same, "left_semi").withColumn(mark, F.xxhash64("text")).dropDuplicates(["doc_id", mark]).drop(mark)
     return kept.unionByName(repeated)

@@ -77,7 +77,8 @@ def judged(documents: DataFrame, rules: list[tuple[str, str, str, int | None, in
     """documents with the counts, base_failed, failed_rules (names) and kept (neither the base nor a rule fails).
 
     Whole texts count. A null text counts as empty; empty texts have zero counts and fail the base. Each row is judged
-    alone, so repeated rows and an empty table need no rule of their own.
+    alone, so repeated rows and an empty table need no rule of their own. Columns with the name of a count or verdict
+    are overwritten, and so are _text, _words, _lines, _hashes, _windows and _sorted, which go.
     """
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = measured(documents).withColumn("base_failed", base).withColumn("failed_rules", compiled(rules))
