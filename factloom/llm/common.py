@@ -56,6 +56,31 @@ def ship(spark: SparkSession) -> None:
     context._factloom_shipped = True
 
 
+def lean(function):
+    """A function of batches for mapInArrow, after which its worker gives back the memory that it has freed: workers are
+    kept for later tasks, and what one stage has needed should not count in the next."""
+
+    def run(batches):
+        yield from function(batches)
+        give_back()
+
+    return run
+
+
+def give_back() -> None:
+    import ctypes
+    import gc
+
+    import pyarrow
+
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
 

@@ -167,7 +167,7 @@ def describe_sets(documents: DataFrame, width: int, percent: int) -> DataFrame:
                     rooms.append(room)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(hashes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(rooms, pa.int32())], names)
 
-    return _keyed(documents).mapInArrow(describe, "doc_id long, row_hash long, set_hash long, n long, keys array<long>, room int")
+    return _keyed(documents).mapInArrow(common.lean(describe), "doc_id long, row_hash long, set_hash long, n long, keys array<long>, room int")
 
 
 def sampled(tokens: np.ndarray, percent: int) -> np.ndarray:
@@ -197,7 +197,7 @@ def fetch(documents: DataFrame, wanted: DataFrame, width: int, percent: int, who
                 kinds = pa.int64(), pa.int64(), pa.binary()
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(3)], ["set_hash", "size", "tokens"])
 
-    return chosen.mapInArrow(read, "set_hash long, size long, tokens binary")
+    return chosen.mapInArrow(common.lean(read), "set_hash long, size long, tokens binary")
 
 
 def sample_matrix(samples: DataFrame, percent: int) -> DataFrame:
@@ -227,7 +227,7 @@ def sample_matrix(samples: DataFrame, percent: int) -> DataFrame:
                         alive.append(sets[i])
                 yield pa.RecordBatch.from_arrays([pa.array([gid.as_py()], pa.int64()), pa.array([union.tobytes()], pa.binary()), pa.array([alive], pa.list_(pa.int64()))], ["gid", "union_sample", "alive"])
 
-    return held.select("gid", "rows").mapInArrow(unite, "gid long, union_sample binary, alive array<long>")
+    return held.select("gid", "rows").mapInArrow(common.lean(unite), "gid long, union_sample binary, alive array<long>")
 
 
 def matrix(tokens: DataFrame) -> DataFrame:
@@ -246,7 +246,7 @@ def matrix(tokens: DataFrame) -> DataFrame:
                     ["gid", "sets", "copies", "tokens", "token_union"],
                 )
 
-    return held.select("gid", "rows").mapInArrow(unite, "gid long, sets array<long>, copies array<long>, tokens array<binary>, token_union binary")
+    return held.select("gid", "rows").mapInArrow(common.lean(unite), "gid long, sets array<long>, copies array<long>, tokens array<binary>, token_union binary")
 
 
 def compare(queries: dict, group: dict | None, percent: int) -> tuple[list[tuple[int, int]], dict[int, int]]:
@@ -305,7 +305,7 @@ def compare_within(groups: DataFrame, percent: int) -> DataFrame:
                 own = {name: batch.column(k)[i].as_py() for k, name in enumerate(batch.schema.names)}
                 yield pa.RecordBatch.from_arrays(_found(*compare(own, None, percent)), ["a", "b", "links"])
 
-    return groups.select("sets", "copies", "tokens", "token_union").mapInArrow(run, FOUND)
+    return groups.select("sets", "copies", "tokens", "token_union").mapInArrow(common.lean(run), FOUND)
 
 
 def _meet(asked: DataFrame, sets: DataFrame, groups: DataFrame, function, schema: str) -> DataFrame:

@@ -84,7 +84,7 @@ def count_ngrams(texts: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(found.values.astype(np.int64)), pa.array(found.sums)], ["gram", "n"])
 
     common.ship(texts.sparkSession)
-    return texts.select("text").filter("text IS NOT NULL").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return texts.select("text").filter("text IS NOT NULL").mapInArrow(common.lean(count), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def _discounts(counts: DataFrame) -> dict[str, float]:
@@ -205,7 +205,7 @@ def chunked(documents: DataFrame) -> DataFrame:
 
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     name = f"chunks_{uuid.uuid4().hex}"
-    packed = documents.mapInArrow(pack, "chunk long, rows binary, codes binary")
+    packed = documents.mapInArrow(common.lean(pack), "chunk long, rows binary, codes binary")
     packed.write.bucketBy(buckets, "chunk").option("path", common.new_folder(spark, "chunks")).saveAsTable(name)
     return spark.table(name)
 
@@ -261,12 +261,12 @@ def scored(documents: DataFrame, model: DataFrame) -> DataFrame:
         return own.append(pa.field("_units", pa.int64())).append(pa.field("_log_p", pa.float64()))
 
     place = documents.columns.index("text")
-    asked = chunks.select("chunk", "codes").mapInArrow(ask, "shard int, salt int, chunk long, codes binary")
+    asked = chunks.select("chunk", "codes").mapInArrow(common.lean(ask), "shard int, salt int, chunk long, codes binary")
     held = model.withColumn("shard", F.pmod("code", F.lit(shards)).cast("int")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     answers = asked.groupBy("shard", "salt").cogroup(held.groupBy("shard", "salt")).applyInArrow(answer, "chunk long, shard int, log_p binary, left binary")
     answers = answers.groupBy("chunk").agg(F.collect_list(F.struct("shard", "log_p", "left")).alias("answers"))  # a row a shard
     schema = StructType([*documents.schema.fields, StructField("_units", LongType()), StructField("_log_p", DoubleType())])
-    return chunks.hint("merge").join(answers, "chunk", "left").select("rows", "codes", "answers").mapInArrow(sum_up, schema)
+    return chunks.hint("merge").join(answers, "chunk", "left").select("rows", "codes", "answers").mapInArrow(common.lean(sum_up), schema)
 
 
 def left_out(text: Column) -> Column:

@@ -60,7 +60,7 @@ def encoded_pieces(documents: DataFrame, vocabulary: str, capacity: int, end_id:
 
     common.ship(documents.sparkSession)
     text = F.col("text")
-    return documents.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("row_hash"), text).mapInArrow(encode, PIECES)
+    return documents.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("row_hash"), text).mapInArrow(common.lean(encode), PIECES)
 
 
 def fit_non_negative(a: np.ndarray, b: np.ndarray, rounds: int = 1000) -> np.ndarray:

@@ -117,4 +117,4 @@ def piece_counts(documents: DataFrame, vocabulary: str, kept_words: int = 400_00
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_words", "n_pieces", "n_unknown"])
 
     common.ship(documents.sparkSession)
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(count, "doc_id long, n_words long, n_pieces long, n_unknown long")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(common.lean(count), "doc_id long, n_words long, n_pieces long, n_unknown long")

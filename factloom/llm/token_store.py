@@ -205,7 +205,7 @@ def write_tokens(documents: DataFrame, folder: str, vocabulary: str, end_id: int
 
     common.ship(documents.sparkSession)
     ordered = documents.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return common.saved(ordered.mapInArrow(write, MANIFEST), "token-manifest")
+    return common.saved(ordered.mapInArrow(common.lean(write), MANIFEST), "token-manifest")
 
 
 def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
@@ -233,7 +233,7 @@ def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
 
     common.ship(manifest.sparkSession)
     files = max(1, manifest.count())
-    return manifest.select("file", "part").repartition(files, "part").mapInArrow(read, READ_BACK)
+    return manifest.select("file", "part").repartition(files, "part").mapInArrow(common.lean(read), READ_BACK)
 
 
 def read_document(file: str, doc_id: int) -> list[bytes]:

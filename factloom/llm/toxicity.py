@@ -61,7 +61,7 @@ def _contexts(rows: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
                     before = word
             yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.binary()), pa.array([c for _, c in found], pa.int64())], ["word", "context"])
 
-    met = rows.select("text").mapInArrow(pairs, "word binary, context long")
+    met = rows.select("text").mapInArrow(common.lean(pairs), "word binary, context long")
     met = met if wanted is None else met.join(wanted, "word", "left_semi")
     return met.distinct().groupBy("word").agg(F.count(F.lit(1)).alias("contexts"))
 
@@ -82,7 +82,7 @@ def _sample(rows: DataFrame, share: float, cut, wanted: DataFrame | None = None)
 
     drawn = rows.select("text", F.xxhash64("text").alias("h")).filter(F.pmod("h", F.lit(1_000_000)) < int(1_000_000 * min(1.0, share)))
     texts = drawn.groupBy("h").agg(F.first("text").alias("text")).select("text")
-    pieces = texts.mapInArrow(found, "word binary, piece binary")
+    pieces = texts.mapInArrow(common.lean(found), "word binary, piece binary")
     pieces = pieces if wanted is None else pieces.join(wanted, "word", "left_semi")
     return sorted(bytes(r["piece"]) for r in pieces.select("piece").collect())
 
