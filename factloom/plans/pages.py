@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import items as it
+from factloom.functions import parse
 from factloom.functions import text as tx
 from factloom.functions.versions import version_key
 from factloom.operators import events as ev
-from factloom.operators import matrix, relations, status
+from factloom.operators import matrix, queues, relations, status
 from factloom.plans import derive, serve
-from factloom.sources import shaping
-from factloom.sources.tables import table
+from factloom.sources import envelopes, shaping
+from factloom.sources.tables import new_folder, table
 
 C = F.col
 
@@ -209,10 +212,109 @@ def first_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tx.topical_sentences(texts, "[Ll]icense|rights|token", "^(Only|Not) ", 8, 320).select("id", "place", F.md5(C("sentence").cast("binary")).alias("sentence_md5"))
 
 
+def note_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts written as bulleted notes, a file a brand, and read back line by line."""
+    k = C("p_partkey")
+    block = F.concat(F.lit("## [1."), "p_size", F.lit("."), k, F.lit("] now\n### "), "p_type", F.lit("\n- "), "p_name", F.when(k % 4 == 0, "\n## Thanks\n- nobody").otherwise("\n\ntext"))
+    texts = table(spark, sf_dir, "part").groupBy(C("p_brand").alias("file")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(k.alias("k"), block.alias("b")))), lambda x: x["b"]), "\n").alias("text"))
+    return parse.note_entries(texts)
+
+
+def lock_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers written as lock files, a file a nation, and read back as packages."""
+    k = C("s_suppkey")
+    block = F.concat(F.lit('[[package]]\nname = "'), "s_name", F.lit('"\nversion = "1.'), k, F.lit('"\n'), F.when(k % 2 == 0, 'source = "registry"\n').otherwise(""), F.lit("dependencies = [\n"), F.when(k % 3 == 0, F.concat(F.lit(' "left 1.0",\n "pad-'), k, F.lit('",\n'))).otherwise(""), F.lit("]\n"))
+    texts = table(spark, sf_dir, "supplier").groupBy(C("s_nationkey").alias("ref")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(k.alias("k"), block.alias("b")))), lambda x: x["b"]), "\n").alias("text"))
+    return parse.lock_packages(texts).select("ref", "name", "version", "source", F.array_join("dependencies", ",").alias("dependencies"))
+
+
+def label_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels and milestones made from orders: what was tested, for which systems, in which line."""
+    k = C("o_orderkey")
+    labels = F.array(F.when(k % 2 == 0, "QA Pass - macOS").otherwise("QA Failed-Linux"), F.when(k % 3 == 0, "QA/Yes").when(k % 3 == 1, "QA/No").otherwise("x"), F.when(k % 5 == 0, "QA/Blocked").otherwise("OS/Android"), F.when(k % 7 == 0, "OS/Windows").otherwise("bug"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", labels.alias("labels"), F.concat(F.lit("1."), k % 100, F.lit(".x - "), F.when(k % 2 == 0, "Release").otherwise("Nightly")).alias("milestone"), F.concat(F.lit("1."), k % 9, F.when(k % 3 == 0, ".x").otherwise("")).alias("branch"))
+    q, m = parse.qa_facts(C("labels")), parse.milestone_line(C("milestone"))
+    return rows.select("o_orderkey", F.array_join(q["passed"], ",").alias("passed"), F.array_join(q["failed"], ",").alias("failed"), q["required"].alias("required"), q["blocked"].alias("blocked"), F.array_join(parse.os_platforms(C("labels")), ",").alias("systems"), m["line"].alias("line"), m["channel"].alias("channel"), parse.is_release_branch(C("branch")).alias("release_branch"))
+
+
+def reference_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References in texts made from orders: named, by address, bare, and those that close."""
+    k = C("o_orderkey").cast("string")
+    body = F.concat(F.lit("Fixes #"), F.lpad(k, 5, "1"), F.lit(", see Own/Lib#"), k, F.lit(" and https://host.example/a/b/pull/"), k, F.lit("; closes: #77 x#999"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(tx.extract_refs(body, F.lit("Own/Repo")), " ").alias("refs"), F.array_join(tx.resolves_refs(body), " ").alias("closes"))
+
+
+def stored_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers stored by two runs, the second one partial, and read back as the manifest says; one of another schema is
+    not read."""
+    base, rows = new_folder(spark, "sources"), table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    days = [datetime(2024, 1, d) for d in (1, 2, 3)]
+    envelopes.write_source(rows.filter("c_custkey % 2 = 0"), base, "customers", "r1", 3, False, days[0], days[0])
+    envelopes.write_source(rows.filter("c_custkey % 3 <> 0"), base, "customers", "r2", 3, True, days[1], days[0])
+    envelopes.write_source(rows, base, "customers", "r3", 3, False, days[2], days[2])
+    data, _ = envelopes.load_sources(spark, base, {"customers": 3}, not_after=days[1])
+    return data["customers"]
+
+
+def source_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as runs of users' sources: failures in a row, last success and last complete time."""
+    runs = table(spark, sf_dir, "events").select(C("user_id").alias("source"), C("event_id").alias("at"), F.when(C("event_type") == "error", "failed").when(C("event_type") == "purchase", "ok").otherwise("partial").alias("outcome"))
+    return status.status_counters(runs)
+
+
+def flag_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state of several flags together: lines of an order."""
+    state = F.when(C("l_returnflag") == "R", "on").when(C("l_linenumber") == 7, "missing").when(C("l_returnflag") == "A", "off")
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(status.flag_state(state).alias("state"))
+
+
+def note_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes against current versions, full ones and lines, and what an unknown check leaves of a cell."""
+    k = C("p_partkey")
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(".", F.lit("1"), "p_size", k % 3).alias("note"), F.when(k % 3 == 0, F.concat_ws(".", F.lit("1"), k % 50, F.lit("1"))).when(k % 3 == 1, F.concat_ws(".", F.lit("1"), k % 50)).otherwise("soon").alias("current"), F.element_at(F.array(*[F.lit(s) for s in status.RANKS]), (k % 9 + 1).cast("int")).alias("state"))
+    bounds = rows.withColumn("bound", status.note_bound(C("note"), C("current"), version_key))
+    return status.demote_unknown(bounds, rows.filter("p_partkey % 4 = 0").select("p_partkey"), ["p_partkey"]).select("p_partkey", "bound", "state", "found")
+
+
+def kept_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of the last 400 days and undated ones, the hit of the last page each, that are not computed yet by these rules."""
+    o = table(spark, sf_dir, "orders")
+    hits = o.select("o_custkey", C("o_orderkey").alias("page"), F.when(C("o_orderkey") % 11 != 0, C("o_orderdate")).alias("at"))
+    recent = queues.retain_days(queues.dedupe_hits(hits, ["o_custkey"], "page"), "at", F.lit("2000-06-01 00:00:00").cast("timestamp_ntz"), 400)
+    done = table(spark, sf_dir, "customer").select(C("c_custkey").alias("o_custkey"), (C("c_custkey") % 2 == 0).alias("complete"), F.when(C("c_custkey") % 3 == 0, "s1").otherwise("s2").alias("signature"))
+    return queues.reuse_immutable(done, recent, ["o_custkey"], "s2")
+
+
+def group_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members, events and reports of one order as a group."""
+    lines = derive._lines(spark, sf_dir)
+    members = lines.select(C("l_orderkey").cast("string").alias("group_id"), C("partkey").cast("string").alias("item_id"), C("flag").alias("role")).distinct()
+    parts = table(spark, sf_dir, "part")
+    events = parts.select(F.concat(F.lit("e"), "p_partkey").alias("id"), F.array(C("p_partkey").cast("string")).alias("item_ids"))
+    reports = parts.filter("p_size > 25").select(F.concat(F.lit("r"), "p_partkey").alias("id"), F.array(C("p_partkey").cast("string"), (C("p_partkey") + 1).cast("string")).alias("item_ids"))
+    return serve.item_detail("7", members, events, reports)
+
+
+def wanted_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts that are kept: the wanted ones and the 12 newest others by version; and what is removed."""
+    k = C("p_partkey")
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(".", "p_size", k % 20).alias("version"))
+    kept, removed = queues.retain_newest(rows, rows.filter(k % 50 == 0).select("p_partkey"), "p_partkey", version_key(C("version")), 12)
+    return kept.withColumn("kept", F.lit(True)).unionByName(removed.withColumn("kept", F.lit(False)))
+
+
+def private_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders' texts without references to repositories that are not listed."""
+    k = C("o_orderkey").cast("string")
+    text = F.concat(F.lit("see own/open#"), k, F.lit(" and own/shut#"), k, F.lit(" or https://host.example/own/shut/issues/"), k, F.lit(" by a"), k, F.lit("@mail.example"))
+    return tx.redact_columns(table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text")), ["text"], ["own/open"])
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         item_pages, item_timeline, release_pages, item_edges, duplicate_decisions, event_groups, note_rules, probe_roles, earliest_orders, flag_defaults, contrary_docs, evidence_cells, compared_events, read_inputs,
         notes_page, overview_page, feed_counts, sources_page, work_search, severe_orders, page_guards, uplift_labels, rule_cells, page_parts, first_sentences,
+        note_blocks, lock_rows, label_facts, reference_lists, stored_source, source_counters, flag_groups, note_bounds, kept_orders, group_detail, wanted_sizes, private_columns,
     )
 }

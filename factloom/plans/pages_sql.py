@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .derive_sql import CELLS, LINES
+from .derive_sql import CELLS, LINES, STATES
 from .derive_sql import SQL as DERIVED
 
 _STATE_COLUMNS = ["available", "in-build", "opt-in", "off", "hidden", "service-off", "absent", "not-verified", "not-planned"]
@@ -10,6 +10,40 @@ _STATE_COLUMNS = ["available", "in-build", "opt-in", "off", "hidden", "service-o
 _MAIN = "coalesce(nullif(regexp_extract(html, '(?is)<article[^>]*>(.*?)</article>', 1), ''), nullif(regexp_extract(html, '(?is)<main[^>]*>(.*?)</main>', 1), ''), html)"
 
 SQL = {
+    "note_blocks": """
+        WITH p AS (SELECT *, p_partkey AS k, 5 * (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1) AS before FROM part)
+        SELECT p_brand AS file, CAST(before + 3 AS INTEGER) AS line, '1.' || p_size || '.' || k AS version, p_type AS section, p_name AS entry FROM p""",
+    "lock_rows": """
+        SELECT s_nationkey AS ref, s_name AS name, '1.' || s_suppkey AS version, CASE WHEN s_suppkey % 2 = 0 THEN 'registry' END AS source, CASE WHEN s_suppkey % 3 = 0 THEN 'left,pad-' || s_suppkey ELSE '' END AS dependencies FROM supplier""",
+    "label_facts": """
+        SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'macOS' ELSE '' END AS passed, CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE 'Linux' END AS failed, CASE o_orderkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS required, o_orderkey % 5 = 0 AS blocked,
+               array_to_string(list_filter([CASE WHEN o_orderkey % 5 <> 0 THEN 'android' END, CASE WHEN o_orderkey % 7 = 0 THEN 'desktop' END], lambda x: x IS NOT NULL), ',') AS systems, '1.' || o_orderkey % 100 AS line,
+               CASE WHEN o_orderkey % 2 = 0 THEN 'release' ELSE 'nightly' END AS channel, o_orderkey % 3 = 0 AS release_branch FROM orders""",
+    "reference_lists": """
+        SELECT o_orderkey, 'own/lib#' || o_orderkey || ' a/b#' || o_orderkey || ' own/repo#' || left(lpad(CAST(o_orderkey AS VARCHAR), 5, '1'), 5) AS refs, left(lpad(CAST(o_orderkey AS VARCHAR), 5, '1'), 5) || ' 77' AS closes FROM orders""",
+    "stored_source": "SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey % 3 <> 0",
+    "source_counters": """
+        WITH r AS (SELECT user_id AS source, event_id AS "at", CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'ok' ELSE 'partial' END AS outcome FROM events),
+             b AS (SELECT *, sum(CASE WHEN outcome = 'ok' THEN 1 ELSE 0 END) OVER w AS blk, max(CASE WHEN outcome <> 'failed' THEN "at" END) OVER w AS last_success_at, max(CASE WHEN outcome = 'ok' THEN "at" END) OVER w AS last_complete_at FROM r WINDOW w AS (PARTITION BY source ORDER BY "at"))
+        SELECT source, "at", outcome, CAST(sum(CASE WHEN outcome = 'failed' THEN 1 ELSE 0 END) OVER (PARTITION BY source, blk ORDER BY "at") AS BIGINT) AS failures, last_success_at, last_complete_at FROM b""",
+    "flag_groups": """
+        WITH l AS (SELECT l_orderkey, CASE WHEN l_returnflag = 'R' THEN 3 WHEN l_linenumber = 7 THEN 0 WHEN l_returnflag = 'A' THEN 1 ELSE 2 END AS r FROM lineitem)
+        SELECT l_orderkey, ['missing', 'off', 'unknown', 'on'][min(r) + 1] AS state FROM l GROUP BY 1""",
+    "note_bounds": f"""
+        WITH p AS (SELECT p_partkey, p_size AS a, p_partkey % 3 AS b, p_partkey % 50 AS c, {STATES}[CAST(p_partkey % 9 AS INTEGER) + 1] AS found FROM part)
+        SELECT p_partkey, CASE WHEN b = 0 THEN CASE WHEN a < c OR (a = c AND b <= 1) THEN 'within' ELSE 'newer' END WHEN b = 1 THEN CASE WHEN a = c THEN 'same-line' WHEN a < c THEN 'within' ELSE 'newer' END END AS bound,
+               CASE WHEN p_partkey % 4 = 0 AND found IN ('available', 'in-build', 'opt-in', 'off') THEN 'not-verified' ELSE found END AS state, found FROM p""",
+    "kept_orders": """
+        WITH h AS (SELECT o_custkey, max(o_orderkey) AS page, arg_max(CASE WHEN o_orderkey % 11 <> 0 THEN {d: o_orderdate} ELSE {d: NULL} END, o_orderkey).d AS "at" FROM orders GROUP BY 1)
+        SELECT * FROM h WHERE ("at" IS NULL OR "at" >= TIMESTAMP '2000-06-01' - INTERVAL 400 DAYS) AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0 AND c_custkey % 3 <> 0)""",
+    "group_detail": f"""
+        WITH m AS (SELECT DISTINCT partkey AS i, flag FROM {LINES} WHERE l_orderkey = 7)
+        SELECT 'member' AS part, CAST(i AS VARCHAR) AS id, flag AS role FROM m UNION ALL SELECT 'event', 'e' || p_partkey, NULL FROM part WHERE p_partkey IN (SELECT i FROM m)
+        UNION ALL SELECT 'report', 'r' || p_partkey, NULL FROM part WHERE p_size > 25 AND (p_partkey IN (SELECT i FROM m) OR p_partkey + 1 IN (SELECT i FROM m))""",
+    "wanted_sizes": """
+        WITH k AS (SELECT p_partkey FROM part WHERE p_partkey % 50 <> 0 ORDER BY p_size DESC, p_partkey % 20 DESC, p_partkey LIMIT 12)
+        SELECT p_partkey, p_size || '.' || p_partkey % 20 AS version, p_partkey % 50 = 0 OR p_partkey IN (SELECT p_partkey FROM k) AS kept FROM part""",
+    "private_columns": "SELECT o_orderkey, 'see own/open#' || o_orderkey || ' and [private reference] or [private link] by [mail]' AS text FROM orders",
     "page_parts": rf"""
         WITH a AS (SELECT page_id, coalesce(nullif(regexp_extract(html, '(?i)<meta[^>]{{0,200}}property="og:title"[^>]{{0,200}}content="([^"]*)"', 1), ''), trim(nullif(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), ''))) AS title,
                           regexp_replace(regexp_replace(regexp_replace(regexp_replace({_MAIN}, '(?is)<!--.*?-->', ' ', 'g'), '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g') AS t FROM pages)
