@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import balanced_shards, common, decontaminate, jaccard_groups, ngram_quality, packing, piece_counts, quality_rules, surrogates, token_store, toxicity
+from . import balanced_shards, centroid_clusters, common, decontaminate, jaccard_groups, ngram_quality, packing, piece_counts, quality_rules, surrogates, token_store, toxicity
 from .encoding import default_vocabulary
 
 
@@ -67,6 +67,11 @@ def op10_ngram_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "lang", F.col("_perplexity").alias("perplexity"), F.col("_floor").alias("floor"), F.col("_limit").alias("limit"), F.col("_kept").alias("kept"))
 
 
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings in 40 clusters."""
+    return centroid_clusters.cluster_embeddings(common.table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op2_toxicity": op2_toxicity,
@@ -78,6 +83,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_groups": op8_jaccard_groups,
     "op9_piece_counts": op9_piece_counts,
     "op10_ngram_quality": op10_ngram_quality,
+    "op12_centroid_clusters": op12_centroid_clusters,
 }
 
-SQL: dict[str, str] = {"op5_quality_rules": quality_rules.sql()}
+SQL: dict[str, str] = {
+    "op5_quality_rules": quality_rules.sql(),
+    "op12_centroid_clusters": centroid_clusters.sql(),
+}
