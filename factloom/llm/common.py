@@ -128,3 +128,21 @@ def number_within(df: DataFrame, keys: list[str], order: list[str], name: str, b
     same = [local[k].eqNullSafe(starts[k]) for k in by]
     out = local.join(starts, same, "inner")
     return out.select(*[local[c] for c in df.columns], (F.col("_start") + F.col("_at")).cast("long").alias(name))
+
+
+def running_sums(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str) -> DataFrame:
+    """df with the running sum of `value` (a long) over the rows of each key in an order, a row's own value included.
+
+    Rows are dealt by ranges of keys and order, added up in each range, and a range starts where those of its key before it
+    end: no key comes to one task. Rows alike in order may stand in any order, but in the same one for all. Null
+    is a key like others; nulls in `order` come first.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = df.withColumn("_value", value.cast("long")).repartitionByRange(tasks, *keys, *order)
+    dealt = saved(ranges.withColumn("_range", F.spark_partition_id()).withColumn("_nth", F.monotonically_increasing_id()), "ranges")
+    by = ["_range", *keys]
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy(*by).agg(F.sum("_value").alias("_sum")).select(*by, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
+    local = dealt.withColumn("_upto", F.sum("_value").over(Window.partitionBy(*by).orderBy(*order, "_nth").rowsBetween(Window.unboundedPreceding, 0)))
+    out = local.join(starts, [local[k].eqNullSafe(starts[k]) for k in by])
+    return out.select(*[local[c] for c in df.columns], (F.col("_start") + local["_upto"]).cast("long").alias(name))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import balanced_shards, centroid_clusters, common, decontaminate, jaccard_groups, ngram_quality, packing, piece_counts, quality_rules, surrogates, token_store, toxicity
+from . import balanced_shards, centroid_clusters, common, decontaminate, jaccard_groups, mixing, ngram_quality, packing, piece_counts, quality_rules, surrogates, token_store, toxicity
 from .encoding import default_vocabulary
 
 
@@ -72,6 +72,11 @@ def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroid_clusters.cluster_embeddings(common.table(spark, sf_dir, "embeddings"))
 
 
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, with the words of each that a mix by the sources' weights takes."""
+    return mixing.mixed(common.table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "epochs", "cut")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op2_toxicity": op2_toxicity,
@@ -84,9 +89,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_piece_counts": op9_piece_counts,
     "op10_ngram_quality": op10_ngram_quality,
     "op12_centroid_clusters": op12_centroid_clusters,
+    "op13_mixing": op13_mixing,
 }
 
 SQL: dict[str, str] = {
     "op5_quality_rules": quality_rules.sql(),
     "op12_centroid_clusters": centroid_clusters.sql(),
+    "op13_mixing": mixing.sql(),
 }
