@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import balanced_shards, centroid_clusters, common, decontaminate, jaccard_groups, mixing, ngram_quality, packing, piece_counts, quality_rules, surrogates, token_store, toxicity
+from . import balanced_shards, centroid_clusters, common, decontaminate, hard_negatives, jaccard_groups, mixing, ngram_quality, packing, piece_counts, quality_rules, surrogates, token_store, toxicity
 from .encoding import default_vocabulary
 
 
@@ -67,6 +67,11 @@ def op10_ngram_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "lang", F.col("_perplexity").alias("perplexity"), F.col("_floor").alias("floor"), F.col("_limit").alias("limit"), F.col("_kept").alias("kept"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth embedding, among all."""
+    return hard_negatives.mine_embeddings(common.table(spark, sf_dir, "embeddings"))
+
+
 def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All embeddings in 40 clusters."""
     return centroid_clusters.cluster_embeddings(common.table(spark, sf_dir, "embeddings"))
@@ -88,12 +93,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_groups": op8_jaccard_groups,
     "op9_piece_counts": op9_piece_counts,
     "op10_ngram_quality": op10_ngram_quality,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_centroid_clusters": op12_centroid_clusters,
     "op13_mixing": op13_mixing,
 }
 
 SQL: dict[str, str] = {
     "op5_quality_rules": quality_rules.sql(),
+    "op11_hard_negatives": hard_negatives.sql(),
     "op12_centroid_clusters": centroid_clusters.sql(),
     "op13_mixing": mixing.sql(),
 }
