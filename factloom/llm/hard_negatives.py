@@ -29,7 +29,7 @@ ANCHORS = 16_384
 #: One-bit codes a vector, and bit planes of a query.
 CODES, PLANES = 6, 8
 #: Anchors that meet a batch of rows at once: pairs held in memory are these times the rows of a batch.
-SLICE = 256
+SLICE = 128
 #: A row of the index.
 INDEX = "row long, vec_id long, label int, whole array<long>, codes binary, align array<double>, rest array<double>"
 
@@ -82,11 +82,11 @@ class Queries:
     def along(self, q, words: np.ndarray) -> np.ndarray:
         """Products of codes (..., word) with the kept form of the queries numbered q (of the same shape before the last
         axis, or one that goes with it): population counts of the code in each plane."""
-        ones = np.bitwise_count(words).sum(-1, dtype=np.int64)
-        total = self.low[q] * ones
-        for p in range(PLANES):
-            total = total + self.step[q] * (1 << p) * np.bitwise_count(words & self.planes[q, p]).sum(-1, dtype=np.int64)
-        return 2 * total - self.sums[q]
+        ones, weighed = np.bitwise_count(words).sum(-1, dtype=np.int64), 0
+        for w in range(words.shape[-1]):
+            for p in range(PLANES):
+                weighed = weighed + (np.bitwise_count(words[..., w] & self.planes[q, p, w]).astype(np.uint32) << np.uint32(p))
+        return 2 * (self.low[q] * ones + self.step[q] * weighed) - self.sums[q]
 
 
 class Rows:
@@ -116,12 +116,20 @@ def first_interval(queries: Queries, q: np.ndarray, rows: Rows) -> tuple[np.ndar
     return centre - half, centre + half
 
 
-def last_interval(queries: Queries, q: np.ndarray, rows: Rows, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The same for the pairs (q, r), from all codes."""
-    centre = (rows.align[r, 1:] * queries.along(q[:, None], rows.words[r])).sum(1)
+def last_interval(queries: Queries, q: np.ndarray, rows: Rows, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same from all codes, for the pairs of queries and rows that `of` (a matrix) names; others get -inf and inf.
+    Pair by pair if they are few, else all at once."""
+    low, high = np.full(of.shape, -np.inf), np.full(of.shape, np.inf)
+    if of.mean() > 0.2:
+        at, i, r = np.s_[:], q[:, None], np.s_[:]
+    else:
+        at = np.nonzero(of)
+        i, r = q[at[0]], at[1]
+    centre = sum(rows.align[r, 1 + k] * queries.along(i, rows.words[r, k]) for k in range(CODES))
     fitted = rows.length[r] + rows.rest[r, 1]
-    half = fitted * queries.lost[q] + rows.rest[r, 1] * queries.length[q] + 1e-9 * (1.0 + rows.length[r] * queries.length[q])
-    return centre - half, centre + half
+    half = fitted * queries.lost[i] + rows.rest[r, 1] * queries.length[i] + 1e-9 * (1.0 + rows.length[r] * queries.length[i])
+    low[at], high[at] = centre - half, centre + half
+    return low, high
 
 
 def _nth(low: np.ndarray, n: int) -> np.ndarray:
@@ -156,40 +164,42 @@ class Best:
 
 
 def meet(queries: Queries, rows: Rows, best: Best, anchor_of: np.ndarray, allowed, low: np.ndarray | None = None, high: np.ndarray | None = None) -> None:
-    """All rows of a batch against all requests: request i asks for the best rows with allowed(i) and a score from
-    low[i] to high[i], for the anchor anchor_of[i]; requests come in order of their anchors."""
-    n = best.n
+    """All rows of a batch against all requests: request i asks for the best rows that allowed(anchors) admits, with a score
+    from low[i] to high[i], for the anchor anchor_of[i]; requests come in order of their anchors."""
     for begin in range(0, len(queries.whole), SLICE):
         q = np.arange(begin, min(begin + SLICE, len(queries.whole)))
-        lower, upper = first_interval(queries, q, rows)
         own = np.arange(np.searchsorted(anchor_of, q[0]), np.searchsorted(anchor_of, q[-1] + 1))
-        for some in (own[i : i + SLICE] for i in range(0, len(own), SLICE)):
-            may, at = allowed(some), anchor_of[some] - begin
-            best.seen += int(may.sum())
-            lows, highs = lower[at], upper[at]
-            sure = may
-            if low is not None:
-                may = may & (highs >= low[some][:, None]) & (lows <= high[some][:, None])
-                sure = may & (lows >= low[some][:, None]) & (highs <= high[some][:, None])
-            reach = np.maximum(best.floor(some), _nth(np.where(sure, lows, -np.inf), n))
-            i, r = np.nonzero(may & (highs >= reach[:, None]))
-            best.opened += len(i)
-            a, b = last_interval(queries, anchor_of[some[i]], rows, r)
-            keep = b >= reach[i]
-            if low is not None:
-                keep &= (b >= low[some[i]]) & (a <= high[some[i]])
-            i, r, a, b = i[keep], r[keep], a[keep], b[keep]
-            within = np.ones(len(i), dtype=bool) if low is None else (a >= low[some[i]]) & (b <= high[some[i]])
-            table = np.full((len(some), rows.n), -np.inf)
-            table[i[within], r[within]] = a[within]
-            keep = b >= _nth(table, n)[i]
-            i, r = i[keep], r[keep]
-            best.scored += len(i)
-            score = (queries.whole[anchor_of[some[i]]] * rows.whole[r]).sum(1)
-            if low is not None:
-                inside = (score >= low[some[i]]) & (score <= high[some[i]])
-                i, r, score = i[inside], r[inside], score[inside]
-            best.offer(some[i], score, rows.vec_id[r], rows.row[r])
+        if not len(own):
+            continue
+        at, of = anchor_of[own] - begin, allowed(q)
+        asked = np.zeros(len(q), dtype=bool)
+        asked[at] = True
+        of = of & asked[:, None]
+        best.seen += int(of.sum())
+        lower, upper = first_interval(queries, q, rows)
+        if low is None:
+            least, most = np.full(len(q), -np.inf), np.full(len(q), np.inf)
+            least[at] = np.maximum(best.floor(own), _nth(np.where(of[at], lower[at], -np.inf), best.n))
+        else:  # of all requests of an anchor
+            least, most = np.full(len(q), np.inf), np.full(len(q), -np.inf)
+            np.minimum.at(least, at, np.maximum(best.floor(own), low[own]))
+            np.maximum.at(most, at, high[own])
+        of &= (upper >= least[:, None]) & (lower <= most[:, None])
+        best.opened += int(of.sum())
+        lower, upper = last_interval(queries, q, rows, of)
+        may, lows, highs = of[at], lower[at], upper[at]
+        sure = may
+        if low is not None:
+            sure = may & (lows >= low[own][:, None]) & (highs <= high[own][:, None])
+            may &= (highs >= low[own][:, None]) & (lows <= high[own][:, None])
+        reach = np.maximum(best.floor(own), _nth(np.where(sure, lows, -np.inf), best.n))
+        i, r = np.nonzero(may & (highs >= reach[:, None]))
+        best.scored += len(i)
+        score = (queries.whole[anchor_of[own[i]]] * rows.whole[r]).sum(1)
+        if low is not None:
+            inside = (score >= low[own[i]]) & (score <= high[own[i]])
+            i, r, score = i[inside], r[inside], score[inside]
+        best.offer(own[i], score, rows.vec_id[r], rows.row[r])
 
 
 def _found(best: Best, names: list, kinds: list) -> Iterator:
@@ -243,7 +253,7 @@ def _negatives(sent, width: int, n: int):
         for batch in batches:
             if batch.num_rows:
                 rows = Rows(batch, width)
-                meet(queries, rows, best, anchor_of, lambda some, rows=rows: label[anchor_of[some]][:, None] != rows.label, at_least, at_most)
+                meet(queries, rows, best, anchor_of, lambda some, rows=rows: label[some][:, None] != rows.label, at_least, at_most)
         yield from _found(best, ["anchor", "at_most", "row", "vec_id", "score"], [anchors[anchor_of], at_most])
 
     return run

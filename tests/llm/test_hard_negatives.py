@@ -83,9 +83,12 @@ def test_intervals_hold_the_products(width):
     score = whole @ whole.T
     low, high = hard_negatives.first_interval(queries, np.arange(300), rows)
     assert (low <= score).all() and (score <= high).all()
-    q, r = (x.ravel() for x in np.indices((300, 300)))
-    low, high = hard_negatives.last_interval(queries, q, rows, r)
-    assert (low <= score[q, r]).all() and (score[q, r] <= high).all()
+    every = np.ones((300, 300), dtype=bool)
+    low, high = hard_negatives.last_interval(queries, np.arange(300), rows, every)
+    assert (low <= score).all() and (score <= high).all()
+    few = np.eye(300, dtype=bool)
+    a, b = hard_negatives.last_interval(queries, np.arange(300), rows, few)
+    assert np.allclose(a[few], low[few]) and np.allclose(b[few], high[few]) and np.isinf(a[~few]).all() and np.isinf(b[~few]).all()
     assert np.median(high - low) < 0.12 * np.median(np.linalg.norm(whole, axis=1)) ** 2
 
 
