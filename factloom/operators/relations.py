@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.text import title_tokens
 from factloom.operators import graph
+from factloom.operators.scan import running_last
 from factloom.sources.tables import saved
 
 
@@ -83,6 +84,20 @@ def active_duplicates(timeline: DataFrame) -> DataFrame:
     return last.filter("active").select("duplicate", "canonical", F.col("order.at").alias("at"), F.col("order.position").alias("position"))
 
 
+def running_marks(timeline: DataFrame) -> DataFrame:
+    """timeline(id, type, ref, at, position) of marked_duplicate and unmarked_duplicate rows with marked and canonical, the
+    state of each id after the row: a mark sets both; an unmark of the canonical that holds clears them, others do nothing.
+    Positions tell rows of an id apart at equal times. An id that holds all rows is worked on by all tasks."""
+    order = [F.col("at"), F.col("position")]
+    rows = timeline.filter(F.col("type").isin("marked_duplicate", "unmarked_duplicate"))
+    mark = F.when(F.col("type") == "marked_duplicate", F.struct("ref", F.col("at").alias("since"), F.col("position").alias("nth")))
+    rows = running_last(rows, ["id"], order, mark, "_mark").select("*", F.col("_mark.since").alias("_since"), F.col("_mark.nth").alias("_of"))
+    undone = F.when((F.col("type") == "unmarked_duplicate") & (F.col("ref") == F.col("_mark.ref")), F.lit(True))
+    rows = running_last(rows, ["id", "_since", "_of"], order, undone, "_undone")
+    marked = F.col("_mark").isNotNull() & F.col("_undone").isNull()
+    return rows.select(*timeline.columns, marked.alias("marked"), F.when(marked, F.col("_mark.ref")).alias("canonical"))
+
+
 def duplicate_of(items: DataFrame, marks: DataFrame) -> DataFrame:
     """id, canonical (NULL if none is known), basis of issues that are duplicates: closed as one, closed with a comment
     that says so, marked, or labelled, in that order. items(id, kind, state, state_reason, comment_duplicate_of, labels);

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from factloom.functions.kleene import kleene_any
 from factloom.functions.versions import version_key
 from factloom.operators import graph, joins, merge, status
+from factloom.operators.scan import running_last
 from factloom.sources.tables import table
 
 
@@ -61,8 +62,7 @@ def closure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def canonical_root(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.md5(F.lower("text").cast("binary")).alias("h"))
-    before = F.lag("doc_id").over(Window.partitionBy("h").orderBy("doc_id"))
-    chains = docs.withColumn("before", before)
+    chains = running_last(docs, ["h"], [F.col("doc_id")], F.col("doc_id"), "before", before=True)  # copies may be a third of all
     parents = chains.select(F.col("doc_id").alias("node"), F.when(F.col("doc_id") < 3, (F.col("doc_id") + 1) % 3).otherwise(F.col("before")).alias("parent")).filter("parent IS NOT NULL")
     return graph.canonical(parents)
 
