@@ -1,6 +1,7 @@
 """Operator 6: balanced label propagation into shards; DataFrame operations only.
 
-Documents link by sharing a key (an equal text is one). Labels start from a hash. In each round a document counts its
+Documents link by sharing a key (an equal text is one). Labels start from a hash of the key, or of the document where it has none or
+one too large for a shard, and so depend on no numbering. In each round a document counts its
 neighbours' shards, through one row of counts a key, and wants the shard that most of them are in (at a tie the same
 one for all that share the key). How many want to go
 from each shard to each other is a table of shards x shards; from it come quotas: moves in both directions pair up, and
@@ -103,11 +104,14 @@ def levelled(labels: DataFrame, size: list[int]) -> DataFrame:
 
 
 def balanced(nodes: DataFrame, members: DataFrame, shards: int = 8, rounds: int = 8) -> DataFrame:
-    """node, shard for nodes(node) and members(node, key), saved tables: linked nodes together where the sizes allow;
+    """node, shard for nodes(node, seed) and members(node, key), saved tables; seed: a hash of the row's own content: linked nodes together where the sizes allow;
     sizes differ by one at most, the first shards being the larger ones. No nodes give no rows."""
     n = nodes.count()
     size = [n // shards + (i < n % shards) for i in range(shards)]
-    start = nodes.select("node", F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int").alias("shard"))
+    # what shares a key that a shard can hold starts together; whatever shares a larger one, and what is alone, is spread evenly
+    counts = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") * 4 <= min(size))
+    first = members.join(counts, "key").groupBy("node").agg(F.min("key").alias("first"))
+    start = nodes.join(first, "node", "left").select("node", F.pmod(F.xxhash64(F.coalesce("first", "seed")), F.lit(shards)).cast("int").alias("shard"))
     moved = propagate(common.saved(start, "labels"), members, size, rounds)
     return common.saved(levelled(common.saved(moved, "labels"), size), "shards")
 
@@ -126,7 +130,7 @@ def shard_documents(documents: DataFrame, shards: int = 8, rounds: int = 8) -> D
     shared = base.groupBy("text_hash", "size", "text_crc32").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = common.broadcast_if_small(common.saved(shared.drop("n"), "shared-texts"))
     members = common.saved(base.join(shared, ["text_hash", "size", "text_crc32"]).select("node", F.xxhash64("text_hash", "size", "text_crc32").alias("key")), "links")
-    placed = base.join(balanced(base.select("node"), members, shards, rounds), "node")
+    placed = base.join(balanced(base.select("node", F.xxhash64("doc_id", "text_hash").alias("seed")), members, shards, rounds), "node")
     placed = common.saved(placed, "placed")
     slots = common.number_within(placed, ["shard"], ["node"], "slot")
     return slots.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "text_hash")
