@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.text import extract_refs
+from factloom.sources.tables import broadcast_if_small, paired
 
 
 def item_id(repo: Column, number: Column) -> Column:
@@ -127,10 +128,9 @@ def constants(texts: DataFrame, patterns: dict[str, str]) -> DataFrame:
 def probe(texts: DataFrame, checks: DataFrame, signature: str) -> DataFrame:
     """ref, check_id, present, file, line, signature: checks(check_id, pattern, file, file_rank) against texts(ref, file,
     text): the first matching line of the first candidate file by rank; absent where all candidates that exist were read
-    without one; unknown (NULL) where none exists. Checks are few."""
-    few = F.broadcast(checks.limit(10_000))
-    refs = texts.select("ref").distinct().crossJoin(few.select("check_id").distinct())
-    lines = texts.join(few, "file").select("ref", "check_id", "file", "file_rank", F.posexplode(F.split("text", r"\r?\n")).alias("at", "raw"), "pattern")
+    without one; unknown (NULL) where none exists."""
+    refs = paired(texts.select("ref").distinct(), checks.select("check_id").distinct())
+    lines = texts.join(broadcast_if_small(checks), "file").select("ref", "check_id", "file", "file_rank", F.posexplode(F.split("text", r"\r?\n")).alias("at", "raw"), "pattern")
     hit = F.min(F.when(F.rlike(F.col("raw"), F.col("pattern")), F.struct("file_rank", F.col("at"), "file"))).alias("hit")
     found = lines.groupBy("ref", "check_id").agg(hit, F.lit(True).alias("read"))
     return refs.join(found, ["ref", "check_id"], "left").select("ref", "check_id", F.when(F.col("hit").isNotNull(), True).when(F.col("read"), False).alias("present"), F.col("hit.file").alias("file"), (F.col("hit.at") + 1).alias("line"), F.lit(signature).alias("signature"))

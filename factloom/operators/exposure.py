@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from factloom.functions.kleene import kleene_any
 from factloom.functions.parse import name_key
 from factloom.functions.versions import satisfies_range
+from factloom.operators.rule_index import having
+from factloom.sources.tables import paired, saved
 
 
 def attribute_ranges(advisories: DataFrame) -> DataFrame:
@@ -48,8 +50,7 @@ def advisory_verdict(advisories: DataFrame, exposed: DataFrame, builds: DataFram
     affected: true if any build is; else unknown if a build's snapshot was not read, a verdict is unknown, the advisory
     cannot be attributed or checked (checkable false), or only the main branch was read; else false. reasons: sorted codes.
     """
-    builds = F.broadcast(builds.limit(10_000))  # current builds, a few
-    every = advisories.select("advisory_id", "checkable").crossJoin(builds).join(exposed.withColumn("_read", F.lit(True)), ["advisory_id", "snapshot"], "left")
+    every = paired(advisories.select("advisory_id", "checkable"), builds).join(exposed.withColumn("_read", F.lit(True)), ["advisory_id", "snapshot"], "left")
     found = every.withColumn("v", F.when(F.col("snapshot").isNull(), None).otherwise(F.coalesce("affected", F.when(F.col("_read").isNull(), False))))
     reason = F.array_compact(F.array(F.when(F.col("snapshot").isNull(), "build-not-read"), F.when(F.col("_read") & F.col("affected").isNull(), "possibly-affected")))
     agg = found.groupBy("advisory_id", "checkable").agg(kleene_any(F.col("v")).alias("v"), F.flatten(F.collect_set(reason)).alias("r"), F.coalesce(F.bool_or(F.col("snapshot").isNotNull() & ~F.col("main")), F.lit(False)).alias("_released"))
@@ -91,10 +92,11 @@ def proven_absent(wanted: DataFrame, names: DataFrame, lists: DataFrame) -> Data
 
 def adoption(terms: DataFrame, packages: DataFrame, mentions: DataFrame) -> DataFrame:
     """term, verdict of terms(term): evidence where a package name or a mention has it; unknown (NULL) where a text of
-    mentions(text, complete) could not be read in full; else none-found. Terms are few."""
-    few = F.broadcast(terms.select("term").distinct().limit(10_000))
-    by_name = packages.select("name").distinct().join(few, F.contains(F.lower("name"), F.lower("term"))).select("term")
-    by_text = mentions.filter("text IS NOT NULL").join(few, F.contains(F.lower("text"), F.lower("term"))).select("term")
+    mentions(text, complete) could not be read in full; else none-found. Any number of terms."""
+    names = packages.select("name").distinct().select(F.col("name").alias("text_id"), F.col("name").alias("text"))
+    by_name = having(names, terms).select("term")
+    texts = saved(mentions.filter("text IS NOT NULL").select(F.monotonically_increasing_id().alias("text_id"), "text"), "mentions")
+    by_text = having(texts, terms).select("term")
     found = by_name.union(by_text).distinct().withColumn("_found", F.lit(True))
     whole = mentions.agg(F.coalesce(F.bool_and(F.col("complete") & F.col("text").isNotNull()), F.lit(True)).alias("_whole"))
     return terms.select("term").distinct().join(found, "term", "left").crossJoin(whole).select("term", F.when(F.col("_found"), "evidence").when(F.col("_whole"), "none-found").alias("verdict"))  # one row

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from factloom.functions.kleene import kleene_any
 from factloom.operators import graph
+from factloom.operators.rule_index import matching
 from factloom.operators.status import rank_of
-from factloom.sources.tables import saved
+from factloom.sources.tables import paired, saved
 
 #: Usable states, which an unknown check or switch turns into not-verified.
 USABLE = ("available", "in-build", "opt-in", "off")
@@ -16,18 +17,24 @@ USABLE = ("available", "in-build", "opt-in", "off")
 
 def rule_matches(rows: DataFrame, text: Column, rules: DataFrame) -> DataFrame:
     """rows with each rule(rule_id, pattern, exclude) whose pattern their text has and whose exclude (or NULL) it has not.
-    Rules are a table of their own, short by nature; Spark broadcasts it."""
-    hit = F.rlike(text, F.col("pattern")) & ~F.coalesce(F.rlike(text, F.col("exclude")), F.lit(False))
-    return rows.join(F.broadcast(rules.limit(10_000)), hit)
+    Any number of rules; see rule_index."""
+    held = saved(rows.withColumn("_text", text).withColumn("_row", F.monotonically_increasing_id()), "rule-texts")
+    hits = matching(held.select(F.col("_row").alias("text_id"), F.col("_text").alias("text")), rules)
+    met = held.join(hits.withColumnRenamed("text_id", "_row"), "_row").join(rules, "rule_id")
+    return met.filter(~F.coalesce(F.rlike(F.col("_text"), F.col("exclude")), F.lit(False))).select(*rows.columns, *rules.columns)
 
 
 def note_matches(notes: DataFrame, rules: DataFrame) -> DataFrame:
     """note_id, rule_id: notes(note_id, text, refs) for rules(rule_id, pattern, exclude, issues): the text is not excluded,
-    and lists one of the rule's issues or matches its pattern."""
-    listed = F.arrays_overlap(F.coalesce("refs", F.array().cast("array<string>")), F.coalesce("issues", F.array().cast("array<string>")))
-    text = F.col("text")
-    hit = (listed | F.coalesce(F.rlike(text, F.col("pattern")), F.lit(False))) & ~F.coalesce(F.rlike(text, F.col("exclude")), F.lit(False))
-    return notes.join(F.broadcast(rules.limit(10_000)), hit).select("note_id", "rule_id")
+    and lists one of the rule's issues or matches its pattern. Any number of rules; note_id tells notes apart."""
+    by_text = matching(notes.select(F.col("note_id").alias("text_id"), "text"), rules).select(F.col("text_id").alias("note_id"), "rule_id")
+    issues = rules.select("rule_id", F.explode("issues").alias("_issue"))
+    by_issue = notes.select("note_id", F.explode("refs").alias("_issue")).join(issues, "_issue").select("note_id", "rule_id")
+    hits = by_text.unionByName(by_issue).distinct()
+    without = rules.filter("exclude IS NULL").select("rule_id")
+    checked = hits.join(rules.filter("exclude IS NOT NULL").select("rule_id", "exclude"), "rule_id").join(notes.select("note_id", "text"), "note_id")
+    kept = checked.filter(~F.coalesce(F.rlike(F.col("text"), F.col("exclude")), F.lit(False))).select("note_id", "rule_id")
+    return hits.join(without, "rule_id", "left_semi").select("note_id", "rule_id").unionByName(kept)
 
 
 def earliest_notes(notes: DataFrame, keys: list[str], order: Column, n: int = 3) -> DataFrame:
@@ -60,7 +67,7 @@ def flags_at_builds(flags: DataFrame, builds: DataFrame) -> DataFrame:
     """builds(place, platform, tag) with the state of each flag(tag, name, defaults: map of platform to state); missing
     where the flag is not in that build's code, unknown (NULL) without a tag."""
     names = flags.select("name").distinct()
-    every = builds.crossJoin(F.broadcast(names.limit(10_000)))
+    every = paired(builds, names)
     at = every.join(flags.withColumn("_here", F.lit(True)), ["tag", "name"], "left")
     state = F.when(F.col("tag").isNull(), None).when(F.col("_here").isNull(), "missing").otherwise(F.try_element_at("defaults", "platform"))
     return at.select("place", "name", state.alias("state"))
@@ -197,7 +204,7 @@ def build_verdicts(pulls: DataFrame, bounds: DataFrame, carriers: DataFrame, bui
     group has no row. The witness `via` is the first id of the winning verdict."""
     carried = pulls.join(carriers, "id", "left").select("group_id", "id", F.coalesce("carrier", F.when(~F.col("on_feature_branch"), F.col("id"))).alias("_by"))
     b = bounds.select(F.col("id").alias("_by"), F.col("line").alias("_line"), "low", "high")
-    every = carried.join(b, "_by", "left").crossJoin(F.broadcast(builds.limit(10_000)))  # current builds, a few
+    every = paired(carried.join(b, "_by", "left"), builds)
     included = F.when(F.col("_by").isNull() | (F.col("low").isNull() & F.col("high").isNull()), None).when(F.col("_line") != F.col("line"), False).when(F.col("low") <= F.col("version"), True).when(F.col("version") <= F.col("high"), False)
     judged = every.select("group_id", "build_id", "id", included.alias("included"))
     witness = F.min_by("id", F.struct(F.when(F.col("included"), 0).when(F.col("included").isNull(), 1).otherwise(2), "id"))

@@ -8,6 +8,7 @@ from pyspark.sql import Window
 
 from factloom.functions.kleene import kleene_all
 from factloom.functions.versions import in_version_range, version_key
+from factloom.sources.tables import broadcast_if_small, paired
 
 #: The keys of a filter that are understood.
 KNOWN_KEYS = ["platform", "channel", "min_version", "max_version", "start", "end", "country", "locale"]
@@ -31,8 +32,8 @@ def clauses(studies: DataFrame) -> DataFrame:
 
 def applicability(studies: DataFrame, builds: DataFrame, now: Column) -> DataFrame:
     """study, build_id, clause, met: each clause of each filter against builds(build_id, platform, channel, version), three-
-    valued. Keys that are not understood, and values that depend on the user, are unknown. Builds are few."""
-    rows = clauses(studies).crossJoin(F.broadcast(builds.limit(10_000)))
+    valued. Keys that are not understood, and values that depend on the user, are unknown."""
+    rows = paired(clauses(studies), builds)
     c, v = F.col("clause"), F.col("value")
     scalar, when = F.replace(v, F.lit('"'), F.lit("")), date_value(F.replace(v, F.lit('"'), F.lit("")))
     among = lambda column: F.when(F.col(column).isNotNull(), F.array_contains(F.transform(as_list(v), lambda x: F.lower(x)), F.lower(F.col(column))))
@@ -56,7 +57,7 @@ def study_verdicts(judged: DataFrame) -> DataFrame:
 def merge_reasons(verdicts: DataFrame, builds: DataFrame) -> DataFrame:
     """study, channel, applies, reasons: verdicts of per-system builds(build_id, channel, platform) put together by outcome,
     each clause with the systems it holds for."""
-    met = verdicts.join(F.broadcast(builds.limit(10_000)), "build_id")
+    met = verdicts.join(broadcast_if_small(builds), "build_id")
     each = met.select("study", "channel", "applies", "platform", F.explode_outer("deciding").alias("clause"))
     by_clause = each.groupBy("study", "channel", "applies", "clause").agg(F.array_join(F.array_sort(F.collect_set("platform")), ", ").alias("systems"))
     return by_clause.groupBy("study", "channel", "applies").agg(F.array_sort(F.collect_list(F.concat_ws(": ", F.coalesce("clause", F.lit("all")), "systems"))).alias("reasons"))
