@@ -27,6 +27,34 @@ def semver_key(version: Column) -> Column:
     return F.struct(version_key(release).alias("release"), (pre == "").alias("final"), version_key(pre).alias("pre"))
 
 
+READABLE = r"\Av?[0-9]+(\.[0-9]+)*\z"
+
+
+def version_bytes(version: Column) -> Column:
+    """A string whose order is that of version_key, for versions of numbers; NULL for others. Each part is its number of
+    digits and its digits, so that parts need no separator and longer numbers sort behind shorter ones."""
+    parts = F.split(F.regexp_replace(version, r"\Av|(?:\.0+)+\z", ""), r"\.")
+    part = lambda p: F.concat(F.lpad(F.length(p).cast("string"), 4, "0"), p)
+    return F.when(version.rlike(READABLE), F.array_join(F.transform(parts, lambda p: part(F.regexp_replace(p, r"\A0+", ""))), ""))
+
+
+def range_bounds(text: Column) -> Column:
+    """A range such as `>= 1.2, < 2`, read once: struct(low, low_open, high, high_open, doubt), bounds as version_bytes and NULL
+    where there is none. As comparators are tried in turn, those before the first that cannot be read make the bounds,
+    and doubt says that there is such a one, or that the range has no comparator at all: a version outside is
+    not in the range, one inside is, or is unknown in doubt."""
+    shape = r"\A(<=|>=|==|=|<|>)?\s*(v?[0-9]+(?:\.[0-9]+)*)\z"
+    parts = F.filter(F.transform(F.split(text, ","), lambda p: F.trim(p)), lambda p: p != "")
+    read = F.transform(parts, lambda p: F.struct(F.regexp_extract(p, shape, 1).alias("op"), F.when(p.rlike(shape), version_bytes(F.regexp_extract(p, shape, 2))).alias("key")))
+    unread = F.array_position(F.transform(read, lambda c: c["key"].isNull()), True)
+    sure = F.when(unread > 0, F.slice(read, F.lit(1), F.greatest(unread.cast("int") - 1, F.lit(0)))).otherwise(read)
+    upper, lower = ("<", "<="), (">", ">=")
+    low = F.array_max(F.transform(F.filter(sure, lambda c: ~c["op"].isin(*upper)), lambda c: F.struct(c["key"].alias("key"), (c["op"] == ">").alias("open"))))
+    high = F.array_min(F.transform(F.filter(sure, lambda c: ~c["op"].isin(*lower)), lambda c: F.struct(c["key"].alias("key"), (c["op"] != "<").alias("closed"))))
+    doubt = F.coalesce(unread > 0, F.lit(True)) | (F.coalesce(F.size(parts), F.lit(0)) <= 0)
+    return F.struct(low["key"].alias("low"), low["open"].alias("low_open"), high["key"].alias("high"), (~high["closed"]).alias("high_open"), doubt.alias("doubt"))
+
+
 def satisfies(version: Column, operator: Column, bound: Column) -> Column:
     """One comparator; NULL where either side cannot be read as a version."""
     ok = version.rlike(r"\Av?[0-9]+(\.[0-9]+)*\z") & bound.rlike(r"\Av?[0-9]+(\.[0-9]+)*\z")

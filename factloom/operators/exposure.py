@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from factloom.functions.kleene import kleene_any
 from factloom.functions.parse import name_key
-from factloom.functions.versions import satisfies_range
+from factloom.functions.versions import range_bounds, version_bytes
+from factloom.operators import intervals
 from factloom.operators.rule_index import having
 from factloom.sources.tables import paired, saved
 
@@ -35,13 +36,30 @@ def linked_versions(packages: DataFrame) -> DataFrame:
 
 def exposure(ranges: DataFrame, linked: DataFrame) -> DataFrame:
     """advisory_id, snapshot, affected: three-valued, from ranges(advisory_id, package, range) and linked(snapshot, name,
-    version, linked). In range and linked: true. In range and possibly linked, or a range or version that cannot be read:
-    unknown. One join on the name; the range is a residual test."""
-    held = ranges.withColumn("name", name_key(F.col("package")))
-    met = held.join(linked, "name")
-    inside = satisfies_range(F.col("version"), F.col("range"))
-    verdict = F.when(F.coalesce(~inside, F.lit(False)), False).when(F.col("linked").isNotNull() & ~F.col("linked"), False).otherwise(inside & F.col("linked"))
-    return met.select("advisory_id", "snapshot", verdict.alias("v")).groupBy("advisory_id", "snapshot").agg(kleene_any(F.col("v")).alias("affected"))
+    version, linked), for each snapshot that has the package. In range and linked: true. In range and possibly linked, or a
+    range or version that cannot be read: unknown.
+
+    Versions and ranges are parsed once each. Ranges meet blocks of versions (see intervals), in which the links of each
+    snapshot are put together before, so that no pair of a range and a version is made."""
+    held = ranges.select("advisory_id", name_key(F.col("package")).alias("name"), "range").filter("name IS NOT NULL")
+    kinds = saved(held.select("name", "range").distinct().select("name", "range", range_bounds(F.col("range")).alias("b")).select("*", F.xxhash64("name", "range").alias("range_id"), "b.*").drop("b"), "ranges")
+    rows = saved(linked.join(kinds.select("name").distinct(), "name", "left_semi").select("snapshot", "name", version_bytes(F.col("version")).alias("key"), "linked"), "versions")
+    read = rows.filter("key IS NOT NULL")
+    places = intervals.numbered(read, "name", "key")
+    n = intervals.levels(places)
+    spans = intervals.intervals(kinds, places, "name", "key", "range_id")
+    wanted = spans.select("name", "range_id", F.explode(intervals.blocks_of(F.col("first"), F.col("upto"), n)).alias("at")).select("name", "range_id", "at.*")
+    at = read.join(places, ["name", "key"]).select("name", "snapshot", "linked", F.explode(intervals.above(F.col("place"), n)).alias("at")).select("name", "snapshot", "linked", "at.*")
+    inside = at.groupBy("name", "level", "block", "snapshot").agg(kleene_any(F.col("linked")).alias("linked"))
+    met = wanted.join(inside, ["name", "level", "block"]).select("range_id", "name", "snapshot", "linked")
+    met = met.join(kinds.select("range_id", "name", "doubt"), ["range_id", "name"]).select("range_id", "name", "snapshot", F.when(~F.col("doubt"), F.col("linked")).when(~F.col("linked"), False).alias("v"))
+    odd = rows.filter("key IS NULL").groupBy("name", "snapshot").agg(kleene_any(F.col("linked")).alias("linked")).withColumn("v", F.when(~F.col("linked"), False))
+    there = rows.select("name", "snapshot").distinct()
+    every = kinds.select("range_id", "name").join(there, "name").select("range_id", "name", "snapshot", F.lit(False).alias("v"))
+    every = every.unionByName(met).unionByName(kinds.select("range_id", "name").join(odd, "name").select("range_id", "name", "snapshot", "v"))
+    by_range = every.groupBy("range_id", "name", "snapshot").agg(kleene_any(F.col("v")).alias("v"))
+    of = held.join(kinds.select("range_id", F.col("name").alias("_name"), F.col("range").alias("_range")), (F.col("name") == F.col("_name")) & F.col("range").eqNullSafe(F.col("_range"))).select("advisory_id", "range_id", "name").distinct()
+    return of.join(by_range, ["range_id", "name"]).groupBy("advisory_id", "snapshot").agg(kleene_any(F.col("v")).alias("affected"))
 
 
 def advisory_verdict(advisories: DataFrame, exposed: DataFrame, builds: DataFrame) -> DataFrame:
