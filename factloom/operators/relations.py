@@ -60,8 +60,8 @@ def build_edges(items: DataFrame, timeline: DataFrame, stop: list[str]) -> DataF
     sure = of("closes", pull).filter(issue).select("src", "dst").unionByName(closed.select("src", "dst"))
     branch = accept_weak_links(of("branch_refs", pull).filter(issue).select("src", "dst"), items, stop)
     direct = saved(sure.unionByName(branch).distinct())
-    above = graph.closure(uplift).select("src", F.col("dst").alias("via"))
-    inherited = above.join(direct.select(F.col("src").alias("via"), "dst"), "via").select("src", "dst")
+    down = uplift.select(F.col("dst").alias("parent"), F.col("src").alias("child"))
+    inherited = graph.pushed(down, direct.select(F.col("src").alias("node"), F.col("dst").alias("label"))).select(F.col("node").alias("src"), F.col("label").alias("dst"))
     resolves = saved(direct.unionByName(inherited).distinct())
     mentions = of("mentions", F.lit(True)).filter(issue).select("src", "dst").join(resolves, ["src", "dst"], "left_anti")
     epics = of("children", F.col("kind") == "issue").groupBy("dst").agg(F.min("src").alias("src"))
@@ -138,10 +138,10 @@ def groups(items: DataFrame, edges: DataFrame, duplicates: DataFrame) -> DataFra
     rooted = saved(issues.join(found, issues["id"] == found["node"], "left").select("id", F.coalesce("root", "id").alias("group_id")))
     own = rooted.select("group_id", F.col("id").alias("item_id"), F.when(F.col("id") == F.col("group_id"), "lead").otherwise("duplicate").alias("role"))
     uplift = saved(edges.filter("kind = 'uplift'").select(F.col("dst").alias("parent"), F.col("src").alias("child")).distinct())
-    below = saved(graph.closure(uplift.select(F.col("parent").alias("src"), F.col("child").alias("dst"))).select(F.col("src").alias("item_id"), F.col("dst").alias("below")))  # uplift chains are short
     of_issue = lambda kind: edges.filter(F.col("kind") == kind).select(F.col("src").alias("item_id"), F.col("dst").alias("id")).join(rooted, "id").select("group_id", "item_id").distinct()
     linked = of_issue("resolves").join(pulls, F.col("item_id") == pulls["id"]).select("group_id", "item_id", F.when(F.col("is_uplift"), "uplift").otherwise("pr").alias("role"))
-    lifted = linked.join(below, "item_id").select("group_id", F.col("below").alias("item_id"), F.lit("uplift").alias("role"))
+    marks = linked.select(F.col("item_id").alias("node"), F.struct("group_id", "item_id").alias("label"))
+    lifted = graph.pushed(uplift, marks).filter("node <> label.item_id").select(F.col("label.group_id").alias("group_id"), F.col("node").alias("item_id"), F.lit("uplift").alias("role"))
     # what is both linked and below another is an uplift
     members = saved(own.unionByName(linked.unionByName(lifted).groupBy("group_id", "item_id").agg(F.max("role").alias("role"))))
     mentions = of_issue("mentions").join(members, ["group_id", "item_id"], "left_anti").withColumn("role", F.lit("mention"))
@@ -149,7 +149,7 @@ def groups(items: DataFrame, edges: DataFrame, duplicates: DataFrame) -> DataFra
     tops = saved(graph.roots_of(uplift))
     leads = free.join(tops.select(F.col("node").alias("id")).distinct(), "id", "left_anti").unionByName(free.filter(~F.col("is_uplift")).join(tops.select(F.col("node").alias("id")).distinct(), "id", "left_semi"))
     leads = saved(leads.select("id").distinct())
-    under = leads.join(below, leads["id"] == below["item_id"]).select("id", "below").join(tops, (F.col("below") == tops["node"]) & (F.col("id") == tops["root"]))
+    under = tops.join(leads, tops["root"] == leads["id"]).select("id", F.col("node").alias("below"))
     led = leads.select(F.col("id").alias("group_id"), F.col("id").alias("item_id"), F.lit("lead").alias("role")).unionByName(under.select(F.col("id").alias("group_id"), F.col("below").alias("item_id"), F.lit("uplift").alias("role")))
     covered = saved(members.unionByName(led))
     alone = items.join(covered.select(F.col("item_id").alias("id")).distinct(), "id", "left_anti").select(F.col("id").alias("group_id"), F.col("id").alias("item_id"), F.lit("lead").alias("role"))
