@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.functions.text import extract_refs
+from factloom.functions.text import decode_numeric  # noqa: F401  (also by this name)
 from factloom.sources.tables import broadcast_if_small, paired
 
 
@@ -24,38 +24,40 @@ def item_url(id: Column, kind: Column, base: str) -> Column:
     return F.concat(F.lit(base.rstrip("/") + "/"), p["repo"], F.when(kind == "pr", "/pull/").otherwise("/issues/"), p["number"].cast("string"))
 
 
-def branch_ref(head: Column) -> Column:
-    """The first number of three to six digits of a branch's name, on its own: the issue that it is for."""
-    found = F.regexp_extract(head, r"(?:\A|[/_-])([0-9]{3,6})(?:\z|[/_.-])", 1)
+def branch_ref(head: Column, prefix: str = "[A-Za-z]+") -> Column:
+    """The issue that a branch is named after: `word_12345` or `word_12345_2`, five or six digits."""
+    found = F.regexp_extract(head, rf"\A{prefix}_([0-9]{{5,6}})(?:_[0-9]+)?\z", 1)
     return F.when(found != "", found.cast("long"))
 
 
 def pr_number(message: Column) -> Column:
-    """The pull request of a commit's message: `(#12)` at the end of its first line, else `Merge pull request #12`, else
-    `pull/12`."""
+    """The pull request of a commit's message, from its first line: `(#12)` at its end, else `Merge pull request #12` at its
+    beginning, else the first `(#12)`."""
     first = F.substring_index(message, "\n", 1)
-    tries = [F.regexp_extract(first, r"\(#([0-9]+)\)\s*\z", 1), F.regexp_extract(message, r"(?i)merge pull request #([0-9]+)", 1), F.regexp_extract(message, r"pull/([0-9]+)", 1)]
+    tries = [F.regexp_extract(first, p, 1) for p in (r"\(#([0-9]+)\)\s*\z", r"\AMerge pull request #([0-9]+)", r"\(#([0-9]+)\)")]
     return F.coalesce(*[F.when(t != "", t.cast("long")) for t in tries])
 
 
 def uplift_refs(body: Column, title: Column, head: Column, repo: Column) -> Column:
-    """What an uplift names: references after the word uplift, those of list lines, numbers in brackets of the title, and the
-    pull request of its branch's name; distinct, in that order."""
-    text = F.coalesce(body, F.lit(""))
-    said = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(r"(?i)(uplifts?(?: of)?:?[^\n]*)"), F.lit(1)), lambda x: extract_refs(x, repo)))
-    listed = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(r"(?m)^\s*[-*] (.*)$"), F.lit(1)), lambda x: extract_refs(x, repo)))
-    own = lambda n: F.concat(F.lower(repo), F.lit("#"), n)
-    titled = F.transform(F.regexp_extract_all(F.coalesce(title, F.lit("")), F.lit(r"#([0-9]{3,6})"), F.lit(1)), own)
-    branch = F.transform(F.regexp_extract_all(F.coalesce(head, F.lit("")), F.lit(r"(?:pr|uplift)[-_]?([0-9]{3,6})"), F.lit(1)), own)
-    return F.array_distinct(F.concat(said, listed, titled, branch))
+    """What an uplift was made from: lines `uplift of #12` (from, for, part of; or a pull request's address), list lines
+    `- #12 - `, the title `Uplift of #12`, and the branch `pr12_name_1.2.x`; distinct, in that order. Other references of a
+    text do not count."""
+    text, own = F.coalesce(body, F.lit("")), lambda n: F.concat(F.lower(repo), F.lit("#"), n)
+    said = r"(?im)^[ \t]*+[-*]?[ \t]*+uplift(?:ed)?\s++(?:of|from|for|part of)\s++(?:#|https?://[^/\s]{1,200}+/[\w.-]++/[\w.-]++/pull/)([0-9]+)"
+    some = lambda text, pattern: F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), own)
+    titled = some(F.coalesce(title, F.lit("")), r"(?i)\Auplift (?:of )?#([0-9]+)")
+    branch = some(F.coalesce(head, F.lit("")), r"\Apr([0-9]+)_.+_[0-9]+\.[0-9]+\.x\z")
+    return F.array_distinct(F.concat(some(text, said), some(text, r"(?m)^- #([0-9]+) - "), titled, branch))
 
 
 def duplicate_from_comments(comments: DataFrame) -> DataFrame:
-    """id, number: of comments(id, position, text) the newest that says `duplicate of #n` of another item (own: the item's
-    number), and does not hedge in the 30 characters before."""
-    shape = r"(?i)([^\n]{0,30})\bduplicate of #([0-9]+)"
-    before, number = F.regexp_extract("text", shape, 1), F.regexp_extract("text", shape, 2)
-    hedged = F.lower(before).rlike(r"\b(?:not|maybe|might|may|possibly|perhaps|probably|could|isn't|seems)\b")
+    """id, number: of comments(id, position, text, own: the item's number) the newest that says `duplicate of` (with, in
+    favour of) another item, as `#12`, `owner/name#12` or an address. One that hedges in the 30 characters before, with no
+    full stop between, or speaks of a possible duplicate anywhere, says nothing."""
+    shape = r"(?is)\A.*?duplicate (?:of|with|in favou?r of)\s++(?:https?://[^/\s]{1,200}+/[\w.-]++/[\w.-]++/issues/|[\w.-]++/[\w.-]++#|#)([0-9]+)"
+    number = F.regexp_extract("text", shape, 1)
+    before = F.regexp_extract("text", r"(?is)\A(.*?)duplicate (?:of|with|in favou?r of)\s++(?:https?://[^/\s]{1,200}+/[\w.-]++/[\w.-]++/issues/|[\w.-]++/[\w.-]++#|#)[0-9]+", 1)
+    hedged = F.lower(F.right(before, F.lit(30))).rlike(r"(?s)\b(?:not|possibl[ey]|maybe|might|may|could|potential(?:ly)?|likely)\b[^.]*\z") | F.contains(F.lower("text"), F.lit("possible duplicate"))
     found = comments.withColumn("number", F.when((number != "") & ~hedged, number.cast("long"))).filter("number IS NOT NULL AND number <> own")
     return found.groupBy("id").agg(F.max_by("number", "position").alias("number"))
 
@@ -70,21 +72,6 @@ def safe_target(url: Column) -> Column:
     return F.when(url.rlike(r"\A/(?!/)[^\s\"'<>]*\z") | url.rlike(r"(?i)\Ahttps://[^\s/?#\"'<>]+[^\s\"'<>]*\z"), url)
 
 
-def decode_numeric(text: Column) -> Column:
-    """Numeric character references, decimal and hexadecimal, as the characters they stand for; those of no character, and
-    surrogates, as U+FFFD. Through the UTF-32 bytes of the number."""
-    parts = F.split(text, r"&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});", -1)
-    found = F.regexp_extract_all(text, F.lit(r"&#([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"), F.lit(1))
-
-    def char(n: Column) -> Column:
-        value = F.when(n.rlike(r"\A[xX]"), F.conv(F.regexp_replace(n, r"\A[xX]", ""), 16, 10)).otherwise(n).cast("long")
-        good = (value > 0) & (value <= 0x10FFFF) & ~value.between(0xD800, 0xDFFF)
-        raw = F.unhex(F.lpad(F.hex(F.when(good, value).otherwise(0xFFFD)), 8, "0"))
-        return F.decode(raw, "UTF-32")
-
-    return F.array_join(F.flatten(F.zip_with(parts, found, lambda p, n: F.array(p, F.when(n.isNull(), "").otherwise(char(n))))), "")
-
-
 def ago_text(at: Column, now: Column) -> Column:
     """just now, minutes, hours or days ago; NULL stays NULL."""
     minutes = F.timestamp_diff("MINUTE", at, now)
@@ -147,6 +134,6 @@ def split_package(package: Column) -> Column:
 
 
 def qa_platform(name: Column) -> Column:
-    """The platform that the name behind a QA label means."""
+    """The platform that the name behind a QA label means: every desktop system is desktop."""
     lower = F.lower(name)
-    return F.when(lower.startswith("win"), "windows").when(lower.startswith("mac"), "macos").when(lower.startswith("linux"), "linux").when(F.contains(lower, F.lit("android")), "android").when(F.contains(lower, F.lit("ios")), "ios")
+    return F.when(F.contains(lower, F.lit("android")), "android").when(lower.rlike("ios|iphone|ipad"), "ios").when(lower.rlike("win|mac|linux|desktop"), "desktop")

@@ -8,19 +8,38 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: A host, an owner and a name in an address, and the two parts of a short reference.
+_HOST, _NAME = r"[^/\s]{1,200}+", r"[\w.-]++"
+
+
 def extract_refs(text: Column, default_repo: Column) -> Column:
-    """`owner/name#12`, issue and pull URLs, and bare `#123` (three to six digits) of the default repository;
-    lower-case, distinct, full forms before bare ones."""
+    """Addresses of issues and pull requests, `owner/name#12`, and bare `#123` (three to six digits) of the default
+    repository, in this order; lower-case, distinct. Short forms start a word of their own. Linear in the text."""
     text = F.lower(F.coalesce(text, F.lit("")))
-    full = F.regexp_extract_all(text, F.lit(r"[a-z0-9_.-]+/[a-z0-9_.-]+#[0-9]+"), F.lit(0))
-    urls = F.transform(F.regexp_extract_all(text, F.lit(r"https?://[^/\s]+/([a-z0-9_.-]+/[a-z0-9_.-]+/(?:issues|pull)/[0-9]+)"), F.lit(1)), lambda u: F.regexp_replace(u, r"/(?:issues|pull)/", "#"))
-    bare = F.transform(F.regexp_extract_all(text, F.lit(r"(?:^|[^a-z0-9_./-])#([0-9]{3,6})(?![0-9a-z])"), F.lit(1)), lambda n: F.concat(F.lower(default_repo), F.lit("#"), n))
-    return F.array_distinct(F.concat(full, urls, bare))
+    urls = F.transform(F.regexp_extract_all(text, F.lit(rf"https?://{_HOST}/({_NAME}/{_NAME}/(?:issues|pull)/[0-9]+)"), F.lit(1)), lambda u: F.regexp_replace(u, r"/(?:issues|pull)/", "#"))
+    short = F.regexp_extract_all(text, F.lit(rf"(?<![\w/.-]){_NAME}/{_NAME}#[0-9]++\b"), F.lit(0))
+    bare = F.transform(F.regexp_extract_all(text, F.lit(r"(?<![\w/#&])#([0-9]{3,6})\b"), F.lit(1)), lambda n: F.concat(F.lower(default_repo), F.lit("#"), n))
+    return F.array_distinct(F.concat(urls, short, bare))
 
 
 def resolves_refs(text: Column) -> Column:
-    """Numbers after a closing keyword."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?:fix(?:es|ed)?|close[sd]?|resolve[sd]?):? #([0-9]+)"), F.lit(1)))
+    """What a closing keyword names, by address or as `owner/name#12`, as `owner/name#12` in lower case; bare numbers after a
+    keyword name nothing."""
+    named = rf"\b(?:close[sd]?|fix(?:e[sd])?|resolve[sd]?)\b:?\s*+<?((?:https?://{_HOST}/{_NAME}/{_NAME}/issues/|{_NAME}/{_NAME}#)[0-9]+)"
+    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(named), F.lit(1))
+    return F.array_distinct(F.transform(found, lambda x: F.regexp_replace(F.regexp_replace(x, r"\Ahttps?://[^/]+/", ""), "/issues/", "#")))
+
+
+def _let(value: Column, body) -> Column:
+    """body of a value that is computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def replace_spans(text: Column, begin: str, end: str, mark: str) -> Column:
+    """Each span from `begin` to the next `end` (patterns) as a mark. Only the text up to the last `end` is searched, where
+    every beginning has an end, so that time is linear; a beginning behind it has none and stays."""
+    both = lambda t, head: F.concat(F.regexp_replace(head, rf"(?is){begin}.*?{end}", mark), F.substring(t, F.length(head) + 1, F.length(t)))
+    return _let(text, lambda t: _let(F.regexp_extract(t, rf"(?is)\A(.*{end})", 1), lambda head: both(t, head)))
 
 
 def decode_entities(text: Column) -> Column:
@@ -30,20 +49,52 @@ def decode_entities(text: Column) -> Column:
     return text
 
 
+def decode_numeric(text: Column) -> Column:
+    """Numeric character references, decimal and hexadecimal, as the characters they stand for; those of no character, and
+    surrogates, as U+FFFD. Through the UTF-32 bytes of the number."""
+    def char(n: Column) -> Column:
+        value = F.when(n.rlike(r"\A[xX]"), F.conv(F.regexp_replace(n, r"\A[xX]", ""), 16, 10)).otherwise(n).cast("long")
+        good = (value > 0) & (value <= 0x10FFFF) & ~value.between(0xD800, 0xDFFF)
+        raw = F.unhex(F.lpad(F.hex(F.when(good, value).otherwise(0xFFFD)), 8, "0"))
+        return F.decode(raw, "UTF-32")
+
+    def decoded(t: Column) -> Column:
+        parts = F.split(t, r"&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});", -1)
+        found = F.regexp_extract_all(t, F.lit(r"&#([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"), F.lit(1))
+        return F.array_join(F.flatten(F.zip_with(parts, found, lambda p, n: F.array(p, F.when(n.isNull(), "").otherwise(char(n))))), "")
+
+    return _let(text, lambda t: F.when(F.contains(t, F.lit("&#")), decoded(t)).otherwise(t))
+
+
+#: White space of web texts: no-break and line separators too.
+_BLANK = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]+"
+
+
 def html_to_text(html: Column) -> Column:
-    """Scripts, styles and comments dropped, tags to spaces, entities decoded, white space collapsed."""
-    bare = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<!--.*?-->", " ")
-    bare = F.regexp_replace(bare, r"(?is)<script[^>]*>.*?</script>", " ")
-    bare = F.regexp_replace(bare, r"(?is)<style[^>]*>.*?</style>", " ")
-    return F.trim(F.regexp_replace(decode_entities(F.regexp_replace(bare, r"(?s)<[^>]*>", " ")), r"[ \t\r\n]+", " "))
+    """Scripts and styles dropped, line ends where blocks end, other tags to spaces, entities decoded, white space of a line
+    and empty lines collapsed. Linear in the page, also where marks are not closed."""
+    bare = replace_spans(replace_spans(F.coalesce(html, F.lit("")), "<script", "</script>", " "), "<style", "</style>", " ")
+    bare = replace_spans(bare, r"<(?:br|/p|/li|/h[0-9]|/div|/tr)(?=[^>]*>)", ">", "\n")
+    text = decode_entities(decode_numeric(replace_spans(bare, "<(?!>)", ">", " ")))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"[ \t\f\x0b]+", " "), r"\n\s*+", "\n"), r"\A\s+|\s+\z", ""))
 
 
 def plain_excerpt(text: Column, most: int) -> Column:
-    """Links to their text, marks of emphasis and code dropped, white space collapsed, cut at a word with an ellipsis."""
-    plain = F.regexp_replace(F.coalesce(text, F.lit("")), r"!?\[([^\]]*)\]\([^)]*\)", "$1")
-    plain = F.trim(F.regexp_replace(F.regexp_replace(plain, r"[*_`>#]+", ""), r"[ \t\r\n]+", " "))
-    cut = F.regexp_replace(F.substring(plain, 1, most), r" [^ ]*$", "")
-    return F.when(F.length(plain) <= most, plain).otherwise(F.concat(cut, F.lit("…")))
+    """Comments dropped; fences of code and pictures as marks; tags dropped, links to their text; marks of headings, quotes,
+    emphasis and code dropped; entities decoded, control characters dropped, white space collapsed; cut at a word with an
+    ellipsis. Linear in the text; link texts beyond 400 characters stay as they are."""
+    plain = F.coalesce(text, F.lit(""))
+    plain = replace_spans(replace_spans(plain, "<!--", "-->", " "), "```", "```", " [code] ")
+    plain = replace_spans(replace_spans(plain, "<img", ">", " [image] "), "<(?!>)", ">", " ")
+    images = lambda t: F.regexp_replace(t, r"!\[[^\]]{0,400}+\]\([^)]{0,2000}+\)", " [image] ")
+    links = lambda t: F.regexp_replace(images(t), r"\[([^\]]{1,400}+)\]\([^)]{1,2000}+\)", "$1")
+    plain = _let(plain, lambda t: F.when(F.contains(t, F.lit("](")), links(t)).otherwise(t))
+    plain = F.regexp_replace(F.regexp_replace(plain, r"(?m)^#{1,6}", ""), r"(?m)^[ \t]*+>++", "")
+    plain = F.regexp_replace(plain, r"\*\*|__(?=\w)|(?<=\w)__|[*`]+", "")
+    plain = F.regexp_replace(decode_entities(decode_numeric(plain)), r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")
+    plain = F.trim(F.regexp_replace(plain, _BLANK, " "))
+    cut = lambda t: F.regexp_replace(F.substring(t, 1, most - 1), r" [^ ]*\z", "")
+    return _let(plain, lambda t: F.when(F.length(t) <= most, t).otherwise(F.concat(cut(t), F.lit("…"))))
 
 
 #: Shapes of secrets and personal marks: name, pattern, what stands instead.
@@ -98,10 +149,12 @@ def redact_columns(df: DataFrame, columns: list[str], allowed: list[str]) -> Dat
 
 def page_fields(html: Column) -> Column:
     """struct(title, published, main): of the first article, else main, else the whole page; title and date from meta tags,
-    else the title element; NULL where there is none."""
+    else the title element; NULL where there is none. Linear in the page."""
     found = lambda pattern: F.nullif(F.regexp_extract(html, pattern, 1), F.lit(""))
-    main = F.coalesce(found(r"(?is)<article[^>]*>(.*?)</article>"), found(r"(?is)<main[^>]*>(.*?)</main>"), html)
-    title = F.coalesce(found(r'(?i)<meta[^>]{0,200}property="og:title"[^>]{0,200}content="([^"]*)"'), F.trim(found(r"(?is)<title[^>]*>(.*?)</title>")))
+    # what has no end cannot match, and is not looked for from every beginning
+    whole = lambda tag: F.when(F.contains(F.lower(html), F.lit(f"</{tag}>")), found(rf"(?is)\A.*?<{tag}(?![a-z0-9])[^>]*>(.*?)</{tag}>"))
+    main = F.coalesce(whole("article"), whole("main"), html)
+    title = F.coalesce(found(r'(?i)<meta[^>]{0,200}property="og:title"[^>]{0,200}content="([^"]*)"'), F.trim(whole("title")))
     published = F.coalesce(found(r'(?i)<meta[^>]{0,200}property="article:published_time"[^>]{0,200}content="([^"]*)"'), found(r'(?i)<time[^>]{0,200}datetime="([^"]*)"'))
     return F.struct(title.alias("title"), published.alias("published"), html_to_text(main).alias("main"))
 

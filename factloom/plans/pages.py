@@ -190,9 +190,9 @@ def uplift_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers in made-up messages and branches of orders: pull request, issue of the branch, what an uplift names."""
     k = C("o_orderkey").cast("string")
     message = F.when(C("o_orderkey") % 3 == 0, F.concat(F.lit("Do it (#"), k, F.lit(")\nbody"))).when(C("o_orderkey") % 3 == 1, F.concat(F.lit("Merge pull request #"), k, F.lit(" from x"))).otherwise("nothing")
-    head = F.concat(F.lit("fix-"), F.lpad(k, 4, "1"), F.lit("-now"))
-    body = F.concat(F.lit("Uplift of #"), F.lpad(k, 5, "2"), F.lit("\n- own/x#7\n- none"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", it.pr_number(message).alias("pr"), it.branch_ref(head).alias("issue"), F.array_join(it.uplift_refs(body, F.lit("Up #4567"), head, F.lit("Own/Repo")), " ").alias("names"), it.item_id(F.lit("Own/Repo"), C("o_orderkey")).alias("id"), it.item_url(F.concat(F.lit("a/b#"), k), F.lit("pr"), "https://host.example").alias("url"))
+    head = F.when(C("o_orderkey") % 2 == 0, F.concat(F.lit("work_"), F.lpad(k, 5, "1"), F.lit("_2"))).otherwise(F.concat(F.lit("pr"), k, F.lit("_work_1.9.x")))
+    body = F.concat(F.lit("Uplift of #"), F.lpad(k, 5, "2"), F.lit("\n- #77 - named\n- own/x#7 and #888\n* uplifted from https://host.example/own/repo/pull/"), k, F.lit("99"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", it.pr_number(message).alias("pr"), it.branch_ref(head).alias("issue"), F.array_join(it.uplift_refs(body, F.when(C("o_orderkey") % 5 == 0, "Uplift of #4567 to 1.9").otherwise("Up #4567"), head, F.lit("Own/Repo")), " ").alias("names"), it.item_id(F.lit("Own/Repo"), C("o_orderkey")).alias("id"), it.item_url(F.concat(F.lit("a/b#"), k), F.lit("pr"), "https://host.example").alias("url"))
 
 
 def rule_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -240,7 +240,7 @@ def label_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reference_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References in texts made from orders: named, by address, bare, and those that close."""
     k = C("o_orderkey").cast("string")
-    body = F.concat(F.lit("Fixes #"), F.lpad(k, 5, "1"), F.lit(", see Own/Lib#"), k, F.lit(" and https://host.example/a/b/pull/"), k, F.lit("; closes: #77 x#999"))
+    body = F.concat(F.lit("Fixes #"), F.lpad(k, 5, "1"), F.lit(", see Own/Lib#"), k, F.lit(" and https://host.example/a/b/pull/"), k, F.lit("; closes: #77 x#999; fixed <https://host.example/A/b/issues/"), k, F.lit("> prefixes c/d#5, Resolves: Own/Lib#"), k)
     return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(tx.extract_refs(body, F.lit("Own/Repo")), " ").alias("refs"), F.array_join(tx.resolves_refs(body), " ").alias("closes"))
 
 

@@ -20,7 +20,7 @@ SQL = {
                array_to_string(list_filter([CASE WHEN o_orderkey % 5 <> 0 THEN 'android' END, CASE WHEN o_orderkey % 7 = 0 THEN 'desktop' END], lambda x: x IS NOT NULL), ',') AS systems, '1.' || o_orderkey % 100 AS line,
                CASE WHEN o_orderkey % 2 = 0 THEN 'release' ELSE 'nightly' END AS channel, o_orderkey % 3 = 0 AS release_branch FROM orders""",
     "reference_lists": """
-        SELECT o_orderkey, 'own/lib#' || o_orderkey || ' a/b#' || o_orderkey || ' own/repo#' || left(lpad(CAST(o_orderkey AS VARCHAR), 5, '1'), 5) AS refs, left(lpad(CAST(o_orderkey AS VARCHAR), 5, '1'), 5) || ' 77' AS closes FROM orders""",
+        SELECT o_orderkey, 'a/b#' || o_orderkey || ' own/lib#' || o_orderkey || ' c/d#5 own/repo#' || left(lpad(CAST(o_orderkey AS VARCHAR), 5, '1'), 5) AS refs, 'a/b#' || o_orderkey || ' own/lib#' || o_orderkey AS closes FROM orders""",
     "stored_source": "SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey % 3 <> 0",
     "source_counters": """
         WITH r AS (SELECT user_id AS source, event_id AS "at", CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'ok' ELSE 'partial' END AS outcome FROM events),
@@ -46,8 +46,9 @@ SQL = {
     "private_columns": "SELECT o_orderkey, 'see own/open#' || o_orderkey || ' and [private reference] or [private link] by [mail]' AS text FROM orders",
     "page_parts": rf"""
         WITH a AS (SELECT page_id, coalesce(nullif(regexp_extract(html, '(?i)<meta[^>]{{0,200}}property="og:title"[^>]{{0,200}}content="([^"]*)"', 1), ''), trim(nullif(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), ''))) AS title,
-                          regexp_replace(regexp_replace(regexp_replace(regexp_replace({_MAIN}, '(?is)<!--.*?-->', ' ', 'g'), '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g') AS t FROM pages)
-        SELECT page_id, title, md5(trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&'), '[ \t\r\n]+', ' ', 'g'))) AS main_md5 FROM a""",
+                          regexp_replace(regexp_replace(regexp_replace(regexp_replace({_MAIN}, '(?is)<script.*?</script>', ' ', 'g'), '(?is)<style.*?</style>', ' ', 'g'), '(?is)<(br|/p|/li|/h[0-9]|/div|/tr)[^>]*>', chr(10), 'g'), '(?s)<[^>]+>', ' ', 'g') AS t FROM pages),
+             b AS (SELECT page_id, title, replace(replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&') AS t FROM a)
+        SELECT page_id, title, md5(regexp_replace(regexp_replace(regexp_replace(t, '[ \t\f\x0b]+', ' ', 'g'), '\n\s*', chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS main_md5 FROM b""",
     "first_sentences": r"""
         WITH s AS (SELECT doc_id, string_split_regex(regexp_replace(text, '([.!?])[ \n]+', '\1' || chr(1), 'g'), chr(1)) AS ss FROM documents), e AS (SELECT doc_id, unnest(ss) AS s, unnest(range(len(ss))) AS n FROM s),
              f AS (SELECT *, regexp_matches(s, '[Ll]icense|rights|token') AS topical, regexp_matches(s, '^(Only|Not) ') AS lim FROM e),
@@ -128,7 +129,8 @@ SQL = {
     "page_guards": r"""
         SELECT page_id, CASE WHEN regexp_full_match(url, '(?i)https?://[^\s/?#"''<>]+[^\s"''<>]*') THEN url END AS url, '/p/' || page_id AS target, CAST(NULL AS VARCHAR) AS "foreign" FROM pages""",
     "uplift_labels": """
-        SELECT o_orderkey, CASE WHEN o_orderkey % 3 < 2 THEN o_orderkey END AS pr, CAST(left(lpad(CAST(o_orderkey AS VARCHAR), 4, '1'), 4) AS BIGINT) AS issue,
-               array_to_string((['own/repo#' || left(lpad(CAST(o_orderkey AS VARCHAR), 5, '2'), 5), 'own/x#7', 'own/repo#4567']), ' ') AS names, 'own/repo#' || o_orderkey AS id, 'https://host.example/a/b/pull/' || o_orderkey AS url FROM orders""",
+        SELECT o_orderkey, CASE WHEN o_orderkey % 3 < 2 THEN o_orderkey END AS pr, CASE WHEN o_orderkey % 2 = 0 THEN CAST(left(lpad(CAST(o_orderkey AS VARCHAR), 5, '1'), 5) AS BIGINT) END AS issue,
+               array_to_string(list_filter((['own/repo#' || left(lpad(CAST(o_orderkey AS VARCHAR), 5, '2'), 5), 'own/repo#' || o_orderkey || '99', 'own/repo#77', CASE WHEN o_orderkey % 5 = 0 THEN 'own/repo#4567' END]), lambda n: n IS NOT NULL), ' ') AS names,
+               'own/repo#' || o_orderkey AS id, 'https://host.example/a/b/pull/' || o_orderkey AS url FROM orders""",
     "rule_cells": "SELECT place, " + ", ".join(f"count(*) FILTER (state = '{s}') AS {s.replace('-', '_')}" for s in _STATE_COLUMNS) + f" FROM {CELLS} GROUP BY 1",
 }

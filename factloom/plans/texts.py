@@ -172,12 +172,14 @@ SQL = {
         SELECT f.*, s.nxt AS gone_since FROM (SELECT user_id, event_type, min(day) AS first_seen, max(day) AS last_seen, count(DISTINCT day) AS times_seen FROM d GROUP BY ALL) f JOIN s ON f.last_seen = s.day""",
     "extract_links": """SELECT page_id, unnest(list_distinct(regexp_extract_all(html, 'href="([^"]*)"', 1))) AS link FROM pages""",
     "html_to_text": r"""
-        WITH a AS (SELECT page_id, html, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<!--.*?-->', ' ', 'g'), '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g') AS t FROM pages),
-             b AS (SELECT page_id, html, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&'), '[ \t\r\n]+', ' ', 'g')) AS t FROM a)
-        SELECT page_id, md5(t) AS text_md5, CAST(length(t) AS INTEGER) AS n_chars, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title FROM b""",
+        WITH s AS (SELECT page_id, html, regexp_replace(regexp_replace(html, '(?is)<script.*?</script>', ' ', 'g'), '(?is)<style.*?</style>', ' ', 'g') AS t FROM pages),
+             a AS (SELECT page_id, html, regexp_replace(regexp_replace(t, '(?is)<(br|/p|/li|/h[0-9]|/div|/tr)[^>]*>', chr(10), 'g'), '(?s)<[^>]+>', ' ', 'g') AS t FROM s),
+             b AS (SELECT page_id, html, replace(replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&') AS t FROM a),
+             c AS (SELECT page_id, html, regexp_replace(regexp_replace(regexp_replace(t, '[ \t\f\x0b]+', ' ', 'g'), '\n\s*', chr(10), 'g'), '^\s+|\s+$', '', 'g') AS t FROM b)
+        SELECT page_id, md5(t) AS text_md5, CAST(length(t) AS INTEGER) AS n_chars, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title FROM c""",
     "plain_excerpt": r"""
-        WITH p AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '!?\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '[*_`>#]+', '', 'g'), '[ \t\r\n]+', ' ', 'g')) AS t FROM documents)
-        SELECT doc_id, CASE WHEN length(t) <= 420 THEN t ELSE regexp_replace(substring(t, 1, 420), ' [^ ]*$', '') || '…' END AS excerpt FROM p""",
+        WITH p AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '\[([^\]]+)\]\([^)]+\)', '\1', 'g'), '(?m)^#{1,6}|^[ \t]*>+', '', 'g'), '\*\*|[*`]+', '', 'g'), '[\s]+', ' ', 'g')) AS t FROM documents)
+        SELECT doc_id, CASE WHEN length(t) <= 420 THEN t ELSE regexp_replace(substring(t, 1, 419), ' [^ ]*$', '') || '…' END AS excerpt FROM p""",
     "redacted_text": f"SELECT doc_id, md5({_REDACTED}) AS text_md5, CAST({' + '.join(_REPLACED)} AS INTEGER) AS n_redacted FROM documents",
     "classify_topic": "SELECT p_partkey, CASE "
     + " ".join(f"WHEN regexp_matches({c}, '{p}') THEN '{n}'" for c in ("p_type", "p_name") for n, p in TOPICS)

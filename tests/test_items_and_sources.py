@@ -20,7 +20,7 @@ def one(spark, *columns, **values):
 
 def test_references_and_addresses(spark):
     r = one(spark, items.parse_item_id(C("a")).alias("p"), items.parse_item_id(C("b")).alias("q"), items.short_ref(C("a")).alias("s"), items.split_package(C("c")).alias("e"), items.is_package_name(C("d")).alias("n"), items.qa_platform(C("e")).alias("w"), a="own/x#12", b="x 12", c="NPM:left", d="a b", e="Win64")
-    assert (r.p.repo, r.p.number, r.q, r.s, r.e.ecosystem, r.e.name, r.n, r.w) == ("own/x", 12, None, "x#12", "npm", "left", False, "windows")
+    assert (r.p.repo, r.p.number, r.q, r.s, r.e.ecosystem, r.e.name, r.n, r.w) == ("own/x", 12, None, "x#12", "npm", "left", False, "desktop")
     r = one(spark, items.safe_url(C("a")).alias("a"), items.safe_url(C("b")).alias("b"), items.safe_target(C("c")).alias("c"), items.safe_target(C("d")).alias("d"), a="HTTPS://x.org/a?b=1", b="javascript:alert(1)", c="/p/1", d="//evil.org")
     assert tuple(r) == ("HTTPS://x.org/a?b=1", None, "/p/1", None)
 
@@ -40,9 +40,9 @@ def test_ages_and_shares(spark):
 
 
 def test_duplicates_said_in_comments(spark):
-    rows = [("a", 1, 5, "Duplicate of #7"), ("a", 2, 5, "maybe a duplicate of #8"), ("a", 3, 5, "duplicate of #5"), ("b", 1, 6, "nothing")]
+    rows = [("a", 1, 5, "Duplicate of #7"), ("a", 2, 5, "maybe a duplicate of #8"), ("a", 3, 5, "duplicate of #5"), ("b", 1, 6, "nothing"), ("c", 1, 9, "Closing in favour; duplicate in favor of own/x#4"), ("c", 2, 9, "A possible duplicate. duplicate of #3"), ("d", 1, 9, "not sure. It is a Duplicate with https://h.org/a/b/issues/8")]
     table = spark.createDataFrame(rows, "id string, position int, own long, text string")
-    assert [(r.id, r.number) for r in items.duplicate_from_comments(table).collect()] == [("a", 7)]
+    assert [(r.id, r.number) for r in items.duplicate_from_comments(table).orderBy("id").collect()] == [("a", 7), ("c", 4), ("d", 8)]
 
 
 def test_notes_constants_and_rules(spark):

@@ -82,9 +82,9 @@ def test_as_of_is_strict_and_breaks_ties_by_id(spark):
 
 
 def test_references(spark):
-    body = "Fixes #1234, see Owner/Repo#9 and https://host.org/a/b/issues/77 and x#999 #12"
+    body = "Fixes #1234, see Owner/Repo#9 and https://host.org/a/b/issues/77 and x#999 #12; Closes: A/b#3 prefixes c/d#4 resolved <https://host.org/E/f/issues/5> fix https://host.org/g/h/pull/6"
     got = spark.createDataFrame([(body,)], "t string").select(text.extract_refs(F.col("t"), F.lit("Own/Def")).alias("r"), text.resolves_refs(F.col("t")).alias("c")).first()
-    assert got.r == ["owner/repo#9", "a/b#77", "own/def#1234"] and got.c == ["1234"]
+    assert got.r == ["a/b#77", "e/f#5", "g/h#6", "owner/repo#9", "a/b#3", "c/d#4", "own/def#1234"] and got.c == ["a/b#3", "e/f#5"]
 
 
 def test_partial_reads_lose_nothing(spark):
