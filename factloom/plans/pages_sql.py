@@ -130,7 +130,7 @@ SQL = {
         SELECT page_id, CASE WHEN regexp_full_match(url, '(?i)https?://[^\s/?#"''<>]+[^\s"''<>]*') THEN url END AS url, '/p/' || page_id AS target, CAST(NULL AS VARCHAR) AS "foreign" FROM pages""",
     "uplift_labels": """
         SELECT o_orderkey, CASE WHEN o_orderkey % 3 < 2 THEN o_orderkey END AS pr, CASE WHEN o_orderkey % 2 = 0 THEN CAST(left(lpad(CAST(o_orderkey AS VARCHAR), 5, '1'), 5) AS BIGINT) END AS issue,
-               array_to_string(list_filter((['own/repo#' || left(lpad(CAST(o_orderkey AS VARCHAR), 5, '2'), 5), 'own/repo#' || o_orderkey || '99', 'own/repo#77', CASE WHEN o_orderkey % 5 = 0 THEN 'own/repo#4567' END]), lambda n: n IS NOT NULL), ' ') AS names,
+               array_to_string(list_filter((['own/repo#' || lpad(CAST(o_orderkey AS VARCHAR), 7, '2'), 'own/repo#' || o_orderkey || '99', 'own/repo#78', CASE WHEN o_orderkey % 5 = 0 THEN 'own/repo#4567' END, CASE WHEN o_orderkey % 2 = 1 THEN 'own/repo#' || o_orderkey END]), lambda n: n IS NOT NULL), ' ') AS names,
                'own/repo#' || o_orderkey AS id, 'https://host.example/a/b/pull/' || o_orderkey AS url FROM orders""",
     "rule_cells": "SELECT place, " + ", ".join(f"count(*) FILTER (state = '{s}') AS {s.replace('-', '_')}" for s in _STATE_COLUMNS) + f" FROM {CELLS} GROUP BY 1",
 }
