@@ -14,20 +14,21 @@
    threshold's share of its own size can match none of its sets. That is bounded first on samples of both (of tokens,
    not of documents: what a sample lacks is lacking for certain), so that whole sets are fetched for what passes only;
    then on the whole, and only for the sets that pass is the group opened and similarity computed exactly.
-5. To know the classes, the sets of a key first ask the group of its smallest set; only those that then are in another
-   class than most sets of the key ask its other groups too, so that a class of n near copies takes about n questions.
-   To count links, all groups that share a key meet, which is n x n / 2 comparisons for such a class.
+5. To know the classes, the sets of a key first ask the group of its smallest set, so that a class of n near copies takes
+   about n questions. Sets that then are in another class than most sets of a key ask further groups: those with which
+   they share one of their rarest tokens (`rare_tokens`, exact), so that n unrelated texts with a common passage take no
+   questions for it. To count links, all groups that share a key meet, which is n x n / 2 comparisons for such a class.
 6. A comparison returns how many links each set has, and links enough to connect what is linked, instead of all
    pairs. Components come from joins over those.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -178,9 +179,25 @@ def sampled(tokens: np.ndarray, percent: int) -> np.ndarray:
     return np.unique((tokens[:upto] & np.uint64(0xFFFFFFFF)).astype(np.uint32))
 
 
-def fetch(documents: DataFrame, wanted: DataFrame, width: int, percent: int, whole: bool) -> DataFrame:
-    """set_hash, size, tokens of the documents in wanted(doc_id, row_hash), each set once a task; tokens are sorted and
-    unsigned, all (64-bit) if whole, else the sample (32-bit)."""
+def whole_tokens(tokens: np.ndarray) -> list[np.ndarray]:
+    """All tokens of a set, sorted, 64 bits each."""
+    return [tokens]
+
+
+def short_forms(tokens: np.ndarray, percent: int) -> list[np.ndarray]:
+    """Short forms for `rare_tokens`: of the sample where it is so large that it holds more than the tokens which a set may
+    lack with a chance as CHANCE, and of all tokens for smaller sets. Two similar sets of which one is small have both
+    all their tokens here, so sets about that size give both forms, the sample first. A form begins with its kind."""
+    large = 15_000 // max(1, 100 - percent)
+    forms = [(1, sampled(tokens, percent))] if len(tokens) >= large else []
+    if len(tokens) * percent < large * 100:
+        forms.append((0, np.unique((tokens & np.uint64(0xFFFFFFFF)).astype(np.uint32))))
+    return [np.concatenate([np.array([kind], np.uint32), form]) for kind, form in forms]
+
+
+def fetch(documents: DataFrame, wanted: DataFrame, width: int, forms: Callable[[np.ndarray], list[np.ndarray]]) -> DataFrame:
+    """set_hash, size, tokens of the documents in wanted(doc_id, row_hash), a row for each of the forms of a set, each set
+    once a task."""
     keyed, few = _keyed(documents), common.broadcast_if_small(wanted.select("doc_id", "row_hash"))
     chosen = keyed.join(few, keyed["doc_id"].eqNullSafe(few["doc_id"]) & (keyed["row_hash"] == few["row_hash"]), "left_semi").select("text")
 
@@ -193,7 +210,7 @@ def fetch(documents: DataFrame, wanted: DataFrame, width: int, percent: int, who
                     tokens = shingler.shingles(text.as_py())
                     if (h := set_hash(tokens)) not in met:
                         met.add(h)
-                        rows.append((h, len(tokens), (tokens if whole else sampled(tokens, percent)).tobytes()))
+                        rows.extend((h, len(tokens), form.tobytes()) for form in forms(tokens))
                 kinds = pa.int64(), pa.int64(), pa.binary()
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(3)], ["set_hash", "size", "tokens"])
 
@@ -357,6 +374,36 @@ def shared_keys(described: DataFrame) -> DataFrame:
     return told.filter("NOT common OR often > room").select("key", "set_hash", "low").distinct()
 
 
+def rare_tokens(forms: DataFrame, classed: DataFrame, percent: int) -> DataFrame:
+    """set_hash, kind, token, asks: the tokens by which a set meets all similar sets of other classes.
+
+    forms(set_hash, size, tokens) are `short_forms`, classed(set_hash, root, asking) says of which class a set is, and
+    whether it looks for others. A set lacks no more than its size x (100 - percent) / 100 tokens of a similar one, so of
+    one more than that, first in an order that is the same for all sets, both have one in common. First come tokens that
+    lead nowhere (of one class alone, or of sets that do not look), which are left out but counted; then rare before
+    frequent ones. asks is the number of sets that look for a token.
+    """
+    few = common.broadcast_if_small(classed)
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                found = [np.frombuffer(t, np.uint32) for t in part.column(2).to_pylist()]
+                tokens = pa.array([f[1:].astype(np.int64) for f in found], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([int(f[0]) for f in found], pa.int32()), tokens], ["set_hash", "size", "kind", "tokens"])
+
+    sets = forms.mapInArrow(common.lean(unpack), "set_hash long, size long, kind int, tokens array<long>").join(few, "set_hash")
+    rows = sets.select("set_hash", "size", "kind", F.size("tokens").alias("of"), "root", "asking", F.explode("tokens").alias("token"))
+    known = rows.groupBy("kind", "token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("sets"), F.count_if("asking").alias("asks"))
+    known = common.saved(known.filter("low < high AND asks > 0").select("kind", "token", "sets", "asks"), "tokens-of-classes")
+    leading = rows.join(common.broadcast_if_small(known, 200_000), ["kind", "token"])
+    own = Window.partitionBy("set_hash", "kind")
+    ranked = leading.withColumn("nth", F.row_number().over(own.orderBy("sets", "token"))).withColumn("leads", F.count(F.lit(1)).over(own))
+    wanted = F.floor(F.col("size") * (100 - percent) / 100) + 1 - (F.col("of") - F.col("leads"))
+    return ranked.filter(F.col("nth") <= wanted).select("set_hash", "kind", "token", "asks")
+
+
 class Questions:
     """Sets asking groups: what is read once for all questions."""
 
@@ -364,11 +411,25 @@ class Questions:
         self.documents, self.placed, self.width, self.percent = documents, placed, width, percent
         first = described.join(placed.select("set_hash"), "set_hash", "left_semi").groupBy("set_hash").agg(F.min(F.struct("doc_id", "row_hash")).alias("d"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"))
         self.first = common.saved(first.select("set_hash", "copies", "n", "d.doc_id", "d.row_hash"), "group-documents")
-        self.samples = common.saved(fetch(documents, self.first, width, percent, whole=False).join(placed, "set_hash").dropDuplicates(["set_hash"]), "group-samples")
+        self.samples = common.saved(fetch(documents, self.first, width, lambda t: [sampled(t, percent)]).join(placed, "set_hash").dropDuplicates(["set_hash"]), "group-samples")
         self.unions = common.saved(sample_matrix(self.samples, percent), "sample-matrix")
         sizes = self.first.join(placed, "set_hash")
         self.sizes = common.saved(sizes.groupBy("gid").agg(F.min("n").alias("least"), F.max("n").alias("most")), "group-sizes")
 
+    def further(self, classed: DataFrame) -> DataFrame:
+        """set_hash, gid: the groups of other classes that the sets which ask in classed(set_hash, gid, root, asking) must
+        still ask. A token for which many sets ask is dealt into parts, and its groups come to each part."""
+        wanted = self.first.join(classed.select("set_hash"), "set_hash", "left_semi")
+        percent = self.percent
+        forms = fetch(self.documents, wanted, self.width, lambda t: short_forms(t, percent)).dropDuplicates(["set_hash", "tokens"])
+        rare = common.saved(rare_tokens(common.saved(forms, "short-forms"), classed.select("set_hash", "root", "asking"), percent), "rare-tokens")
+        dealt = rare.join(classed, "set_hash").withColumn("parts", F.ceil(F.col("asks") / 2_000).cast("int"))
+        groups = dealt.groupBy("kind", "token", "gid").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("parts").alias("parts"))
+        groups = groups.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        asking = dealt.filter("asking").select("kind", "token", F.pmod(F.xxhash64("set_hash"), "parts").cast("int").alias("part"), "set_hash", F.col("gid").alias("own"), "root")
+        meet = asking.join(groups, ["kind", "token", "part"]).filter("own <> gid AND (low <> root OR high <> root)")
+        return meet.select("set_hash", "gid").distinct()
+
     def answers(self, asked: DataFrame, within: bool) -> DataFrame:
         """What compare_between finds for asked(set_hash, gid), and (within) what compare_within finds in all groups."""
         few = common.broadcast_if_small(self.sizes)
@@ -380,7 +441,7 @@ class Questions:
         if within:
             needed = needed.unionByName(self.unions.select(F.explode("alive").alias("set_hash")))
         wanted = common.saved(self.first.join(needed.distinct(), "set_hash", "left_semi"), "needed-documents")
-        tokens = fetch(self.documents, wanted, self.width, self.percent, whole=True).join(self.placed, "set_hash").join(wanted.select("set_hash", "copies"), "set_hash")
+        tokens = fetch(self.documents, wanted, self.width, whole_tokens).join(self.placed, "set_hash").join(wanted.select("set_hash", "copies"), "set_hash")
         tokens = common.saved(tokens.dropDuplicates(["set_hash"]), "group-tokens")
         groups = common.saved(matrix(tokens), "token-group-matrix")
         found = compare_between(asked, tokens, groups, self.percent)
@@ -415,10 +476,8 @@ def similar_sets(documents: DataFrame, described: DataFrame, width: int, percent
         by_root = common.saved(rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("sets")), "classes-of-keys")
         cores = by_root.groupBy("key").agg(F.max(F.struct("sets", "root")).alias("m"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("key", F.col("m.root").alias("core"))
         cores = common.broadcast_if_small(common.saved(cores, "classes-of-most"))
-        open_keys = common.saved(rooted.join(cores, "key"), "open-keys")
-        asking = open_keys.filter("root <> core").select("key", "set_hash", F.col("gid").alias("own"), "root")
-        groups = open_keys.select("key", "gid", F.col("root").alias("of")).distinct()
-        further = asking.join(groups, "key").filter("own <> gid AND root <> of").select("set_hash", "gid").distinct().join(asked, ["set_hash", "gid"], "left_anti")
+        open_keys = rooted.join(cores, "key").groupBy("set_hash").agg(F.first("gid").alias("gid"), F.first("root").alias("root"), F.bool_or(F.col("root") != F.col("core")).alias("asking"))
+        further = questions.further(common.saved(open_keys, "sets-of-open-keys")).join(asked, ["set_hash", "gid"], "left_anti")
         found = found.unionByName(questions.answers(further, within=False))
     return found.filter("b IS NOT NULL").select("a", "b"), found.filter("b IS NULL").groupBy(F.col("a").alias("set_hash")).agg(F.sum("links").alias("links"))
 

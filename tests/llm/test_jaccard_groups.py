@@ -91,3 +91,54 @@ def test_similar_sets_share_more_keys_than_they_may_do_without(percent):
         a, b = jaccard_groups.np.sort(tokens[cut:]), jaccard_groups.np.sort(jaccard_groups.np.concatenate([tokens[:cut], tokens[other:]]))
         (of_a, room_a), (of_b, room_b) = keys.of(a), keys.of(b)
         assert len(a) == len(b) == union == 0 or len(jaccard_groups.np.intersect1d(of_a, of_b)) > max(room_a, room_b)
+
+
+def passages(seed, pages):
+    """Pages of one passage and words of their own, in shares about the limit, some with near copies; short and long."""
+    rng = random.Random(seed)
+    texts = []
+    for size, many in ((60, pages), (900, pages // 5)):
+        passage = [f"p{size}x{i}" for i in range(size)]
+        for i in range(many):
+            own = [f"o{rng.getrandbits(40):x}" for _ in range(rng.choice([2, size // 10, size // 7, size // 5, size // 2, size]))]
+            texts.append(" ".join(passage + own))
+            if i % 9 == 0:
+                texts.append(" ".join([*passage, *own[:-1], "another"]))
+    rng.shuffle(texts)
+    return [(5 + 3 * i, t, i) for i, t in enumerate(texts)]
+
+
+def test_classes_of_pages_about_a_common_passage(spark):
+    rows = passages(3, 150)
+    found = jaccard_groups.jaccard_classes(spark.createDataFrame(rows, SCHEMA).repartition(3), 5, 80, count_links=False)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found.collect()) == [r[:3] for r in brute(rows, 5, 80)]
+
+
+def test_unrelated_pages_take_no_questions_for_a_common_passage(spark):
+    rng = random.Random(4)
+    sets = [(i, sorted({*range(100), *(rng.getrandbits(60) + 1000 for _ in range(60))})) for i in range(400)]
+    forms = [(i, len(t), f.tobytes()) for i, t in sets for f in jaccard_groups.short_forms(jaccard_groups.np.array(t, jaccard_groups.np.uint64), 80)]
+    classed = [(i, i, True) for i, _ in sets]
+    rare = jaccard_groups.rare_tokens(spark.createDataFrame(forms, "set_hash long, size long, tokens binary"), spark.createDataFrame(classed, "set_hash long, root long, asking boolean"), 80)
+    assert rare.count() == 0
+
+
+@pytest.mark.parametrize("percent", [60, 80, 90])
+def test_rare_tokens_meet_all_similar_sets_of_other_classes(spark, percent):
+    rng = random.Random(percent)
+    sets, base = {}, [rng.getrandbits(64) for _ in range(2400)]
+    for i in range(150):
+        kept = base[: rng.choice([4, 12, 90, 740, 900, 1600, 2400])]
+        lost = rng.randrange(len(kept) * (100 - percent) // 100 + 1)
+        tokens = set(kept[lost:]) | {rng.getrandbits(64) for _ in range(rng.randrange(lost + 1))}
+        sets[i] = jaccard_groups.np.array(sorted(tokens), jaccard_groups.np.uint64)
+    forms = [(i, len(t), f.tobytes()) for i, t in sets.items() for f in jaccard_groups.short_forms(t, percent)]
+    looks = {i: i % 3 == 0 for i in sets}
+    rare = jaccard_groups.rare_tokens(spark.createDataFrame(forms, "set_hash long, size long, tokens binary"), spark.createDataFrame([(i, i // 2, looks[i]) for i in sets], "set_hash long, root long, asking boolean"), percent)
+    of = {}
+    for r in rare.collect():
+        of.setdefault(r.set_hash, set()).add((r.kind, r.token))
+    whole = {i: set(t.tolist()) for i, t in sets.items()}
+    similar = [(a, b) for a in sets for b in sets if looks[a] and a // 2 != b // 2 and 100 * len(whole[a] & whole[b]) >= percent * len(whole[a] | whole[b])]
+    assert len(similar) > 50
+    assert all(of.get(a, set()) & of.get(b, set()) for a, b in similar)
