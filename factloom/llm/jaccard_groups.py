@@ -15,9 +15,9 @@
    not of documents: what a sample lacks is lacking for certain), so that whole sets are fetched for what passes only;
    then on the whole, and only for the sets that pass is the group opened and similarity computed exactly.
 5. To know the classes, the sets of a key first ask the group of its smallest set, so that a class of n near copies takes
-   about n questions. Sets that then are in another class than most sets of a key ask further groups: those with which
-   they share one of their rarest tokens (`rare_tokens`, exact), so that n unrelated texts with a common passage take no
-   questions for it. To count links, all groups that share a key meet, which is n x n / 2 comparisons for such a class.
+   about n questions. Sets that then are in another class than most sets of a key ask its other groups, if they are few
+   (`WIDE`); else those groups with which they share one of their rarest tokens (`rare_tokens`, exact), so that n
+   unrelated texts with a common passage take no questions for it. To count links, all groups that share a key meet, which is n x n / 2 comparisons for such a class.
 6. A comparison returns how many links each set has, and links enough to connect what is linked, instead of all
    pairs. Components come from joins over those.
 """
@@ -40,6 +40,8 @@ GROUP = 96
 RUN, ROOM, CHANCE = 3, 4, 1e-15
 #: A key of more sets than this is common.
 COMMON = 32
+#: With the sets of more groups than this a set does not meet by a key alone.
+WIDE = 8
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 MIX_1, MIX_2, MIX_3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -375,7 +377,7 @@ def shared_keys(described: DataFrame) -> DataFrame:
 
 
 def rare_tokens(forms: DataFrame, classed: DataFrame, percent: int) -> DataFrame:
-    """set_hash, kind, token, asks: the tokens by which a set meets all similar sets of other classes.
+    """set_hash, token, asks: the tokens by which a set meets all similar sets of other classes.
 
     forms(set_hash, size, tokens) are `short_forms`, classed(set_hash, root, asking) says of which class a set is, and
     whether it looks for others. A set lacks no more than its size x (100 - percent) / 100 tokens of a similar one, so of
@@ -390,18 +392,20 @@ def rare_tokens(forms: DataFrame, classed: DataFrame, percent: int) -> DataFrame
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 found = [np.frombuffer(t, np.uint32) for t in part.column(2).to_pylist()]
-                tokens = pa.array([f[1:].astype(np.int64) for f in found], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([int(f[0]) for f in found], pa.int32()), tokens], ["set_hash", "size", "kind", "tokens"])
-
-    sets = forms.mapInArrow(common.lean(unpack), "set_hash long, size long, kind int, tokens array<long>").join(few, "set_hash")
-    rows = sets.select("set_hash", "size", "kind", F.size("tokens").alias("of"), "root", "asking", F.explode("tokens").alias("token"))
-    known = rows.groupBy("kind", "token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("sets"), F.count_if("asking").alias("asks"))
-    known = common.saved(known.filter("low < high AND asks > 0").select("kind", "token", "sets", "asks"), "tokens-of-classes")
-    leading = rows.join(common.broadcast_if_small(known, 200_000), ["kind", "token"])
-    own = Window.partitionBy("set_hash", "kind")
+                # a token of another kind is another token
+                tokens = pa.array([f[1:].astype(np.int64) + (int(f[0]) << 32) for f in found], pa.list_(pa.int64()))
+                # so many tokens of a set count, less those that lead nowhere
+                spare = [n * (100 - percent) // 100 + 1 - (len(f) - 1) for n, f in zip(part.column(1).to_pylist(), found, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(spare, pa.int64()), tokens], ["set_hash", "spare", "tokens"])
+
+    sets = forms.mapInArrow(common.lean(unpack), "set_hash long, spare long, tokens array<long>")
+    classes = sets.join(few, "set_hash").select("root", "asking", F.explode("tokens").alias("token"))
+    known = classes.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("sets"), F.count_if("asking").alias("asks"))
+    known = common.saved(known.filter("low < high AND asks > 0").select("token", "sets", "asks"), "tokens-of-classes")
+    leading = sets.select("set_hash", "spare", F.explode("tokens").alias("token")).join(common.broadcast_if_small(known, 200_000), "token")
+    own = Window.partitionBy("set_hash", F.shiftright("token", 32))
     ranked = leading.withColumn("nth", F.row_number().over(own.orderBy("sets", "token"))).withColumn("leads", F.count(F.lit(1)).over(own))
-    wanted = F.floor(F.col("size") * (100 - percent) / 100) + 1 - (F.col("of") - F.col("leads"))
-    return ranked.filter(F.col("nth") <= wanted).select("set_hash", "kind", "token", "asks")
+    return ranked.filter("nth <= spare + leads").select("set_hash", "token", "asks")
 
 
 class Questions:
@@ -424,10 +428,10 @@ class Questions:
         forms = fetch(self.documents, wanted, self.width, lambda t: short_forms(t, percent)).dropDuplicates(["set_hash", "tokens"])
         rare = common.saved(rare_tokens(common.saved(forms, "short-forms"), classed.select("set_hash", "root", "asking"), percent), "rare-tokens")
         dealt = rare.join(classed, "set_hash").withColumn("parts", F.ceil(F.col("asks") / 2_000).cast("int"))
-        groups = dealt.groupBy("kind", "token", "gid").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("parts").alias("parts"))
+        groups = dealt.groupBy("token", "gid").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("parts").alias("parts"))
         groups = groups.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-        asking = dealt.filter("asking").select("kind", "token", F.pmod(F.xxhash64("set_hash"), "parts").cast("int").alias("part"), "set_hash", F.col("gid").alias("own"), "root")
-        meet = asking.join(groups, ["kind", "token", "part"]).filter("own <> gid AND (low <> root OR high <> root)")
+        asking = dealt.filter("asking").select("token", F.pmod(F.xxhash64("set_hash"), "parts").cast("int").alias("part"), "set_hash", F.col("gid").alias("own"), "root")
+        meet = asking.join(groups, ["token", "part"]).filter("own <> gid AND (low <> root OR high <> root)")
         return meet.select("set_hash", "gid").distinct()
 
     def answers(self, asked: DataFrame, within: bool) -> DataFrame:
@@ -476,8 +480,15 @@ def similar_sets(documents: DataFrame, described: DataFrame, width: int, percent
         by_root = common.saved(rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("sets")), "classes-of-keys")
         cores = by_root.groupBy("key").agg(F.max(F.struct("sets", "root")).alias("m"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("key", F.col("m.root").alias("core"))
         cores = common.broadcast_if_small(common.saved(cores, "classes-of-most"))
-        open_keys = rooted.join(cores, "key").groupBy("set_hash").agg(F.first("gid").alias("gid"), F.first("root").alias("root"), F.bool_or(F.col("root") != F.col("core")).alias("asking"))
-        further = questions.further(common.saved(open_keys, "sets-of-open-keys")).join(asked, ["set_hash", "gid"], "left_anti")
+        open_keys = common.saved(rooted.join(cores, "key"), "open-keys")
+        groups = open_keys.groupBy("key", "gid").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+        wide = groups.groupBy("key").agg(F.count(F.lit(1)).alias("groups")).filter(F.col("groups") > WIDE).select("key")
+        wide = common.broadcast_if_small(common.saved(wide, "wide-keys"))
+        asking = open_keys.filter("root <> core").join(wide, "key", "left_anti").select("key", "set_hash", F.col("gid").alias("own"), "root")
+        by_key = asking.join(groups.join(wide, "key", "left_anti"), "key").filter("own <> gid AND (low <> root OR high <> root)").select("set_hash", "gid")
+        classed = open_keys.join(wide, "key", "left_semi").groupBy("set_hash").agg(F.first("gid").alias("gid"), F.first("root").alias("root"), F.bool_or(F.col("root") != F.col("core")).alias("asking"))
+        by_token = questions.further(common.saved(classed, "sets-of-wide-keys"))
+        further = by_key.union(by_token).distinct().join(asked, ["set_hash", "gid"], "left_anti")
         found = found.unionByName(questions.answers(further, within=False))
     return found.filter("b IS NOT NULL").select("a", "b"), found.filter("b IS NULL").groupBy(F.col("a").alias("set_hash")).agg(F.sum("links").alias("links"))
 

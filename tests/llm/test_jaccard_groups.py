@@ -108,7 +108,9 @@ def passages(seed, pages):
     return [(5 + 3 * i, t, i) for i, t in enumerate(texts)]
 
 
-def test_classes_of_pages_about_a_common_passage(spark):
+@pytest.mark.parametrize("wide", [1, 8])
+def test_classes_of_pages_about_a_common_passage(spark, monkeypatch, wide):
+    monkeypatch.setattr(jaccard_groups, "WIDE", wide)
     rows = passages(3, 150)
     found = jaccard_groups.jaccard_classes(spark.createDataFrame(rows, SCHEMA).repartition(3), 5, 80, count_links=False)
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found.collect()) == [r[:3] for r in brute(rows, 5, 80)]
@@ -137,7 +139,7 @@ def test_rare_tokens_meet_all_similar_sets_of_other_classes(spark, percent):
     rare = jaccard_groups.rare_tokens(spark.createDataFrame(forms, "set_hash long, size long, tokens binary"), spark.createDataFrame([(i, i // 2, looks[i]) for i in sets], "set_hash long, root long, asking boolean"), percent)
     of = {}
     for r in rare.collect():
-        of.setdefault(r.set_hash, set()).add((r.kind, r.token))
+        of.setdefault(r.set_hash, set()).add(r.token)
     whole = {i: set(t.tolist()) for i, t in sets.items()}
     similar = [(a, b) for a in sets for b in sets if looks[a] and a // 2 != b // 2 and 100 * len(whole[a] & whole[b]) >= percent * len(whole[a] | whole[b])]
     assert len(similar) > 50
