@@ -312,10 +312,11 @@ def judged(documents: DataFrame, trusted_ids: DataFrame, quantile: float = 0.99,
 
     known = own.select("lang", perplexity(F.col("log_p"), F.col("units")).alias("p"))
     whole = known.agg(F.coalesce(_limit(quantile, True), SPARE * F.max("p")).alias("high"), F.coalesce(_limit(low, False), F.min("p") / SPARE).alias("low")).first()
-    limits = common.saved(known.groupBy(F.col("lang").alias("_of")).agg(_limit(quantile, True).alias("_high"), _limit(low, False).alias("_low")), "limits")
+    mark = "_" * (1 + max(map(len, documents.columns)))  # longer than any column's name
+    limits = common.saved(known.groupBy(F.col("lang").alias(mark + "of")).agg(_limit(quantile, True).alias(mark + "high"), _limit(low, False).alias(mark + "low")), "limits")
     limits = common.broadcast_if_small(limits, 10_000)
     found = scored(documents, model)
-    found = found.join(limits, found["lang"].eqNullSafe(limits["_of"]), "left")
-    floor, limit, p = F.coalesce("_low", F.lit(whole["low"])), F.coalesce("_high", F.lit(whole["high"])), perplexity(F.col("_log_p"), F.col("_units"))
+    found = found.join(limits, found["lang"].eqNullSafe(limits[mark + "of"]), "left")
+    floor, limit, p = F.coalesce(mark + "low", F.lit(whole["low"])), F.coalesce(mark + "high", F.lit(whole["high"])), perplexity(F.col("_log_p"), F.col("_units"))
     kept = (F.coalesce(F.length("text"), F.lit(0)) == 0) | p.between(floor, limit)
     return found.select(*documents.columns, p.alias("_perplexity"), floor.alias("_floor"), limit.alias("_limit"), kept.alias("_kept"))

@@ -84,3 +84,13 @@ def test_repeated_words_empty_tables_and_clashing_names(spark):
     assert len(kept) == 605 and not kept[9000] and kept[9001] and kept[9002] and kept[9003]
     assert ngram_quality.judged(table.limit(0), ids).collect() == []
     assert all(r._kept for r in ngram_quality.judged(table, ids.limit(0)).collect())
+
+
+def test_columns_named_as_limits_once_were(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("aeiounrstlm") for _ in range(rng.randrange(2, 9))) for _ in range(200)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(40)), "en", i, "h", None) for i in range(100)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, _of int, _high string, _low double")
+    out = ngram_quality.judged(table, table.select("doc_id"))
+    assert out.columns == [*table.columns, "_perplexity", "_floor", "_limit", "_kept"]
+    assert {(r.doc_id, r._of, r._high, r._low) for r in out.collect()} == {(i, i, "h", None) for i in range(100)}
