@@ -16,6 +16,7 @@ CURVE_ROWS rows of remainder 3 at most, and remainder 2 is held out. All windows
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -35,6 +36,8 @@ CUT = 0.3
 HELD_OUT = 2
 #: Sizes of the dictionaries, and what zstandard looks at in training: length of segments and of what must recur.
 ORDINARY_BYTES, TOXIC_BYTES, SEGMENT, RECURRING = 32_768, 16_384, 16, 6
+#: How far apart samples that are alike are laid for training.
+SPREAD = 64
 CONTEXTS, CONTRAST = 5, 8.0
 #: Bounds of the samples of labelled rows that the model is fitted on: characters of ordinary and of toxic text for the dictionaries, about, and rows for the curve.
 ORDINARY_SAMPLE, TOXIC_SAMPLE, CURVE_ROWS = 8_000_000, 64_000_000, 20_000
@@ -96,13 +99,22 @@ def _windows_apart(words: list[bytes]) -> list[tuple[bytes, bytes]]:
 
 
 def trained(samples: list[bytes], size: int) -> bytes:
-    """A dictionary of `size` bytes at most that zstandard trains on the samples. Of less than four times its size it
-    cannot tell what recurs; then the samples themselves, each once, the most frequent ones last."""
+    """A dictionary of `size` bytes at most: all different samples, the most frequent ones last, if they have room; else what
+    zstandard trains on them, dealt by hash, as it takes its segments from one stretch of the samples after the other and
+    ends early where stretches are alike. Of less than four times its size it cannot tell what recurs. Room that it
+    leaves goes to the most frequent samples that the dictionary lacks."""
     import zstandard
 
-    if sum(map(len, samples)) < 4 * size:
-        return b"".join(sorted(set(samples), key=lambda s, n=Counter(samples): (n[s], s)))[-size:]
-    return zstandard.train_dictionary(size, samples, k=SEGMENT, d=RECURRING).as_bytes()
+    often = Counter(samples)
+    ranked = sorted(often, key=lambda s: (often[s], s))
+    if sum(map(len, ranked)) <= size or sum(map(len, samples)) < 4 * size:
+        return b"".join(ranked)[-size:]
+    dealt = sorted(samples, key=lambda s: (zlib.crc32(s), s))
+    dealt = [s for k in range(SPREAD) for s in dealt[k::SPREAD]]  # copies of a sample lie apart
+    content = zstandard.train_dictionary(size, dealt, k=SEGMENT, d=RECURRING).as_bytes()
+    lacking = [s for s in ranked if s not in content]
+    room = size - len(content)
+    return (b"".join(lacking)[-room:] if room > 0 else b"") + content
 
 
 @dataclass

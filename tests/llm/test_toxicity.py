@@ -48,3 +48,20 @@ def test_rare_and_short_toxic_words_are_not_pushed_out(spark):
     model = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
     learned = model.toxic.removeprefix(model.ordinary)
     assert all(b" " + w.encode() in learned for w in bad)
+
+
+def test_samples_of_few_words_are_all_learned():
+    rng = random.Random(3)
+    usual = [f" chlla{i:03d} ".encode() for i in range(120)]
+    bad = [b" idiot ", b" moron ", b" scum ", b" worthless "]
+    samples = sorted([w for w in usual for _ in range(60)] + [rng.choice(bad) for _ in range(4000)])
+    learned = toxicity.trained(samples, toxicity.TOXIC_BYTES)
+    assert all(w in learned for w in usual + bad)
+
+
+def test_frequent_samples_are_learned_where_not_all_have_room():
+    rng = random.Random(4)
+    rare = [f" w{rng.randrange(10**9)} ".encode() for _ in range(9000)]
+    bad = [b" idiot ", b" moron ", b" scum ", b" worthless "]
+    learned = toxicity.trained(sorted(rare + [rng.choice(bad) for _ in range(4000)]), toxicity.TOXIC_BYTES)
+    assert len(learned) <= toxicity.TOXIC_BYTES and all(w.strip() in learned for w in bad)
