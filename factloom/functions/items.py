@@ -42,12 +42,17 @@ def uplift_refs(body: Column, title: Column, head: Column, repo: Column) -> Colu
     """What an uplift was made from: lines `uplift of #12` (from, for, part of; or a pull request's address), list lines
     `- #12 - `, the title `Uplift of #12`, and the branch `pr12_name_1.2.x`; distinct, in that order. Other references of a
     text do not count."""
+    return F.array_distinct(uplift_mentions(body, title, head, repo))
+
+
+def uplift_mentions(body: Column, title: Column, head: Column, repo: Column) -> Column:
+    """What uplift_refs finds, each place of the text apart: what is named twice comes twice."""
     text, own = F.coalesce(body, F.lit("")), lambda n: F.concat(F.lower(repo), F.lit("#"), n)
     said = r"(?im)^[ \t]*+[-*]?[ \t]*+uplift(?:ed)?\s++(?:of|from|for|part of)\s++(?:#|https?://[^/\s]{1,200}+/[\w.-]++/[\w.-]++/pull/)([0-9]+)"
     some = lambda text, pattern: F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), own)
     titled = some(F.coalesce(title, F.lit("")), r"(?i)\Auplift (?:of )?#([0-9]+)")
     branch = some(F.coalesce(head, F.lit("")), r"\Apr([0-9]+)_.+_[0-9]+\.[0-9]+\.x\z")
-    return F.array_distinct(F.concat(some(text, said), some(text, r"(?m)^- #([0-9]+) - "), titled, branch))
+    return F.concat(some(text, said), some(text, r"(?m)^- #([0-9]+) - "), titled, branch)
 
 
 def duplicate_from_comments(comments: DataFrame) -> DataFrame:
