@@ -4,13 +4,14 @@ import duckdb
 from pyspark.sql import functions as F
 
 from factloom.plans import ALL_QUERIES, ALL_SQL
+from factloom.sources import tables
 
 
-def same_as_sql(spark, name, folder, tables):
-    for t, df in tables.items():
+def same_as_sql(spark, name, folder, made):
+    for t, df in made.items():
         df.coalesce(1).write.parquet(f"{folder}/{t}.parquet")
     con = duckdb.connect()
-    for t in tables:
+    for t in made:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet/*.parquet'")
     found = ALL_QUERIES[name](spark, str(folder))
     want = con.execute(f"SELECT {', '.join(found.columns)} FROM ({ALL_SQL[name]})").fetchall()
@@ -27,3 +28,9 @@ def test_closure_on_paths_longer_than_the_sql_follows(spark, tmp_path):
 def test_uplift_labels_of_orders_with_seven_digits(spark, tmp_path):
     keys = spark.createDataFrame([(k,) for k in (7, 99_999, 149_995, 1_000_001, 1_000_002, 8_999_995, 54_000_003)], "o_orderkey long")
     same_as_sql(spark, "uplift_labels", tmp_path, {"orders": keys})
+
+
+def test_dealt_rows_take_partitions_by_their_number(spark):
+    df = spark.range(100).withColumnRenamed("id", "k")
+    assert tables.dealt(df, 100, "k").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert tables.dealt(df, 20 * tables.TASK_ROWS, "k").rdd.getNumPartitions() == 20
