@@ -44,6 +44,7 @@ def build_edges(items: DataFrame, timeline: DataFrame, stop: list[str]) -> DataF
     (`closed_by`), or by branch name where the titles share a token; uplifts inherit the issues of all above them.
     mentions: what is mentioned and not resolved. epic: epics and children; the lowest epic wins a child.
     """
+    items = saved(items)  # read many times below
     known = items.select(F.col("id").alias("dst"), F.col("kind").alias("_dst_kind"))
 
     def of(column: str, which: Column) -> DataFrame:
@@ -169,9 +170,10 @@ def expand_links(direct: DataFrame, edges: DataFrame, known: DataFrame, cap: int
 def group_of(rows: DataFrame, members: DataFrame) -> DataFrame:
     """rows(id, item_ids) with the group of the first role in the order lead, pr, uplift, duplicate that one of their items
     has, the lowest group of several."""
-    order = F.coalesce(*[F.when(F.col("role") == r, k) for k, r in enumerate(("lead", "pr", "uplift", "duplicate"))], F.lit(9))
+    roles = ("lead", "pr", "uplift", "duplicate")
+    lowest = [F.min(F.when(F.col("role") == r, F.col("group_id"))) for r in roles]  # plain minima, so that rows are not sorted
     met = rows.select("id", F.explode("item_ids").alias("item_id")).join(members, "item_id")
-    return met.groupBy("id").agg(F.min_by("group_id", F.struct(order, "group_id")).alias("group_id"))
+    return met.groupBy("id").agg(F.coalesce(*lowest, F.min("group_id")).alias("group_id"))
 
 
 def inherit_topic(topics: DataFrame, edges: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from factloom.functions.versions import version_key
 from factloom.operators import events as ev
 from factloom.operators import exposure, history, matrix, merge, relations, status, trials
 from factloom.sources import shaping
-from factloom.sources.tables import table
+from factloom.sources.tables import dealt, saved, table
 
 C = F.col
 #: Ways of shipping, by the part of a line.
@@ -23,7 +23,9 @@ def _at(text: str):
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row an order and line number; the tables repeat some."""
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_returnflag").alias("flag"), F.max("l_linestatus").alias("line_status"), F.max("l_shipdate").alias("shipdate"), F.max("l_suppkey").alias("suppkey"), F.max("l_partkey").alias("partkey")).withColumn("shipmode", F.element_at(F.array(*[F.lit(m) for m in MODES]), (C("partkey") % 7 + 1).cast("int")))
+    rows = table(spark, sf_dir, "lineitem")
+    columns = ("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_shipdate", "l_suppkey", "l_partkey")
+    return dealt(rows.select(*columns), rows.count(), "l_orderkey", "l_linenumber").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_returnflag").alias("flag"), F.max("l_linestatus").alias("line_status"), F.max("l_shipdate").alias("shipdate"), F.max("l_suppkey").alias("suppkey"), F.max("l_partkey").alias("partkey")).withColumn("shipmode", F.element_at(F.array(*[F.lit(m) for m in MODES]), (C("partkey") % 7 + 1).cast("int")))
 
 
 
@@ -31,7 +33,7 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def item_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as issues and their lines as pull requests: lines from the fifth are uplifts of the line before; returned and
     accepted lines resolve the order, others mention it; pending orders duplicate the customer's order before."""
-    orders, lines = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), _lines(spark, sf_dir)
+    orders, lines = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), saved(_lines(spark, sf_dir).select("l_orderkey", "l_linenumber", "flag"), "lines")
     from pyspark.sql import Window
 
     before = F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
@@ -41,7 +43,7 @@ def item_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     uplift = pulls.filter("l_linenumber >= 5").select("id", (C("id") - 1).alias("dst")).join(pulls.select(C("id").alias("dst")), "dst").select(F.lit("uplift").alias("kind"), C("id").alias("src"), "dst")
     first = pulls.filter("l_linenumber < 5").join(orders.select((C("o_orderkey") * 10).alias("issue")), "issue", "left_semi")
     rest = first.select(F.when(C("flag") == "N", "mentions").otherwise("resolves").alias("kind"), C("id").alias("src"), C("issue").alias("dst"))
-    return relations.groups(item, uplift.unionByName(rest), duplicates)
+    return relations.groups(item, saved(uplift.unionByName(rest), "edges"), duplicates)
 
 
 def marked_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,12 +144,12 @@ def fix_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def build_inclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Presence of orders' lines in builds (regions as lines of versions), by bounds and carriers."""
-    lines = _lines(spark, sf_dir)
+    lines = saved(_lines(spark, sf_dir).select("l_orderkey", "l_linenumber", "flag", "suppkey", "partkey"), "lines")
     pulls = lines.select(C("l_orderkey").alias("group_id"), (C("l_orderkey") * 10 + C("l_linenumber")).alias("id"), (C("l_linenumber") == 3).alias("on_feature_branch"))
     carriers = lines.filter("l_linenumber = 3 AND flag = 'R'").select((C("l_orderkey") * 10 + 3).alias("id"), (C("l_orderkey") * 10 + 4).alias("carrier"))
     bounds = lines.filter("flag <> 'N'").select((C("l_orderkey") * 10 + C("l_linenumber")).alias("id"), (C("suppkey") % 2).alias("line"), F.when(C("flag") == "R", C("partkey") % 5).alias("low"), F.when(C("flag") == "A", C("partkey") % 5).alias("high"))
     builds = table(spark, sf_dir, "region").select(C("r_regionkey").alias("build_id"), (C("r_regionkey") % 2).cast("long").alias("line"), C("r_regionkey").cast("long").alias("version"))
-    return matrix.build_verdicts(pulls, bounds, carriers, builds)
+    return matrix.build_verdicts(pulls, dealt(bounds, lines.count(), "id"), carriers, builds)
 
 
 def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
