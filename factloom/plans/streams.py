@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,11 +57,12 @@ def expiring_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     unreadable, signups say that there is none; a value stands in for three days, and timers tell when it is over."""
     state = F.when(F.col("event_type") == "purchase", incremental.READ).when(F.col("event_type") == "error", incremental.UNREADABLE).otherwise(incremental.NOT_PUBLISHED)
     events = table(spark, sf_dir, "events").filter("event_type IN ('purchase', 'error', 'signup')")
+    buckets = max(64, math.ceil(events.count() / (len(CUTS) + 1) / 10_000))
     base = new_folder(spark, "expiry")
     for n, df in enumerate(_landed(events)):
         rows = df.select(F.col("user_id").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").cast("long").alias("position"), state.alias("state"), F.col("value").cast("double").alias("value"))
         rows.write.mode("overwrite").parquet(f"{base}/feed/trigger={n}")
-        stream = incremental.expiring_stream(spark.readStream.schema(rows.schema).parquet(f"{base}/feed/trigger=*"), 3)
+        stream = incremental.expiring_stream(spark.readStream.schema(rows.schema).parquet(f"{base}/feed/trigger=*"), 3, buckets=buckets)
         ledger.run_trigger(stream, lambda batch, number: batch.write.mode("overwrite").parquet(f"{base}/answers/batch={number}"), f"{base}/state")
     found = spark.read.schema(incremental.ANSWERS).parquet(f"{base}/answers").drop("batch")
     return found.select(*[F.col(c).cast("timestamp_ntz").alias(c) if c in ("at", "read_at", "missing_since") else c for c in found.columns])

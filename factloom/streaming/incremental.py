@@ -168,51 +168,70 @@ def carried_values(reads: DataFrame, last_good: DataFrame, ttl_days: int) -> Dat
 
 
 ANSWERS = "key string, at timestamp, position long, answer string, value double, read_at timestamp, missing_since timestamp"
-_TIME = "datetime64[us]"
-_STATE = "value double, read_at timestamp, missing_since timestamp, held boolean"
+#: Of a bucket of keys, key by key: the last good value, when it was read (microseconds), the first failure since (or _NONE).
+_STATE = "keys array<string>, value array<double>, read_at array<long>, missing_since array<long>"
+_OUT = "key string, at long, position long, answer string, value double, read_at long, missing_since long"
+_NONE, _LAST = -(1 << 63), (1 << 63) - 1
 
 
 def _answers(ttl_days: int):
+    import numpy as np
     import pandas as pd
 
-    ttl = pd.Timedelta(days=ttl_days)
-
-    def rows(key, frames: Iterator, state):
-        """State of a key: the last good value, when it was read, the first failure since, and whether one is held."""
-        value, read_at, missing, held = state.get if state.exists else (None, None, None, False)
-        out, name = [], key[0]
-        since = lambda: pd.Timestamp(read_at if read_at is not None else missing)
-        if state.hasTimedOut:
-            out.append((name, since() + ttl, -1, EXPIRED, None, None, None))
-            held = False
-        else:
-            for r in pd.concat(list(frames)).sort_values(["at", "position"]).itertuples():
-                if held and (read_at is not None or missing is not None) and r.at > since() + ttl:
-                    out.append((name, since() + ttl, -1, EXPIRED, None, None, None))
-                    held = False
-                if r.state == READ:
-                    value, read_at, missing, held = r.value, r.at, None, True
-                    out.append((name, r.at, r.position, READ, value, read_at, None))
-                elif held:
-                    missing = r.at if missing is None else missing
-                    out.append((name, r.at, r.position, CARRIED, value, read_at, missing))
-                else:
-                    out.append((name, r.at, r.position, r.state, None, None, None))
-        clock = lambda x: None if x is None else pd.Timestamp(x).to_pydatetime()
-        if held:
-            state.update((value, clock(read_at), clock(missing), True))
-            state.setTimeoutTimestamp(max(int(since().timestamp() * 1000) + ttl_days * 86_400_000 + 1, state.getCurrentWatermarkMs() + 1))
+    ttl = ttl_days * 86_400_000_000
+
+    def rows(bucket, frames: Iterator, state):
+        """The keys of a bucket at once: held values come first in their key, then its rows in order."""
+        keys, values, read, failed = state.get if state.exists else ([], [], [], [])
+        held = pd.DataFrame({"key": pd.Series(keys, dtype=object), "us": np.array(read, "int64"), "position": _NONE, "state": READ, "value": np.array(values, "float64"), "failed": np.array(failed, "int64"), "new": False})
+        got = [] if state.hasTimedOut else [f[["key", "us", "position", "state", "value"]].assign(failed=_NONE, new=True) for f in frames]
+        every = pd.concat([f for f in [held, *got] if len(f)])
+        codes = pd.factorize(every["key"], use_na_sentinel=False)[0]
+        order = np.lexsort((every["position"], every["us"], every["new"], codes))
+        every, code = every.iloc[order], codes[order]
+        key, said, value = every["key"].to_numpy(object), every["state"].to_numpy(object), every["value"].to_numpy("float64", na_value=np.nan)
+        at, failed, new = (every[c].to_numpy(t) for c, t in (("us", "int64"), ("failed", "int64"), ("new", bool)))
+        n, ok = len(at), said == READ
+        heads = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+        nth = np.searchsorted(heads, np.arange(n), "right") - 1
+        last = np.r_[heads[1:], n][nth] - 1  # last row of the key
+        good = np.maximum.accumulate(np.where(ok, np.arange(n), -1))  # the row that was read last
+        has, good = good >= heads[nth], np.maximum(good, 0)
+        after = np.minimum(good + 1, n - 1)
+        since = np.where(failed[good] != _NONE, failed[good], np.where((good < last[good]) & ~ok[after], at[after], _NONE))
+        carried = ~ok & has & (at <= at[good] + ttl)
+        holds = ok | carried
+        out = pd.DataFrame({"key": key, "at": at, "position": every["position"].to_numpy("int64"), "answer": np.where(ok, READ, np.where(carried, CARRIED, said)), "value": np.where(holds, value[good], np.nan), "read_at": np.where(holds, at[good], _NONE), "missing_since": np.where(carried, since, _NONE)})[new]
+        reads = np.flatnonzero(ok)
+        following = np.r_[reads[1:], n]
+        newest = following > last[reads]
+        due = at[reads] + ttl
+        mark = state.getCurrentWatermarkMs()
+        over = (at[np.where(newest, last[reads], np.minimum(following, n - 1))] > due) | (newest & (due // 1000 < mark))
+        ended = pd.DataFrame({"key": key[reads[over]], "at": due[over], "position": -1, "answer": EXPIRED, "value": np.nan, "read_at": _NONE, "missing_since": _NONE})
+        kept = newest & ~over
+        if kept.any():
+            i = reads[kept]
+            state.update((key[i].tolist(), value[i].tolist(), at[i].tolist(), since[i].tolist()))
+            state.setTimeoutTimestamp(max(int(due[kept].min() // 1000), mark, 1))
         elif state.exists:
             state.remove()
-        found = pd.DataFrame(out, columns=[c.split()[0] for c in ANSWERS.split(", ")])
-        yield found.astype({"at": _TIME, "value": "float64", "read_at": _TIME, "missing_since": _TIME})
+        found = [f for f in (out, ended) if len(f)]
+        if found:
+            yield pd.concat(found)
 
     return rows
 
 
-def expiring_stream(reads: DataFrame, ttl_days: int, late: str = "0 seconds") -> DataFrame:
+def expiring_stream(reads: DataFrame, ttl_days: int, late: str = "0 seconds", buckets: int = 64) -> DataFrame:
     """carried_values of a stream reads(key string, at timestamp, position long, state, value double), kept in Spark's own
-    state store by key, with a row `expired` at the time when a value's time is over: a timer on event time fires once the
-    watermark has passed it, or the next row of the key does. After that nothing of the key is kept."""
-    marked = reads.withWatermark("at", late)
-    return marked.groupBy("key").applyInPandasWithState(_answers(ttl_days), ANSWERS, _STATE, "append", "EventTimeTimeout")
+    state store, with a row `expired` at the time when a value's time is over: a timer on event time fires once the
+    watermark (whole milliseconds) has passed it, or the next row of the key does. After that nothing of the key is kept.
+
+    Keys are dealt to buckets by hash; a bucket has one state, one timer at the first of its ends, and is worked on as a whole,
+    as a call a key costs far more than its rows. Take as many buckets as a trigger has some ten thousand rows; they stay as they
+    are while the stream goes on. `at` must not be NULL."""
+    marked = reads.withWatermark("at", late).withColumn("us", F.unix_micros("at")).withColumn("position", F.coalesce("position", F.lit(_LAST))).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
+    found = marked.groupBy("bucket").applyInPandasWithState(_answers(ttl_days), _OUT, _STATE, "append", "EventTimeTimeout")
+    time = lambda c: F.timestamp_micros(F.when(F.col(c) != _NONE, F.col(c))).alias(c)
+    return found.select("key", time("at"), F.when(F.col("position") != _LAST, F.col("position")).alias("position"), "answer", "value", time("read_at"), time("missing_since"))

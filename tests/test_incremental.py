@@ -121,6 +121,42 @@ def test_timers_equal_the_batch_twin(spark, tmp_path):
     assert len(over) == len(set(over)) and set(over) == due
 
 
+def streamed(spark, base, parts):
+    """Answers of a stream of 30 days in a trigger a part, and the rows of its state after the last one."""
+    out, states = [], []
+    for n, part in enumerate(parts):
+        spark.createDataFrame(part, READS).coalesce(1).write.parquet(f"{base}/feed/t={n}")
+        stream = incremental.expiring_stream(spark.readStream.schema(READS).parquet(f"{base}/feed/t=*"), 30)
+        query = stream.writeStream.foreachBatch(lambda batch, number: out.extend(tuple(r) for r in batch.collect())).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+        query.awaitTermination()
+        states = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress]
+    return out, states
+
+
+def test_many_keys_are_few_states(spark, tmp_path):
+    keys = [*(f"k{i}" for i in range(1500)), None]
+    rows = [(k, day(i % 20, n), n, "read" if n % 2 == 0 else "unreadable", float(n)) for i, k in enumerate(keys) for n in range(3)]
+    later = [(k, day(25 + i % 20), 9, "not-published", None) for i, k in enumerate(keys[::-3])]
+    out, states = streamed(spark, str(tmp_path), [rows, later])
+    assert max(states) <= 64
+    order = lambda rows: sorted(rows, key=repr)
+    want = [r for k in keys for r in answers([r for r in [*rows, *later] if r[0] == k], [])]
+    assert order(r for r in out if r[3] != "expired") == order(want)
+    over = {k: day(i % 20 + 30, 2) for i, k in enumerate(keys)}
+    assert order((r[0], r[1]) for r in out if r[3] == "expired") == order((k, at) for k, at in over.items() if at < day(44))
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_a_value_ends_within_a_millisecond(spark, tmp_path, zone):
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        for n, (gap, over) in enumerate(((dt.timedelta(hours=-2), []), (dt.timedelta(0), []), (dt.timedelta(milliseconds=1), [("a", day(30))]))):
+            out, _ = streamed(spark, f"{tmp_path}/{n}", [[("a", day(0), 1, "read", 1.0)], [("b", day(30) + gap, 2, "read", 2.0)]])
+            assert [(r[0], r[1]) for r in out if r[3] == "expired"] == over
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 @pytest.mark.parametrize("before", [False, True])
 def test_one_hot_key_runs_in_many_ranges(spark, before):
     rows = [("k" if i % 10 else None, i, i if i % 7 == 0 else None) for i in range(3000)]
