@@ -34,3 +34,16 @@ def test_dealt_rows_take_partitions_by_their_number(spark):
     df = spark.range(100).withColumnRenamed("id", "k")
     assert tables.dealt(df, 100, "k").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     assert tables.dealt(df, 20 * tables.TASK_ROWS, "k").rdd.getNumPartitions() == 20
+
+
+def test_closure_follows_paths_to_their_end(spark, tmp_path):
+    parts = spark.range(25).select(F.pow(F.lit(2.0), "id").cast("long").alias("p_partkey"))
+    rows = same_as_sql(spark, "closure", tmp_path, {"part": parts})
+    assert max(r[2] for r in rows) == 25  # from the largest to 1 and on to 3
+    assert len(rows) == 25 * 26 // 2  # the part of n edges to 1 reaches n parts and 3
+
+
+def test_closure_of_keys_beyond_what_a_double_holds(spark, tmp_path):
+    parts = spark.createDataFrame([(2**55 + 6,), (2**54 + 3,), (2**53 + 1,)], "p_partkey long")
+    rows = same_as_sql(spark, "closure", tmp_path, {"part": parts})
+    assert (2**55 + 6, 2**54 + 3, 1) in rows and len(rows) == 6
